@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op9_mixing": "mixing",
+    "op10_url_filters": "url_filter",
     "op5_simhash_near_dedup": "simhash",
 }
 
