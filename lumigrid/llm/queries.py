@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_minhash_fingerprints": "minhash",
+    "op6_toxicity": "toxicity",
+    "op8_quality_rules": "compression_bands",
     "op9_mixing": "mixing",
     "op10_url_filters": "url_filter",
     "op5_simhash_near_dedup": "simhash",

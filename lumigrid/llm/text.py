@@ -20,6 +20,9 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _SAME = np.where(_SPACE, np.uint8(0x20), np.arange(256, dtype=np.uint8))
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
+#: Lower case, with ASCII punctuation as space.
+PLAIN = _LOWER.copy()
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +69,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words of the rows of ``text_buffer``; A-Z are lower-cased unless ``lower`` is false."""
+def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True, table: np.ndarray | None = None) -> Words:
+    """Words of the rows of ``text_buffer``; A-Z are lower-cased unless ``lower`` is false.
+    ``table`` maps bytes beforehand in a way of its own; 0x20 parts words."""
     n, rows = len(buf), len(offsets) - 1
     if rows > 1:  # a space after each row, so that no word crosses rows
         gapped = np.full(n + rows, 0x20, np.uint8)
@@ -78,7 +82,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
         buf, offsets = gapped, offsets + np.arange(rows + 1)
     else:
         buf = np.append(buf, np.uint8(0x20))
-    buf = (_LOWER if lower else _SAME)[buf]
+    buf = ((_LOWER if lower else _SAME) if table is None else table)[buf]
     solid = buf != 0x20
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
