@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lumigrid.llm.store import materialise
 
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, RANGE_SLOTS = 64, 1024, 4096, 65536
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, RANGE_SLOTS = 64, 1024, 4096, 8192
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 ROUNDS, SEED = 12, 20240229
 PRIME = 2147483647
@@ -77,7 +77,7 @@ def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int)
         "spread": """SELECT p.*, b.src, b.source_size, b.target, b.base + p.inner_off AS off FROM placed p JOIN bases b ON p.source IS NOT DISTINCT FROM b.source AND p.chunk = b.chunk""",
         "pieces": f"""SELECT *, {explode(div("off", block), div("off + greatest(size, 1) - 1", block))} AS block FROM spread""",
         "reads": """SELECT src, block, CAST(count(*) AS BIGINT) AS times FROM slots GROUP BY src, block""",
-        "mixed": f"""SELECT p.doc_id, p.size, p.source_size, p.target,
+        "mixed": f"""SELECT {"/*+ MERGE(p, r) */ " if spark else ""}p.doc_id, p.size, p.source_size, p.target,
   CAST(sum(CASE WHEN p.size = 0 THEN 0 ELSE (least(p.off + p.size, (p.block + 1) * {block}) - greatest(p.off, p.block * {block})) * coalesce(r.times, 0) END) AS BIGINT) AS taken
   FROM pieces p LEFT JOIN reads r ON p.src = r.src AND p.block = r.block GROUP BY p.src, p.chunk, p.rn, p.doc_id, p.size, p.source_size, p.target""",
     }
@@ -105,7 +105,8 @@ def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard:
     frames["sized"] = materialise(_run(docs.sparkSession, steps, ("sized",), "sized", frames), "mix-sizes")
     frames["plan"] = materialise(_run(docs.sparkSession, steps, _PLAN, "plan", frames), "mix-plan")
     ranges = _run(docs.sparkSession, steps, ("ranges",), "ranges", frames)
-    frames["ranges"] = ranges.repartition("src", "part")
+    # a few short rows that become many: a fixed number of partitions, which isn't coalesced
+    frames["ranges"] = ranges.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "part")
     return steps, frames
 
 
@@ -130,7 +131,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, sh
     steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, SHARD_SLOTS)
     keyed = docs.withColumn("__text", F.col("text"))
     placed = _run(spark, steps, ("numbers", "slots", "chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, rn, doc_id, size, off, block").where("size > 0")
-    taken = placed.join(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass"), (F.col("src") == F.col("s2")) & (F.col("block") == F.col("b2")))
+    taken = placed.join(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass").hint("merge"), (F.col("src") == F.col("s2")) & (F.col("block") == F.col("b2")))
     spans = taken.select("src", "doc_id", "chunk", "rn", "size", "pass", F.greatest(F.lit(0), F.col("block") * block - F.col("off")).alias("a"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("off")).alias("b"))
     grouped = spans.groupBy("src", "chunk", "rn", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("got"))
     words = f"regexp_extract_all(__text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"

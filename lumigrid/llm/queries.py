@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op3_lm_scoring": "suffix_tree_lm",
     "op1_minhash_fingerprints": "minhash",
     "op6_toxicity": "toxicity",
     "op8_quality_rules": "compression_bands",
