@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op4_warc": "warc",
     "op2_suffix_array_dedup": "suffix_array",
     "op7_packing": "packing",
     "op3_lm_scoring": "suffix_tree_lm",

@@ -30,6 +30,7 @@ from lumigrid.llm.text import PLAIN, mix64, sliced, text_buffer, words, xxh64
 ROWS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 MAX_TOXIC, MAX_CLEAN, EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 3000, 6000, 12, 1200, 64, 0.1, 7
 OFFSETS = sum(WIDTHS)
+LEAST_TOXIC = 30  # calibration documents of a language
 
 
 def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -174,12 +175,13 @@ def _best_cut(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
 
 
-def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, w: np.ndarray, lang: list, least: int = 10) -> None:
+def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, w: np.ndarray, lang: list, least: int = LEAST_TOXIC) -> None:
     if not len(docs) or y.min() == y.max():
         return
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     p = score(model, np.concatenate(docs), first)
-    model.default = _best_cut(p, y, w)
+    if y.sum() >= LEAST_TOXIC:  # else too few to move the cut
+        model.default = _best_cut(p, y, w)
     for name in {x for x in lang if x is not None}:
         on = np.array([x == name for x in lang])
         if least <= y[on].sum() < on.sum():
