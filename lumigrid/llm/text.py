@@ -183,3 +183,24 @@ def shingles(w: Words, k: int) -> Shingles:
 def binary(chunks: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """An Arrow binary column from one buffer and byte offsets."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(chunks))]).cast(pa.binary())
+
+
+def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """An integer array as compressed bytes: differences if it rises, then one plane for each byte of
+    the integers, so that small numbers and small gaps cost little."""
+    import zstandard
+
+    if rising and len(values):
+        values = np.concatenate([values[:1], values[1:] - values[:-1]])
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def expand(data: bytes, dtype: str, rising: bool = False) -> np.ndarray:
+    """What ``squeeze`` was given."""
+    import zstandard
+
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel()
+    return np.cumsum(values, dtype=dtype) if rising else values

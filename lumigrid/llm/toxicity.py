@@ -17,6 +17,7 @@ scored alike. Labels that are null, or of ids without a document, are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -210,15 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     kind = docs.schema["doc_id"].dataType.simpleString()
     # bounded: chosen has at most max_toxic + max_clean rows
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic"))
-    got = sorted(joined.mapInArrow(run, f"doc_id {kind}, rows binary, lang string, toxic int").collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))
-    y = np.array([r["toxic"] for r in got], np.float64)
-    weight = np.ones(len(y))
-    if len(y) and 0 < y.sum() < len(y):  # sampled classes weigh as the labelled ones
-        share = counts[1] / (counts[0] + counts[1])
-        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    tokens = [np.frombuffer(r["rows"], np.uint16).reshape(-1, 3) for r in got]
-    order = np.random.default_rng(SEED).permutation(len(y))
-    return fit([tokens[i] for i in order], y[order], weight[order], [got[i]["lang"] for i in order])
+    share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["rows"]))
+        y = np.array([r["toxic"] for r in got], np.float64)
+        weight = np.ones(len(y))
+        if len(y) and 0 < y.sum() < len(y):  # sampled classes weigh as the labelled ones
+            weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+        tokens = [np.frombuffer(r["rows"], np.uint16).reshape(-1, 3) for r in got]
+        order = np.random.default_rng(SEED).permutation(len(y))
+        model = fit([tokens[i] for i in order], y[order], weight[order], [got[i]["lang"] for i in order])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task can hold it; the driver gets the weights alone
+    sample = joined.mapInArrow(run, f"doc_id {kind}, rows binary, lang string, toxic int").repartition(1)
+    found = sample.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else Model()
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
