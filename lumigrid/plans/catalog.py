@@ -73,14 +73,14 @@ lab AS (SELECT r, c, fy * 116e0 - 16e0 AS L, (fx - fy) * 500e0 AS a, (fy - fz) *
 LCH = LAB + """,
 lch AS (SELECT r, c, L, sqrt(a * a + b * b) AS CH, CASE WHEN atan2(b, a) < 0 THEN degrees(atan2(b, a)) + 360e0 ELSE degrees(atan2(b, a)) END AS Hab FROM lab)"""
 BANDS_SQL = SEG + LCH + f""",
-bd AS (SELECT p.r, p.c, p.seg, p.valid, {_IDX}, l.L, l.CH AS C_, l.Hab FROM seg p LEFT JOIN lch l ON p.r = l.r AND p.c = l.c)"""
+bd AS MATERIALIZED (SELECT p.r, p.c, p.seg, p.valid, {_IDX}, l.L, l.CH AS C_, l.Hab FROM seg p LEFT JOIN lch l ON p.r = l.r AND p.c = l.c)"""
 # the box mean by brute force: every pixel meets its box, edges repeated
 BOX_SQL = BANDS_SQL + f""",
 dim AS (SELECT max(r) AS hr, max(c) AS hc FROM bd),
 off AS (SELECT * FROM generate_series(-{BOX // 2}, {BOX // 2}) t(d)),
-nb AS (SELECT p.r, p.c, q.valid, q.NDVI, q.NDGR, q.NDBR, q.L, q.C_ FROM bd p, dim, off a, off b, bd q
-  WHERE q.r = least(greatest(p.r + a.d, 0), hr) AND q.c = least(greatest(p.c + b.d, 0), hc)),
-lm AS (SELECT r, c, {', '.join(f"(sum(CASE WHEN valid THEN {b} ELSE 0e0 END) / {BOX * BOX}e0) / greatest(count(*) FILTER (valid) / {BOX * BOX}e0, 1e-6) AS lm_{b}" for b in ('NDVI', 'NDGR', 'NDBR', 'L', 'C_'))} FROM nb GROUP BY r, c)"""
+spots AS MATERIALIZED (SELECT p.r, p.c, least(greatest(p.r + a.d, 0), hr) AS qr, least(greatest(p.c + b.d, 0), hc) AS qc FROM bd p, dim, off a, off b),
+nb AS (SELECT spots.r, spots.c, q.valid, q.NDVI, q.NDGR, q.NDBR, q.L, q.C_ FROM spots JOIN bd q ON q.r = spots.qr AND q.c = spots.qc),
+lm AS MATERIALIZED (SELECT r, c, {', '.join(f"(sum(CASE WHEN valid THEN {b} ELSE 0e0 END) / {BOX * BOX}e0) / greatest(count(*) FILTER (valid) / {BOX * BOX}e0, 1e-6) AS lm_{b}" for b in ('NDVI', 'NDGR', 'NDBR', 'L', 'C_'))} FROM nb GROUP BY r, c)"""
 
 
 def _zonal_sql(box: bool = True) -> str:
@@ -90,20 +90,18 @@ def _zonal_sql(box: bool = True) -> str:
     return f""",
 z0 AS (SELECT seg, count(*) AS cnt, avg(p.r) AS mr, avg(p.c) AS mc, var_pop(p.r) AS rr, var_pop(p.c) AS cc, covar_pop(p.r, p.c) AS rc, avg(cos(radians(Hab))) AS cos_Hab, avg(sin(radians(Hab))) AS sin_Hab, {', '.join(cols)}
   FROM bd p {'JOIN lm ON p.r = lm.r AND p.c = lm.c' if box else ''} WHERE valid GROUP BY seg),
-z AS (SELECT *, 1e0 - sqrt(cos_Hab * cos_Hab + sin_Hab * sin_Hab) AS war_Hab, cnt * 0.0625e0 AS pow_m2,
+z AS MATERIALIZED (SELECT *, 1e0 - sqrt(cos_Hab * cos_Hab + sin_Hab * sin_Hab) AS war_Hab, cnt * 0.0625e0 AS pow_m2,
   sqrt(((rr + cc) / 2 + sqrt(greatest((rr + cc) / 2 * ((rr + cc) / 2) - (rr * cc - rc * rc), 0e0))) / greatest((rr + cc) / 2 - sqrt(greatest((rr + cc) / 2 * ((rr + cc) / 2) - (rr * cc - rc * rc), 0e0)), 1e-9)) AS wydluzenie FROM z0)"""
 
 
 ZONAL = BOX_SQL + _zonal_sql()
 ZONAL_NOBOX = BANDS_SQL + _zonal_sql(False)
 EDGES = """,
-ed AS (SELECT DISTINCT least(p.seg, q.seg) AS a, greatest(p.seg, q.seg) AS b FROM seg p JOIN seg q ON (p.r = q.r AND q.c = p.c + 1) OR (p.c = q.c AND q.r = p.r + 1) WHERE p.valid AND q.valid AND p.seg <> q.seg)"""
-EDGES = """,
-ed AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (
+ed AS MATERIALIZED (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (
   SELECT p.seg AS x, q.seg AS y FROM seg p JOIN seg q ON p.r = q.r AND q.c = p.c + 1 WHERE p.valid AND q.valid
   UNION ALL SELECT p.seg, q.seg FROM seg p JOIN seg q ON p.c = q.c AND q.r = p.r + 1 WHERE p.valid AND q.valid) WHERE x <> y)"""
 SCORED = ZONAL + EDGES + f""",
-sc AS (SELECT *, CASE WHEN cnt >= 4 THEN {FOREST_SQL} ELSE 0e0 END AS p, cnt * 0.0625e0 AS area, mc + 0.5e0 AS x, mr + 0.5e0 AS y FROM z),
+sc AS MATERIALIZED (SELECT *, CASE WHEN cnt >= 4 THEN {FOREST_SQL} ELSE 0e0 END AS p, cnt * 0.0625e0 AS area, mc + 0.5e0 AS x, mr + 0.5e0 AS y FROM z),
 pr AS (SELECT seg FROM sc WHERE cnt >= 4 AND p >= 0.6e0)"""
 COMPONENTS = """,
 rc(seg, obj) AS (SELECT seg, seg FROM pr UNION SELECT e.y, rc.obj FROM rc JOIN (SELECT a AS x, b AS y FROM ed UNION ALL SELECT b, a FROM ed) e ON e.x = rc.seg JOIN pr ON pr.seg = e.y),
@@ -118,7 +116,7 @@ mo AS (SELECT m.obj, any_value(cx) AS cx, any_value(cy) AS cy, sum(area) AS pow,
   FROM m JOIN ctr ON m.obj = ctr.obj GROUP BY m.obj),
 ring AS (SELECT mem.obj, count(*) AS ring_n, sum(s.area * s.sr_NDVI) / sum(s.area) AS ring_ndvi, sum(s.area * s.sr_L) / sum(s.area) AS ring_L
   FROM (SELECT a AS s, b AS t FROM ed UNION ALL SELECT b, a FROM ed) e JOIN mem ON mem.seg = e.s JOIN sc s ON s.seg = e.t WHERE e.t NOT IN (SELECT seg FROM mem) GROUP BY mem.obj),
-ob AS (SELECT mo.*, sqrt(((sxx + syy) / 2 + sqrt(greatest((sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy), 0e0))) / greatest((sxx + syy) / 2 - sqrt(greatest((sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy), 0e0)), 1e-9)) AS elong,
+ob AS MATERIALIZED (SELECT mo.*, sqrt(((sxx + syy) / 2 + sqrt(greatest((sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy), 0e0))) / greatest((sxx + syy) / 2 - sqrt(greatest((sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy), 0e0)), 1e-9)) AS elong,
   coalesce(ring_n, 0) AS ring_n, coalesce(ring_ndvi, 0e0) AS ring_ndvi, coalesce(ring_L, 0e0) AS ring_L FROM mo LEFT JOIN ring ON mo.obj = ring.obj)"""
 
 
