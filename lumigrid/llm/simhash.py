@@ -45,14 +45,15 @@ def simhash(texts: pa.Array, k: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS) -> DataFrame:
-    """Rows (id, fp) with the SimHash as a signed long; one row per input row."""
+    """Rows (id, fp, mark): the SimHash as a signed long and a hash that names the text; one row per
+    input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash(b.column(1), k).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash(b.column(1), k).view(np.int64)), b.column(2)], names=["id", "fp", "mark"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, f"id {kind}, fp bigint, mark bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -171,7 +172,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = 50
 
 
 def near_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS, radius: int = RADIUS, bucket_limit: int = 50_000) -> DataFrame:
-    """Rows (id, fp, root, component_id), one per input row.
+    """Rows (id, fp, mark, root, component_id), one per input row.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest id
     reachable. Null and empty texts have fingerprint 0 and are linked like any other; rows with a
@@ -183,21 +184,21 @@ def near_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: in
     roots = connected_components(near_links(distinct, radius, bucket_limit))
     named = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(lows, "root"), "fp").select("id", "fp", "root", "component_id")
+    return fps.join(named.select("fp", "root").join(lows, "root"), "fp").select("id", "fp", "mark", "root", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` without all but one of each near-duplicate group: the smallest id stays
     (of repeated rows with that id one, of a group without ids one)."""
     groups = near_groups(df, text, id_col, **options)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
-    named = df.where(F.col(id_col).isNotNull()).join(kept.where("id is not null").select(F.col("id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    if not kept.where("id is null").limit(1).count():
-        return named
-    bare = df.where(F.col(id_col).isNull()).dropDuplicates([text])
-    with_fp = fingerprints(bare.withColumn(id_col, F.col(text)), text, id_col).withColumnRenamed("id", "__text")
-    chosen = with_fp.join(kept.where("id is null").select("root", F.col("fp").alias("__fp")), F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min("__text").alias("__text"))
-    return named.unionByName(bare.join(chosen, F.col(text).eqNullSafe(F.col("__text")), "left_semi"))
+    lowest = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = lowest.groupBy("root").agg(F.min("mark").alias("__mark"), F.first("component_id").alias("__id"), F.count("*").alias("n"))
+    chosen = materialise(chosen, "simhash-kept")
+    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.xxhash64(text) == F.col("__mark"))
+    out = df.join(chosen.select("__id", "__mark"), same, "left_semi")
+    if chosen.where("n > 1").limit(1).count():  # rows that share the lowest id: some may be repeated
+        out = out.dropDuplicates([id_col, text])
+    return out
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

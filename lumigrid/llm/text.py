@@ -192,7 +192,7 @@ def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
 
     if rising and len(values):
         values = np.concatenate([values[:1], values[1:] - values[:-1]])
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
