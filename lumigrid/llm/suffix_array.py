@@ -451,14 +451,39 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """``docs`` with repeated passages cut out of the texts. Bytes of a character that is cut
     through are dropped; documents of which no word is left go. n_chars, where there is one, is
     counted anew."""
-    valid = F.regexp_replace(F.make_valid_utf8(F.coalesce("kept", F.lit(b"")).cast("string")), "\ufffd", "")
-    result = remove_repeats(docs, text, id_col).where("n_removed > 0").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.lit(True).alias("__hit"), valid.alias("__text"))
-    joined = docs.join(result, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("__digest")), "left")
-    hit = F.col("__hit").isNotNull()
-    out = joined.where(~hit | F.col("__text").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.when(hit, F.col("__text")).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    texts, meta, size = keyed(docs, text, id_col)
+    meta = materialise(meta, "suffix-meta")
+    spans = repeated_spans(texts, meta.where("not copy").select("key"), size)
+    by_doc = spans.groupBy(F.col("ord").alias("key")).agg(F.collect_list("start").alias("__starts"), F.collect_list("stop").alias("__stops"))
+    gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
+    hits = meta.withColumn("__gone", gone).join(by_doc, "key", "left").where("__gone or __starts is not null")
+    hits = hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__gone", "__starts", "__stops")
+    # documents move once, to meet what is cut from them
+    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("__digest")), "left").drop("__id", "__digest")
+    columns = docs.columns
+    at = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, text):
+            new = b.column(at).to_pylist()
+            hit = [False] * b.num_rows
+            for r, (away, starts, stops) in enumerate(zip(*(b.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
+                if away or starts:
+                    raw, hit[r], out, last = new[r].encode(), True, [], 0
+                    _, s, e = (None, [0], [len(raw)]) if away else join_spans(np.zeros(len(starts), np.int64), np.array(starts, np.int64), np.array(stops, np.int64))
+                    for x, y in zip(s, e, strict=True):
+                        out.append(raw[last:x])
+                        last = y
+                    new[r] = b"".join([*out, raw[last:]]).decode("utf-8", "ignore")
+            parts = list(b.columns[: len(columns)])
+            parts[at] = pa.array(new, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(hit)], names=[*columns, "__hit"])
+
+    out = joined.mapInArrow(run, docs.limit(0).withColumn("__hit", F.lit(False)).schema)
+    out = out.where(~F.col("__hit") | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("__hit"), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

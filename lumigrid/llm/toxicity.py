@@ -31,6 +31,7 @@ from lumigrid.llm.text import PLAIN, mix64, sliced, text_buffer, words, xxh64
 ROWS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 MAX_TOXIC, MAX_CLEAN, EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 3000, 6000, 12, 1200, 64, 0.1, 7
 OFFSETS = sum(WIDTHS)
+SCORE_BYTES = 1 << 20
 LEAST_TOXIC = 30  # calibration documents of a language
 
 
@@ -179,8 +180,7 @@ def _best_cut(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, w: np.ndarray, lang: list, least: int = LEAST_TOXIC) -> None:
     if not len(docs) or y.min() == y.max():
         return
-    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    p = score(model, np.concatenate(docs), first)
+    p = np.concatenate([score(model, np.concatenate(part), np.concatenate([[0], np.cumsum([len(d) for d in part])])) for part in (docs[k : k + BATCH] for k in range(0, len(docs), BATCH))])
     if y.sum() >= LEAST_TOXIC:  # else too few to move the cut
         model.default = _best_cut(p, y, w)
     for name in {x for x in lang if x is not None}:
@@ -237,7 +237,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SCORE_BYTES):
             p = score(shared.value, *token_rows(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*columns, "toxicity"])
 
