@@ -56,6 +56,16 @@ def test_minhash_fingerprints(spark, docs):
     assert np.abs(np.mean(off)) < 0.02 and np.max(np.abs(off)) < 0.25
 
 
+def test_minhash_of_long_texts():
+    n = 200_000
+    texts = [" ".join(f"{c}{i}" for i in range(n)) for c in "ab"] + [" ".join([f"a{i}" for i in range(n // 2)] + [f"c{i}" for i in range(n // 2)])]
+    sig = minhash.signatures(minhash.pa.array([*texts, "", None]))
+    assert minhash.likeness(sig[:1], sig[1:2])[0] < 0.03
+    assert abs(minhash.likeness(sig[:1], sig[2:3])[0] - 1 / 3) < 0.15
+    assert (sig[3:] == 65535).all() and minhash.likeness(sig[:1], sig[3:4])[0] == 0
+    assert all(len(np.unique(s)) > 100 for s in sig[:3])
+
+
 def test_minhash_groups(spark, docs):
     got = dict(rows_of(minhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), bucket_rows=3), "doc_id", "class_id"))
     sets, root = [shingle_set(t) for _, t in docs], list(range(len(docs)))
