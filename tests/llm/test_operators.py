@@ -138,6 +138,32 @@ def test_lm_scores(spark, docs):
         assert r.score < 0
 
 
+def test_lm_scores_equal_one_tree(spark, docs):
+    """The tree in partitions scores like the tree built at once, with every context of two occurrences."""
+    lm = suffix_tree_lm
+    w = lm.words(*lm.text_buffer(lm.pa.array([t for _, t in docs], lm.pa.string())))
+    train = np.array([zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs])
+    keys, counts = lm.shorter(*lm.grams(w, train))
+    _, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+    on = (np.bincount(at, weights=counts)[at] >= 2) | (keys >> np.uint64(56) == 0)
+    expected = lm.score(lm.build(keys[on], counts[on], 0.0), w)
+    got = {r.doc_id: r.score for r in lm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), min_gain=0.0).collect()}
+    assert np.allclose([got[i] for i, _ in docs], expected, rtol=1e-4)
+
+
+def test_lm_keeps_rare_contexts_of_large_inputs(spark):
+    """A passage of 15 copies is learnt whether much or little else is in the corpus."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnop    ", np.uint8)
+    copies = [(i, "zyxwvu utsrqz xwzyvt " * 3) for i in range(15)]
+    scores = []
+    for size in (20_000, 400_000):
+        filler = [(100 + i, bytes(rng.choice(letters, size)).decode()) for i in range(16)]
+        out = suffix_tree_lm.lm_scores(spark.createDataFrame(copies + filler, "doc_id bigint, text string")).where("doc_id < 15")
+        scores.append(out.agg(F.avg("score")).first()[0])
+    assert scores[1] > 1.5 * scores[0]
+
+
 def test_tree_is_a_distribution():
     text = np.frombuffer(b"abracadabra abracadabra " * 50, np.uint8)
     w = suffix_tree_lm.words(text, np.array([0, len(text)]))
