@@ -476,24 +476,24 @@ def running_ids(spark, d):
 
 def _stack(spark, d) -> tuple[DataFrame, DataFrame, modes.GrowRecipe]:
     ndvi, lightness = pixel.growing_space("ndvi_L", ("red", "green", "blue"))
-    px = views.pixels(spark, d).where("r < 100").select("r", "c", "valid", ndvi.alias("f0"), lightness.alias("f1"))
+    px = views.pixels(spark, d).select("r", "c", "valid", ndvi.alias("f0"), lightness.alias("f1"))
     seeds = views.points(spark, d).where("score > 8000").select(F.col("id").alias("gid"), "r", "c")
-    return px, seeds, modes.grow_recipe(("red", "green", "blue", "nir"), max_radius=6.0)
+    return px, seeds, modes.grow_recipe(("red", "green", "blue", "nir"))
 
 
 @query()
 def grow_reach(spark, d):
     """Regions by the within-reach rule."""
     px, seeds, recipe = _stack(spark, d)
-    return grow.grow_seeds(px, seeds, ["f0", "f1"], recipe, min(100, views.height(spark, d)), views.WIDTH, 64, 64)
+    return grow.grow_seeds(px, seeds, ["f0", "f1"], recipe, views.height(spark, d), views.WIDTH, 64, 64)
 
 
 @query()
 def grow_partition(spark, d):
     """Regions by the partition rule, cut afterwards."""
     px, seeds, _ = _stack(spark, d)
-    recipe = modes.grow_recipe(("red", "green", "blue", "nir"), "ndvi_L", "partition", max_radius=6.0)
-    return grow.grow_seeds(px, seeds, ["f0", "f1"], recipe, min(100, views.height(spark, d)), views.WIDTH, 64, 64)
+    recipe = modes.grow_recipe(("red", "green", "blue", "nir"), "ndvi_L", "partition")
+    return grow.grow_seeds(px, seeds, ["f0", "f1"], recipe, views.height(spark, d), views.WIDTH, 64, 64)
 
 
 @query()

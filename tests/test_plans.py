@@ -128,3 +128,12 @@ def test_models_and_names(tmp_path):
     assert split_layer("a.gpkg|layername=tops") == ("a.gpkg", "tops")
     assert Scene(10, 10, ("b1",)).affine.pixel_area == pytest.approx(0.0625)
     assert DetectConfig().overlap == 200
+
+
+def test_growing_takes_the_whole_scene(spark):
+    """All seeds on valid pixels are grown, also below row 100, to the operator's own radius."""
+    d = "/root/testdata/sf0.1"
+    px, seeds, recipe = catalog._stack(spark, d)
+    assert recipe.max_radius == 20
+    wanted = {r.gid for r in seeds.join(px.where("valid"), ["r", "c"]).select("gid").collect()}
+    assert {r.gid for r in catalog.grow_reach(spark, d).select("gid").distinct().collect()} == wanted
