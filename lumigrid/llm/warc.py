@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumigrid.llm.store import materialise, shared_dir
 
 MIN_PAYLOAD, FILE_BYTES, RANGE_BYTES = 0, 64 << 20, 16 << 20
-SCAN, FEED, MAX_HEADER = 16 << 10, 64 << 10, 1 << 20
+SCAN, FEED = 16 << 10, 64 << 10
 MAGIC = b"\x1f\x8b\x08"
 SCHEMA = "page_id {id}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {id}, html binary"
 
@@ -147,11 +147,13 @@ class Member:
 
     def header(self) -> dict[str, str] | None:
         """Header fields, or None if this is no WARC record."""
+        seen = 0
         try:
-            while (end := self.text.find(b"\r\n\r\n")) < 0:
+            while (end := self.text.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
+                seen = len(self.text)
                 if len(self.text) >= 5 and not self.text.startswith(b"WARC/"):
                     return None
-                if len(self.text) > MAX_HEADER or not self.more():
+                if not self.more():
                     return None
         except zlib.error:
             return None

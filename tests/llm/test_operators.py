@@ -192,6 +192,12 @@ def test_warc_round_trip_and_splits(spark, tmp_path):
     assert html == {b"same", b"", ("é" * 5000).encode(), rows[6][2].encode()}
 
 
+def test_warc_reads_urls_of_any_length(spark):
+    url = "data:" + np.random.default_rng(1).integers(0, 256, 1_000_000, np.uint8).tobytes().hex()
+    pages = spark.createDataFrame([(1, url, "one"), (2, "http://b", "two")], "page_id bigint, url string, html string")
+    assert sorted(rows_of(warc.round_trip(pages), "page_id", "payload_bytes")) == [(1, 3), (2, 3)]
+
+
 # --- 5 ------------------------------------------------------------------------------------------------
 
 
