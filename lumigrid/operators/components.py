@@ -7,6 +7,8 @@ one task. Rounds are cut by tables in the shared checkpoint folder, never by loc
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,23 +16,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_TABLES: list[str] = []
+#: A write ends with the removal of the shuffles it made; batches to Python workers are kept small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Only where that is unset and the master is a local one
+    it is a temporary folder, which goes when the process ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="lumigrid-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
     return f"file://{_LOCAL['dir']}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write a frame to a fresh table in the shared folder and read it back, which cuts lineage."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _TABLES.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the tables of ``cut`` that a frame is read from. Nothing that is still to run may
+    depend on them: write what was made of them first."""
+    found = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in [p for p in _TABLES if any(_plain(f) == _plain(p) for f in found)]:
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has written, once no frame of this session is needed any more."""
+    for path in list(_TABLES):
+        _delete(spark, path)
+
+
+def _plain(path: str) -> str:
+    return "/" + path.split(":", 1)[-1].lstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _TABLES.remove(path)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
