@@ -32,7 +32,7 @@ from lumigrid.llm.store import materialise
 from lumigrid.llm.text import binary, sliced, text_buffer, words, xxh64
 
 WINDOW, QUANTUM, DEPTH, END_ID = 2048, 16, 3, 1
-TOKENIZE_BYTES = 16 << 20
+TOKENIZE_BYTES, CACHE_WORDS = 1 << 20, 200_000
 
 
 def default_tokenizer() -> str:
@@ -48,7 +48,7 @@ class WordTokenizer:
     """Ids as ``tokenizers`` gives them for a BPE file with word ends (add_special_tokens=False).
 
     Such a tokenizer never joins text across white space, so each distinct word of a batch is
-    encoded once. Words go through the byte-pair core of ``tiktoken`` with the file's own
+    encoded once, and up to CACHE_WORDS words are remembered from one batch to the next. Words go through the byte-pair core of ``tiktoken`` with the file's own
     vocabulary (a word end is the byte 0xFF, which no UTF-8 text holds); texts with a special
     token's string go through ``tokenizers`` itself.
     """
@@ -72,8 +72,12 @@ class WordTokenizer:
         self.core = core.CoreBPE(ranks, {}, r".")
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split).findall
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
-    def word(self, w: bytes) -> list[int]:
+    def word(self, w: bytes) -> tuple[int, ...]:
+        found = self.known.get(w)
+        if found is not None:
+            return found
         text = w.decode()
         if not text.isascii():
             import unicodedata
@@ -82,7 +86,11 @@ class WordTokenizer:
         out: list[int] = []
         for piece in self.pieces(text):
             out += self.core.encode_single_piece(piece.encode() + b"\xff")
-        return out
+        if len(w) <= 64:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[w] = tuple(out)
+        return tuple(out)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch and the range of each text, each text closed by END_ID."""

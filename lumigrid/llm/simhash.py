@@ -21,26 +21,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumigrid.llm import near
+from lumigrid.llm.gray import GrayIndex, spanning
 from lumigrid.llm.store import materialise
-from lumigrid.llm.text import shingles, sliced, text_buffer, words, xxh64
+from lumigrid.llm.text import Shingles, Words, shingles, sliced, text_buffer, words, xxh64
 from lumigrid.operators.components import connected_components
 
-RADIUS, SHINGLE_WORDS, FANOUT = 3, 3, 16
+RADIUS, SHINGLE_WORDS = 3, 3
+VOTE_ROWS = 1 << 15
 
 
 def simhash(texts: pa.Array, k: int = SHINGLE_WORDS) -> np.ndarray:
     """SimHash of each text: a bit is 1 if it is set in over half the shingles' hashes."""
     buf, offsets = text_buffer(texts)
     w = words(buf, offsets)
-    s = shingles(w, k)
+    return votes_of(w, shingles(w, k))
+
+
+def votes_of(w: Words, s: Shingles) -> np.ndarray:
+    """Majority bits of the shingles' hashes, for each row."""
     per = np.diff(s.first)
     out = np.zeros(len(per), np.uint64)
-    full = np.flatnonzero(per)
-    if len(full):
-        h = xxh64(w.buf, s.start, s.length)
+    votes = np.zeros((len(per), 64), np.int32)
+    for at in range(0, len(s.start), VOTE_ROWS):  # bounded, however long a text is
+        h = xxh64(w.buf, s.start[at : at + VOTE_ROWS], s.length[at : at + VOTE_ROWS])
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, s.first[:-1][full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * votes > per[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        row = np.searchsorted(s.first, np.arange(at, at + len(h)), "right") - 1
+        own, first = np.unique(row, return_index=True)
+        votes[own] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    full = np.flatnonzero(per)
+    out[full] = np.packbits(2 * votes[full] > per[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -53,70 +63,7 @@ def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash(b.column(1), k).view(np.int64)), b.column(2)], names=["id", "fp", "mark"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, f"id {kind}, fp bigint, mark bigint")
-
-
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Position of each code in the reflected Gray sequence."""
-    x = x.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
-
-
-class GrayIndex:
-    """Index over the fingerprints of several buckets, rows sorted by (bucket, Gray rank)."""
-
-    def __init__(self, bucket: np.ndarray, fp: np.ndarray, fanout: int = FANOUT):
-        order = np.lexsort((gray_rank(fp), bucket))
-        self.order, self.fp = order, fp[order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # mask, pattern, first child
-        ones, zeros, owner = self.fp, ~self.fp, np.unique(bucket[order], return_inverse=True)[1]
-        while True:
-            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            inside = np.arange(len(owner)) - np.repeat(starts, np.diff(np.append(starts, len(owner))))
-            first = np.flatnonzero(inside % fanout == 0)
-            ones, zeros, owner = np.bitwise_and.reduceat(ones, first), np.bitwise_and.reduceat(zeros, first), owner[first]
-            self.levels.append((ones | zeros, ones, np.append(first, len(inside))))
-            if len(starts) == len(first):
-                break
-        self.root = np.unique(bucket[order], return_inverse=True)[1]
-
-    def pairs(self, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (q, p), p < q in index order, within the radius; q among ``rows``."""
-        q, node = rows, self.root[rows]
-        diff, known = np.zeros(len(rows), np.uint8), np.zeros(len(rows), np.uint64)
-        for mask, pattern, first in reversed(self.levels):
-            diff = diff + np.bitwise_count((self.fp[q] ^ pattern[node]) & mask[node] & ~known)
-            on = diff <= radius
-            q, node, diff = q[on], node[on], diff[on]
-            count = first[node + 1] - first[node]
-            child = np.repeat(first[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            known = np.repeat(mask[node], count)
-            q, node, diff = np.repeat(q, count), child, np.repeat(diff, count)
-            if first is self.levels[0][2]:
-                on = node < q
-                q, node, diff, known = q[on], node[on], diff[on], known[on]
-        on = diff + np.bitwise_count((self.fp[q] ^ self.fp[node]) & ~known) <= radius
-        return q[on], node[on]
-
-
-def spanning(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest vertex of each vertex's component, given links a-b and earlier labels."""
-    label = np.arange(n) if label is None else label
-    while len(a):
-        la, lb = label[a], label[b]
-        on = la != lb
-        if not on.any():
-            break
-        a, b, la, lb = a[on], b[on], la[on], lb[on]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
+    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")).mapInArrow(run, f"id {kind}, fp bigint, mark bigint")
 
 
 def _bucket_links(radius: int):
@@ -188,17 +135,23 @@ def near_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: in
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` without all but one of each near-duplicate group: the smallest id stays
-    (of repeated rows with that id one, of a group without ids one)."""
+    """The rows of ``df`` without all but one of each group of ``near_groups``: the smallest id stays
+    (a null id only where there is no other, of repeated rows one)."""
     groups = near_groups(df, text, id_col, **options)
-    lowest = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-    chosen = lowest.groupBy("root").agg(F.min("mark").alias("__mark"), F.first("component_id").alias("__id"), F.count("*").alias("n"))
-    chosen = materialise(chosen, "simhash-kept")
-    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.xxhash64(text) == F.col("__mark"))
-    out = df.join(chosen.select("__id", "__mark"), same, "left_semi")
-    if chosen.where("n > 1").limit(1).count():  # rows that share the lowest id: some may be repeated
-        out = out.dropDuplicates([id_col, text])
-    return out
+    roots = groups.groupBy("mark").agg(F.min("root").alias("root"))
+    return near.one_of_each(df, materialise(roots, "simhash-roots"), text, id_col)
+
+
+def drop_near_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = near.SHINGLE_WORDS, likeness: float = near.LIKENESS) -> DataFrame:
+    """The rows of ``df`` without all but one of each group of texts that Jaccard likenesses of
+    ``likeness`` or more over k-word shingles connect; which stays is as in
+    ``drop_near_duplicates``.
+
+    Such texts differ in about 10 of 64 SimHash bits, too many to route fingerprints by blocks of
+    bits. So bands of MinHash are the buckets, in which the Gray-order index over the fingerprints
+    is searched at a radius of 24 bits, and the shingle sets decide.
+    """
+    return near.one_of_each(df, near.near_classes(df, text, k, likeness), text, id_col)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
-"""Materialised intermediate tables in the folder all executors share.
+"""Tables written in between, and joins on keys of which a few may be very frequent.
 
-``spark.checkpoint.dir`` names it; only where it is unset (as in tests) a local folder is used.
-A table written there cuts lineage and survives the loss of any executor.
+``spark.checkpoint.dir`` names the folder of such tables; only where it is unset on a local master
+(as in tests) a local folder is used. A table written there cuts lineage and survives the loss of
+any executor.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumigrid.operators.components import checkpoint_dir, cut
+from lumigrid.operators.components import checkpoint_dir, cut, release
+
+__all__ = ["materialise", "release", "shared_dir", "spread_join", "tasks"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Shuffle partitions of the session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``big`` joined with ``small`` (a row per key), hot keys spread over tasks.
+
+    A key with more rows than a quarter of a task's share is dealt out by a salt, and its row of
+    ``small`` repeated once a salt. There are fewer than four such keys a task, which bounds what is
+    broadcast. ``big`` is read twice. Keys must not be null.
+    """
+    parts = tasks(big.sparkSession)
+    counts = big.groupBy(key).agg(F.count("*").alias("__n"))
+    share = max(1, big.count() // (4 * parts))
+    hot = counts.where(F.col("__n") > share).select(key, F.ceil(F.col("__n") / share).cast("int").alias("__salts"))
+    dealt = big.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64("__at"), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__at", "__salts")
+    copies = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, LONG_SPAN = 1 << 20, 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -102,8 +102,19 @@ def _rotl(x: np.ndarray, r: int) -> np.ndarray:
 
 
 def xxh64(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of many spans of one buffer, column by column: all spans take each step together."""
+    """XXH64 of many spans of one buffer, column by column: all spans take each step together. Long
+    spans are few and are hashed one by one."""
     start, length = start.astype(np.int64), length.astype(np.int64)
+    far = np.flatnonzero(length > LONG_SPAN)
+    if len(far):
+        import xxhash
+
+        out = np.empty(len(start), np.uint64)
+        near = np.flatnonzero(length <= LONG_SPAN)
+        out[near] = xxh64(buf, start[near], length[near], seed)
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[far] = [xxhash.xxh64_intdigest(raw[a : a + n], seed) for a, n in zip(start[far].tolist(), length[far].tolist(), strict=True)]
+        return out
     padded = np.concatenate([buf, np.zeros(40, np.uint8)])
     wide = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
     half = np.ndarray((len(padded) - 3,), "<u4", padded, 0, (1,))
