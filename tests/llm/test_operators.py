@@ -135,20 +135,57 @@ def test_lm_scores(spark, docs):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (split[i], len(w) + 1, sum(x in count for x in w) + 1, n)
         assert r.base_score == pytest.approx(base)
-        assert r.score < 0
 
 
-def test_lm_scores_equal_one_tree(spark, docs):
-    """The tree in partitions scores like the tree built at once, with every context of two occurrences."""
-    lm = suffix_tree_lm
-    w = lm.words(*lm.text_buffer(lm.pa.array([t for _, t in docs], lm.pa.string())))
-    train = np.array([zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs])
-    keys, counts = lm.shorter(*lm.grams(w, train))
-    _, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-    on = (np.bincount(at, weights=counts)[at] >= 2) | (keys >> np.uint64(56) == 0)
-    expected = lm.score(lm.build(keys[on], counts[on], 0.0), w)
-    got = {r.doc_id: r.score for r in lm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), min_gain=0.0).collect()}
-    assert np.allclose([got[i] for i, _ in docs], expected, rtol=1e-4)
+def slow_tree(docs, split, depth=2, min_gain=4.0):
+    """log10 probability of each text by a tree of dictionaries, and its distributions."""
+    end, texts = b"\n", {i: [*words(t), b"\n"] for i, t in docs}
+    count = Counter(x for i in texts if not split[i] for x in texts[i])
+    n, v = sum(count.values()), len(count)
+    nexts = {}
+    for i, w in texts.items():
+        if not split[i]:
+            for k in range(len(w)):
+                for d in range(1, depth + 1):
+                    if k - d >= -1:
+                        nexts.setdefault(tuple(([end] * (k - d < 0) + w[max(k - d, 0) : k])), Counter())[w[k]] += 1
+    states = {}
+
+    def p(context, x):
+        for k in range(len(context) + 1):
+            if k == len(context):
+                return (count[x] + 1) / (n + v + 1)
+            if context[k:] in states:
+                break
+        c, total = states[context[k:]]
+        return 0.4 * c[x] / total + 0.6 * p(context[k + 1 :], x)
+
+    for d in range(1, depth + 1):
+        found = {}
+        for context, c in nexts.items():
+            total = sum(c.values())
+            if len(context) == d and total >= 2 and (d == 1 or context[1:] in states):
+                lower = {x: round(-math.log2(p(context[1:], x)) * 8) / 8 for x in c}
+                if sum(k * (math.log(k / total) + lower[x] * math.log(2)) for x, k in c.items()) >= min_gain:
+                    found[context] = (c, total)
+        states |= found
+    scores = {i: sum(math.log10(p(tuple(([end] * (k < depth) + w[max(k - depth, 0) : k])), x)) for k, x in enumerate(w)) for i, w in texts.items()}
+    return scores, states, p, [*count, b"no such word"]
+
+
+def test_lm_scores_equal_a_slow_tree(spark, docs):
+    split = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    want, states, p, symbols = slow_tree(docs, split)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert {len(c) for c in states} == {1, 2}
+    assert np.allclose([got[i] for i, _ in docs], [want[i] for i, _ in docs], rtol=1e-9)
+    for context in [(), *list(states)[:3], *[c for c in states if len(c) == 2][:3]]:
+        assert sum(p(context, x) for x in symbols) == pytest.approx(1)
+
+
+def test_lm_is_better_than_its_base_on_texts_held_out(spark):
+    got = suffix_tree_lm.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.4
 
 
 def test_lm_keeps_rare_contexts_of_large_inputs(spark):
@@ -164,16 +201,19 @@ def test_lm_keeps_rare_contexts_of_large_inputs(spark):
     assert scores[1] > 1.5 * scores[0]
 
 
-def test_tree_is_a_distribution():
-    text = np.frombuffer(b"abracadabra abracadabra " * 50, np.uint8)
-    w = suffix_tree_lm.words(text, np.array([0, len(text)]))
-    keys, counts = suffix_tree_lm.shorter(*suffix_tree_lm.grams(w, np.array([True])))
-    tree = suffix_tree_lm.build(keys, counts, 1.0)
-    p = 10.0 ** tree.logp
-    unseen = 256 - (p.shape[1] - 1)
-    assert np.allclose(p[:, :-1].sum(axis=1) + unseen * p[:, -1], 1, atol=1e-4) and len(p) > 5
-    ordered, mixed = (suffix_tree_lm.words(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"abracadabra", b"rabbcaardaa"))
-    assert suffix_tree_lm.score(tree, ordered)[0] > suffix_tree_lm.score(tree, mixed)[0]
+def test_lm_deals_hot_contexts_out():
+    lm = suffix_tree_lm
+    vocabulary = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    code = np.ravel(np.column_stack([np.zeros(4999, np.int64), np.arange(1, 5000)]))
+    texts = lm.Texts(vocabulary, np.append(code, 5000), np.array([0, len(code) + 1]), np.array([True]))
+    counts = np.full(5001, 2)
+    counts[0] = 8 * lm.HOT
+    g = lm.grams(texts, None, counts, None)
+    after = g.n[g.order] > 2
+    assert g.hot[after].all() and not g.hot[~after].any() and len(np.unique(g.home[after])) == 9
+    cut = lm.cells(g.home, 7)
+    assert cut[0] == 0 and cut[-1] == len(g.home) and (np.diff(g.home.astype(np.int64)) >= 0).all()
+    assert [int(h) * 7 >> 40 for h in g.home] == np.repeat(np.arange(7), np.diff(cut)).tolist()
 
 
 # --- 4 ------------------------------------------------------------------------------------------------
