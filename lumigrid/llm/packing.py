@@ -32,7 +32,7 @@ from lumigrid.llm.store import materialise
 from lumigrid.llm.text import binary, sliced, text_buffer, words, xxh64
 
 WINDOW, QUANTUM, DEPTH, END_ID = 2048, 16, 3, 1
-TOKENIZE_BYTES, CACHE_WORDS = 1 << 20, 200_000
+TOKENIZE_BYTES, CACHE_WORDS = 4 << 20, 200_000
 
 
 def default_tokenizer() -> str:

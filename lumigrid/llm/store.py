@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumigrid.operators.components import checkpoint_dir, cut, release
 
-__all__ = ["materialise", "release", "shared_dir", "spread_join", "tasks"]
+__all__ = ["fresh", "materialise", "release", "shared_dir", "spread_join", "tasks"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +42,15 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     dealt = big.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64("__at"), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__at", "__salts")
     copies = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names for internal use that ``df`` does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        k = 0
+        while (made := f"__{name}{k or ''}") in taken:
+            k += 1
+        taken.add(made)
+        out.append(made)
+    return out

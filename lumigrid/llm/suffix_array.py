@@ -10,15 +10,18 @@ anchors compares all windows. 1. Copies of whole texts are set aside (all but th
 texts goes, if it is long enough). 2. Anchor hashes are packed per batch and partition; partitions
 by hash keep those that occur more than once. 3. The documents that hold any are met with their
 anchors, and for each anchor the bytes around it that its windows span go out as a suffix entry.
+Anchors whose bytes an earlier anchor of the same document has are settled in the scan: their windows
+recur, and others compare with the earlier ones, so periodic text makes no more entries than a period.
 4. Sampled splitters over (leading bytes, id, place) range-partition the entries, so that a passage
 that very many documents share spreads over several buckets. 5. A bucket sorts its entries by
 multikey quicksort on 8-byte words, and marks windows that an earlier entry of its run of equal
 leading bytes has. Where a run crosses bucket boundaries, the first occurrence of each of its
 windows goes on, and a grouped minimum over them compares across boundaries.
 
-Null and empty texts are kept as they are (nothing to remove). Null ids sort first. Repeated rows
-are copies: of rows equal in id and text all but one are removed. Windows are told apart by 64-bit
-hashes of their bytes; anchors are compared byte by byte over the ``SEED`` bytes.
+Null and empty texts are kept as they are (nothing to remove). Ids may be of any type that sorts;
+null ids sort first. Repeated rows are copies: of rows equal in id and text all but one are removed,
+each with a row of its own in the result. Windows are told apart by 64-bit hashes of their bytes;
+anchors are compared byte by byte over the ``SEED`` bytes.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import materialise
+from lumigrid.llm.store import fresh, materialise, spread_join, tasks
 from lumigrid.llm.text import binary, mix64, sliced, text_buffer
 
 LENGTH, SEED = 100, 32
 SPAN = LENGTH - SEED  # windows reach that far before their anchor
-SAMPLE_PER_BUCKET = 64
+SAMPLE_PER_BUCKET, PIECE = 64, 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,23 +79,50 @@ def sliding_last_min(h: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a batch: place in ``buf``, hash, first and last window start that it owns."""
+def anchors(buf: np.ndarray, offsets: np.ndarray, step: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a batch: place in ``buf``, hash, first and last window start that it owns. Long
+    buffers are taken in pieces of ``step`` windows."""
     size = np.diff(offsets)
     long = np.flatnonzero(size >= LENGTH)
-    if not len(long):
+    out = []
+    if len(long):
+        begin, end = offsets[:-1][long], offsets[1:][long] - LENGTH + 1  # windows inside one document
+        for at in range(0, len(buf) - LENGTH + 1, step):
+            h = seed_hashes(buf[at : at + step + LENGTH - 1])
+            own = sliding_last_min(h, SPAN + 1)
+            x, y = np.clip(begin - at, 0, len(own)), np.clip(end - at, 0, len(own))
+            inside = np.zeros(len(own) + 1, np.int32)
+            np.add.at(inside, x, 1)
+            np.add.at(inside, y, -1)
+            start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            if len(start):
+                own = own[start]
+                cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)))
+                out.append((own[cut] + at, h[own[cut]], start[cut] + at, start[np.append(cut[1:], len(start)) - 1] + at))
+    if not out:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    h = seed_hashes(buf)
-    owner = sliding_last_min(h, SPAN + 1)
-    # windows inside one document
-    n = len(owner)
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, offsets[long], 1)
-    np.add.at(inside, offsets[long] + size[long] - LENGTH + 1, -1)
-    start = np.flatnonzero(np.cumsum(inside[:n]) > 0)
-    own = owner[start]
-    cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
-    return own[cut], h[own[cut]], start[cut], start[np.append(cut[1:], len(start)) - 1]
+    place, h, lo, hi = (np.concatenate([x[k] for x in out]) for k in range(4))
+    on = np.append(True, (place[1:] != place[:-1]) | (lo[1:] != hi[:-1] + 1))  # a piece's end may part an anchor
+    return place[on], h[on], lo[on], hi[np.append(np.flatnonzero(on)[1:], len(on)) - 1]
+
+
+def recurring(buf: np.ndarray, offsets: np.ndarray, place: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+    """Anchors all of whose windows occur earlier in the same document: their bytes equal, one by
+    one, those of the document's first anchor of the same hash and reach."""
+    row = np.searchsorted(offsets, place, "right").astype(np.uint64)
+    with np.errstate(over="ignore"):
+        kind = mix64(h ^ mix64((row << np.uint64(20)) ^ ((place - lo).astype(np.uint64) << np.uint64(10)) ^ (hi - lo).astype(np.uint64)))
+    _, first, inverse = np.unique(kind, return_index=True, return_inverse=True)
+    first = first[inverse]
+    out = np.zeros(len(place), bool)
+    todo = np.flatnonzero((first != np.arange(len(place))) & (row[first] == row) & (place - lo == (place - lo)[first]) & (hi - lo == (hi - lo)[first]))
+    col = np.arange(SPAN + 1 + LENGTH)
+    for at in range(0, len(todo), chunk):
+        own = todo[at : at + chunk]
+        width = (hi - lo)[own] + LENGTH
+        x, y = (np.minimum(k[:, None] + col, len(buf) - 1) for k in (lo[own], lo[first[own]]))
+        out[own] = ((buf[x] == buf[y]) | (col >= width[:, None])).all(axis=1)
+    return out
 
 
 # --- the local sort ----------------------------------------------------------------------------------
@@ -158,7 +188,8 @@ _NAMES = ["kind", "batch", "part", "key", "data", "codes"]
 def _list_anchors(parts: int, sample: float):
     """Batches of texts in. Rows of kind 0 hold a document's anchor places, each with a number in
     the batch's list of distinct hashes; of kind 1 that list in one partition of hashes, with a
-    mark where the batch itself has the hash twice; of kind 2 sampled leading bytes."""
+    mark where the batch itself has the hash twice; of kind 2 sampled leading bytes; of kind 3 the
+    spans of windows that recur inside a document."""
 
     def rows(kind: int, batch: int, part: list, key: list, data: list, codes: list) -> pa.RecordBatch:
         n = len(data)
@@ -168,10 +199,19 @@ def _list_anchors(parts: int, sample: float):
         batch, limit = TaskContext.get().partitionId() << 24, np.uint64(min(sample, 1.0) * (2**64 - 2**12))
         for b in sliced(batches, "text"):
             buf, offsets = text_buffer(b.column(1))
-            place, h, _, _ = anchors(buf, offsets)
+            place, h, lo, hi = anchors(buf, offsets)
             if not len(place):
                 continue
             batch += 1
+            keys = b.column(0).to_numpy()
+            again = recurring(buf, offsets, place, h, lo, hi)
+            if again.any():
+                row = np.searchsorted(offsets, place[again], "right") - 1
+                row, x, y = join_spans(row, lo[again] - offsets[row], hi[again] + LENGTH - offsets[row])
+                have, edge = np.unique(row, return_index=True)
+                edge = np.append(edge, len(row))
+                yield rows(3, batch, [-1] * len(have), keys[have].tolist(), [x[p:q].astype(np.int64).tobytes() for p, q in zip(edge, edge[1:], strict=False)], [y[p:q].astype(np.int64).tobytes() for p, q in zip(edge, edge[1:], strict=False)])
+            place, h = place[~again], h[~again]
             row = np.searchsorted(offsets, place, "right") - 1
             distinct, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             part = (distinct >> np.uint64(40)).astype(np.int64) % parts
@@ -184,7 +224,6 @@ def _list_anchors(parts: int, sample: float):
             yield rows(1, batch, found, [None] * len(found), [h_of[cuts[p] : cuts[p + 1]].tobytes() for p in found], [np.packbits(twice[cuts[p] : cuts[p + 1]]).tobytes() for p in found])
             have, first = np.unique(row, return_index=True)
             edge = np.append(first, len(row))
-            keys = b.column(0).to_numpy()
             near, codes = (place - offsets[row]).astype(np.int32), rank[inverse]
             yield rows(0, batch, [-1] * len(have), keys[have].tolist(), [near[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)], [codes[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)])
             pick = np.flatnonzero(mix64(h ^ (keys[row].astype(np.uint64) * _MULT) ^ near.astype(np.uint64)) <= limit)
@@ -356,11 +395,19 @@ def join_spans(o: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return o[edge], s[edge], reach[np.append(edge[1:], len(o)) - 1] - shift[edge]
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of packed spans in, one row a span out."""
+    for b in batches:
+        for key, starts, stops in zip(*(b.column(c).to_pylist() for c in (b.schema.get_field_index(k) for k in ("key", "data", "codes"))), strict=True):
+            x, y = np.frombuffer(starts, np.int64), np.frombuffer(stops, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array(x), pa.array(y)], names=["ord", "start", "stop"])
+
+
 def repeated_spans(docs: DataFrame, chosen: DataFrame, n_bytes: int) -> DataFrame:
     """Rows (ord, start, stop): spans of bytes to remove from the documents (key, text) whose key is
     in ``chosen``; smaller keys are earlier. Spans of a document may overlap."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks(spark)
     texts = docs.where(F.octet_length("text") >= LENGTH)
     sample = parts * SAMPLE_PER_BUCKET / max(1, n_bytes * 2 // (SPAN + 2))
     listed = materialise(texts.mapInArrow(_list_anchors(parts, sample), _LISTED), "suffix-anchors")
@@ -377,7 +424,8 @@ def repeated_spans(docs: DataFrame, chosen: DataFrame, n_bytes: int) -> DataFram
     shared = {h for h, _ in splits}
     entries = texts.join(marked, "key").select("key", "text", "places").mapInArrow(_entries(split_head, split_ord), ENTRY)
     spans = materialise(entries.repartition(parts, "bucket").mapInArrow(_resolve(shared), FOUND), "suffix-spans")
-    local = spans.where("key is null").select("ord", "start", "stop")
+    inner = listed.where("kind = 3").join(chosen, "key", "left_semi").mapInArrow(_unpack, "ord bigint, start bigint, stop bigint")
+    local = spans.where("key is null").select("ord", "start", "stop").union(inner)
     if not shared:
         return local
     # first occurrences in their buckets, compared across boundaries
@@ -408,37 +456,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """Documents as (key, text), a table (key, id, digest, n_bytes, copy), and the bytes in all.
-    Keys are the ids where they are unique; else ids are spread to make room for a number among
-    the texts of one id, and null ids come first."""
+    """Documents as (key, text), a table (key, id, digest, n_bytes, rows, copy) with a row for each
+    distinct id and text, and the bytes in all. Keys are the ids where those are whole numbers, unique
+    and not null; else they number ids and digests in order, null ids first."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    meta = base.select("id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")).distinct()
+    meta = base.select("id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")).groupBy("id", "digest", "n_bytes").agg(F.count("*").alias("rows"))
     meta = materialise(meta, "suffix-texts")
-    low, bare, size, rows = meta.agg(F.coalesce(F.min("id"), F.lit(0)), F.count_if(F.col("id").isNull()), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
-    most = meta.groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
-    if most == 1 and not bare:
+    bare, size, rows, most = meta.agg(F.count_if(F.col("id").isNull()), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and not bare and most <= 1 and meta.select("id").distinct().count() == rows:
         meta = meta.withColumn("key", F.col("id").cast("long"))
         texts = base.select(F.col("id").cast("long").alias("key"), "text")
-        texts = texts if base.count() == rows else texts.dropDuplicates(["key"])
     else:
-        meta = meta.withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(low - 1)) * most + F.expr("row_number() over (partition by id order by digest)") - 1)
-        meta = materialise(meta, "suffix-keys")
+        ordered = meta.repartitionByRange(tasks(docs.sparkSession), "id", "digest").sortWithinPartitions("id", "digest")
+        meta = materialise(ordered.withColumn("key", F.monotonically_increasing_id()), "suffix-keys")
         names = meta.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "key")
         texts = base.dropDuplicates(["id", "text"]).join(names, F.col("id").eqNullSafe(F.col("__id")) & (F.sha2("text", 256) == F.col("__digest"))).select("key", "text")
     first = meta.groupBy("digest").agg(F.min("key").alias("first"))
-    return texts, meta.join(first, "digest").withColumn("copy", F.col("key") > F.col("first")).drop("first"), size
+    return texts, spread_join(meta, first, "digest", "inner").withColumn("copy", F.col("key") > F.col("first")).drop("first"), size
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, digest, n_bytes, n_removed, n_spans, kept), one for each distinct id and text.
-    digest is the SHA-256 of the text; kept is null where nothing or everything was removed."""
+    """Rows (id, digest, n_bytes, n_removed, n_spans, kept), one per input row. digest is the SHA-256
+    of the text; kept is null where nothing or everything was removed."""
     texts, meta, size = keyed(docs, text, id_col)
     meta = materialise(meta, "suffix-meta")
     spans = repeated_spans(texts, meta.where("not copy").select("key"), size)
     by_doc = spans.groupBy(F.col("ord").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     cut = texts.join(by_doc, "key").select("key", "text", "starts", "stops").mapInArrow(_cut, f"key bigint, {CUT}")
-    gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
-    out = meta.join(cut, "key", "left")
+    gone = (F.col("copy") | (F.col("nth") > 1)) & (F.col("n_bytes") >= LENGTH)
+    out = meta.join(cut, "key", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select(
         "id", "digest", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -449,40 +496,45 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with repeated passages cut out of the texts. Bytes of a character that is cut
-    through are dropped; documents of which no word is left go. n_chars, where there is one, is
-    counted anew."""
+    through are dropped; documents of which no word is left go, and of repeated rows of a hundred
+    bytes or more all but one. n_chars, where there is one, is counted anew."""
     texts, meta, size = keyed(docs, text, id_col)
     meta = materialise(meta, "suffix-meta")
     spans = repeated_spans(texts, meta.where("not copy").select("key"), size)
-    by_doc = spans.groupBy(F.col("ord").alias("key")).agg(F.collect_list("start").alias("__starts"), F.collect_list("stop").alias("__stops"))
+    by_doc = spans.groupBy(F.col("ord").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
-    hits = meta.withColumn("__gone", gone).join(by_doc, "key", "left").where("__gone or __starts is not null")
-    hits = hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__gone", "__starts", "__stops")
+    own, digest, away, begin, end, hit = fresh(docs, "id", "digest", "gone", "starts", "stops", "hit")
+    hits = meta.withColumn("gone", gone).join(by_doc, "key", "left").where("gone or starts is not null")
+    hits = hits.select(F.col("id").alias(own), F.col("digest").alias(digest), F.col("gone").alias(away), F.col("starts").alias(begin), F.col("stops").alias(end))
+    marked = docs.withColumn(digest, F.sha2(F.coalesce(text, F.lit("")), 256))
+    if meta.where((F.col("rows") > 1) & (F.col("n_bytes") >= LENGTH)).limit(1).count():
+        long = F.coalesce(F.octet_length(text), F.lit(0)) >= LENGTH
+        marked = marked.where(long).dropDuplicates([id_col, digest]).union(marked.where(~long))
     # documents move once, to meet what is cut from them
-    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("__digest")), "left").drop("__id", "__digest")
+    joined = marked.join(hits.withColumnRenamed(digest, f"{digest}_"), F.col(id_col).eqNullSafe(F.col(own)) & (F.col(digest) == F.col(f"{digest}_")), "left").drop(own, digest, f"{digest}_")
     columns = docs.columns
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, text):
             new = b.column(at).to_pylist()
-            hit = [False] * b.num_rows
-            for r, (away, starts, stops) in enumerate(zip(*(b.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
-                if away or starts:
-                    raw, hit[r], out, last = new[r].encode(), True, [], 0
-                    _, s, e = (None, [0], [len(raw)]) if away else join_spans(np.zeros(len(starts), np.int64), np.array(starts, np.int64), np.array(stops, np.int64))
+            changed = [False] * b.num_rows
+            for r, (whole, starts, stops) in enumerate(zip(*(b.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
+                if whole or starts:
+                    raw, changed[r], out, last = new[r].encode(), True, [], 0
+                    _, s, e = (None, [0], [len(raw)]) if whole else join_spans(np.zeros(len(starts), np.int64), np.array(starts, np.int64), np.array(stops, np.int64))
                     for x, y in zip(s, e, strict=True):
                         out.append(raw[last:x])
                         last = y
                     new[r] = b"".join([*out, raw[last:]]).decode("utf-8", "ignore")
             parts = list(b.columns[: len(columns)])
             parts[at] = pa.array(new, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*parts, pa.array(hit)], names=[*columns, "__hit"])
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(changed)], names=[*columns, hit])
 
-    out = joined.mapInArrow(run, docs.limit(0).withColumn("__hit", F.lit(False)).schema)
-    out = out.where(~F.col("__hit") | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = joined.mapInArrow(run, docs.limit(0).withColumn(hit, F.lit(False)).schema)
+    out = out.where(~F.col(hit) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hit"), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(hit), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
 
 
