@@ -2,19 +2,22 @@
 
 The words of each source are laid end to end (documents in a fixed pseudorandom chunk order, by id
 inside a chunk) and cut into blocks of ``block_words``. Each source gets a whole number of output
-slots that fits its target. Slots are dealt to output shards of ``shard_slots`` by a pseudorandom
-permutation of all slots, so the source counts of the shards are multinomial draws conditioned on
-the totals: every shard is mixed, and the targets are met exactly instead of on average. A source's
-j-th slot reads block ``perm(j mod blocks)`` of pass ``j div blocks``, with a permutation of its own
-per source and pass; blocks are joined by (source, index). A block is thus read at most once a pass.
+slots that fits its target. Every slot of a source draws an output shard by a keyed hash, so a
+source's counts per shard are a multinomial draw whose total is the source's number of slots: each
+shard is mixed, targets are met to about a block, and shards hold about ``shard_slots`` slots. Slots
+are numbered shard by shard from those counts, and a source's j-th slot reads block
+``perm(j mod blocks)`` of pass ``j div blocks``, with a permutation of its own per source and pass;
+blocks are joined by (source, index). A block is thus read at most once a pass.
 
 Permutations are swap-or-not shuffles: they need no table, work for any size, and are whole-number
-arithmetic that gives the same order on every run and engine. Everything is Spark SQL. Running
-offsets are two-level (inside chunks of documents, then over chunk totals), so no task holds a
-source; a source's slots are generated in ranges.
-
-Null texts have size 0 and are never taken; a null source is a source of its own, ordered last;
-null ids sort as -1. Repeated rows are separate documents. Empty tables give no rows.
+arithmetic that gives the same order on every run and engine. ROUNDS is as many as one compiled
+stage holds: two neighbours stay neighbours through all rounds once in 2**ROUNDS. Everything is Spark
+SQL. Running offsets are two-level (inside chunks of documents or groups of shards, then over their
+totals), so no task holds a source; a source's slots are generated in ranges.
+
+Null texts have size 0 and are never taken; a null source is a source of its own, ordered last.
+Ids may be of any type that sorts; null ids are spread by their texts and come first in a chunk.
+Repeated rows are separate documents. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import materialise
+from lumigrid.llm.store import fresh, materialise, tasks
 
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, RANGE_SLOTS = 64, 1024, 4096, 8192
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, RANGE_SLOTS, SHARD_GROUP = 64, 1024, 512, 8192, 1024
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-ROUNDS, SEED = 12, 20240229
+ROUNDS, SEED = 6, 20240229
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,22 +43,26 @@ def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int)
     size = f"regexp_count(text, '{WORD.replace(chr(92), chr(92) * 2)}')" if spark else f"len(regexp_extract_all(text, '{WORD}'))"
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
 
-    def permute(x: str, n: str, key: str) -> str:
-        """x of 0..n-1 through ROUNDS swap-or-not rounds keyed by a whole-number column."""
-        keys = ", ".join(f"CAST({SEED * (k + 3) % P * 31 + 7 * k} AS BIGINT)" for k in range(ROUNDS))
-        kr = f"((((k + {key} * 40503) % {P}) * 48271 % {P} + 12345) * 69621 % {P})"
-        other = f"(({kr} + {n} - v % {n}) % {n})"
-        top = f"greatest(v, {other})"
-        h = f"((({top} % {P} + {kr}) % {P}) * (({top} % {P} + {kr}) % {P}) % {P} * 16807 % {P})"
-        h2 = f"(({h} + {div(top, P)}) * 48271 % {P})"
-        step = f"CASE WHEN {div(h2, 1024)} % 2 = 1 THEN {other} ELSE v END"
-        if spark:
-            return f"aggregate(array({keys}), CAST({x} AS BIGINT), (v, k) -> {step})"
-        return f"list_reduce(list_prepend(CAST({x} AS BIGINT), [{keys}]), lambda v, k: {step})"
-
+    def permuted(inner: str) -> str:
+        """The column v, 0..n-1, of a query with the columns (src, shard, pass, n, v) through ROUNDS
+        swap-or-not rounds keyed by source and pass."""
+        keep = "src, shard, pass, n"
+        for k in range(ROUNDS):
+            inner = f"SELECT {keep}, v, (((CAST({SEED * (k + 3) % P * 31 + 7 * k} AS BIGINT) + (src * 64 + pass + 1) * 40503) % {P} * 48271 % {P} + 12345) * 69621 % {P}) AS r FROM ({inner}) q"
+            inner = f"SELECT {keep}, v, r, (r + n - v) % n AS o FROM ({inner}) q"
+            inner = f"SELECT {keep}, v, o, (greatest(v, o) % {P} + r) % {P} AS t FROM ({inner}) q"
+            inner = f"SELECT {keep}, CASE WHEN {div(f'(t * t % {P} * 16807 % {P} + {div("greatest(v, o)", P)}) * 48271 % {P}', 1024)} % 2 = 1 THEN o ELSE v END AS v FROM ({inner}) q"
+        return inner
+
+    def drawn(j: str) -> str:
+        """A number below ``shards`` for each slot of a source."""
+        x = f"((({j}) % {P} + 1) * 48271 % {P} + src * 40503 + {div(j, P)} * 69621 + {SEED % P}) % {P}"
+        return f"((({x}) * 16807 % {P}) * (({x}) * 16807 % {P}) % {P} + ({x})) * 69621 % {P} % shards"
+
+    number = "pmod(ck, {P})" if spark else "((doc_id % {P} + {P}) % {P})"
     return {
         "sized": f"""SELECT doc_id, source, coalesce(CAST({size} AS BIGINT), 0) AS size,
-  (abs(coalesce(doc_id, -1)) % {P}) * 48271 % {P} % (SELECT {div("count(*)", CHUNK_DOCS)} + 1 FROM documents) AS chunk FROM documents""",
+  coalesce({number.replace("{P}", str(P))}, 0) * 48271 % {P} % (SELECT {div("count(*)", CHUNK_DOCS)} + 1 FROM documents) AS chunk FROM documents""",
         "totals": f"""SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source""",
         "weighted": f"""SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src,
   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {cases} END AS weight FROM totals""",
@@ -66,10 +73,16 @@ def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int)
         "targets": f"""SELECT source, source_size, CAST(src AS BIGINT) AS src, round(least({cap}.0e0 * source_size, weight * coalesce((SELECT level FROM levels), 1.0e300)), 6) AS target,
   {div(f"source_size + {block - 1}", block)} AS blocks FROM weighted""",
         "quotas": f"""SELECT *, CASE WHEN target >= {cap} * source_size THEN {cap} * blocks ELSE least(CAST(floor(target / {block} + 5.0e-1) AS BIGINT), {cap} * blocks) END AS slots FROM targets""",
-        "plan": """SELECT *, CAST(sum(slots) OVER (ORDER BY src) - slots AS BIGINT) AS slot_base, CAST(sum(slots) OVER () AS BIGINT) AS all_slots FROM quotas""",
-        "ranges": f"""SELECT src, blocks, slots, slot_base, all_slots, {explode("CAST(0 AS BIGINT)", div("slots - 1", RANGE_SLOTS))} AS part FROM plan WHERE slots > 0""",
-        "numbers": f"""SELECT src, blocks, slot_base, all_slots, {explode(f"part * {RANGE_SLOTS}", f"least((part + 1) * {RANGE_SLOTS}, slots) - 1")} AS j FROM ranges""",
-        "slots": f"""SELECT src, {div("j", "blocks")} AS pass, {permute("j % blocks", "blocks", f"(src * 64 + {div('j', 'blocks')} + 1)")} AS block, {permute("slot_base + j", "all_slots", "0")} AS place FROM numbers""",
+        "plan": f"""SELECT *, {div(f"CAST(sum(slots) OVER () AS BIGINT) - 1", shard)} + 1 AS shards FROM quotas""",
+        "ranges": f"""SELECT src, slots, shards, {explode("CAST(0 AS BIGINT)", div("slots - 1", RANGE_SLOTS))} AS part FROM plan WHERE slots > 0""",
+        "units": f"""SELECT src, shards, {explode(f"part * {RANGE_SLOTS}", f"least((part + 1) * {RANGE_SLOTS}, slots) - 1")} AS j FROM ranges""",
+        "draws": f"""SELECT src, shard, CAST(count(*) AS BIGINT) AS c FROM (SELECT src, {drawn("j")} AS shard FROM units) u GROUP BY src, shard""",
+        "groups": f"""SELECT src, {div("shard", SHARD_GROUP)} AS grp, CAST(sum(c) AS BIGINT) AS c FROM draws GROUP BY src, {div("shard", SHARD_GROUP)}""",
+        "bases_of": """SELECT src, grp, CAST(sum(c) OVER (PARTITION BY src ORDER BY grp) - c AS BIGINT) AS base FROM groups""",
+        "dealt": f"""SELECT d.src, d.shard, d.c, p.blocks, b.base + CAST(sum(d.c) OVER (PARTITION BY d.src, b.grp ORDER BY d.shard) - d.c AS BIGINT) AS lo
+  FROM draws d JOIN bases_of b ON d.src = b.src AND {div("d.shard", SHARD_GROUP)} = b.grp JOIN plan p ON d.src = p.src""",
+        "numbers": f"""SELECT src, shard, blocks, {explode("lo", "lo + c - 1")} AS j FROM dealt""",
+        "slots": f"""SELECT src, shard, pass, v AS block FROM ({permuted(f"SELECT src, shard, {div('j', 'blocks')} AS pass, blocks AS n, j % blocks AS v FROM numbers")}) s""",
         "chunks": """SELECT source, chunk, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, chunk""",
         "bases": """SELECT c.source, c.chunk, p.src, p.source_size, p.target, CAST(sum(c.words) OVER (PARTITION BY p.src ORDER BY c.chunk) - c.words AS BIGINT) AS base FROM chunks c JOIN plan p ON c.source IS NOT DISTINCT FROM p.source""",
         "placed": """SELECT s.*, CAST(sum(size) OVER (PARTITION BY source, chunk ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS inner_off,
@@ -93,7 +106,7 @@ _PLAN = ("totals", "weighted", "ordered", "levels", "targets", "quotas", "plan")
 
 
 def _run(spark, steps: dict[str, str], parts, final: str, frames: dict[str, DataFrame], select: str = "*") -> DataFrame:
-    sql = _sql({k: steps[k] for k in parts}, final, select)
+    sql = _sql({k: steps[k] for k in parts}, final, select) if parts else f"SELECT {select} FROM {final}"
     used = {k: v for k, v in frames.items() if k not in parts and re.search(rf"(FROM|JOIN) {k}\b", sql)}
     for k in used:
         sql = re.sub(rf"(FROM|JOIN) {k}\b", rf"\1 {{{k}}}", sql)
@@ -101,12 +114,19 @@ def _run(spark, steps: dict[str, str], parts, final: str, frames: dict[str, Data
 
 
 def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard: int) -> tuple[dict[str, str], dict[str, DataFrame]]:
-    steps, frames = _steps(True, block, weights, share, cap, shard), {"documents": docs}
-    frames["sized"] = materialise(_run(docs.sparkSession, steps, ("sized",), "sized", frames), "mix-sizes")
-    frames["plan"] = materialise(_run(docs.sparkSession, steps, _PLAN, "plan", frames), "mix-plan")
-    ranges = _run(docs.sparkSession, steps, ("ranges",), "ranges", frames)
+    """The steps and the frames they read, from documents (doc_id, text, source)."""
+    spark = docs.sparkSession
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    named = F.coalesce(F.col("doc_id").cast("bigint") if whole else F.xxhash64("doc_id"), F.xxhash64("text"))
+    if not whole:
+        named = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(named)
+    steps, frames = _steps(True, block, weights, share, cap, shard), {"documents": docs.withColumn("ck", named)}
+    frames["sized"] = materialise(_run(spark, steps, ("sized",), "sized", frames), "mix-sizes")
+    frames["plan"] = materialise(_run(spark, steps, _PLAN, "plan", frames), "mix-plan")
     # a few short rows that become many: a fixed number of partitions, which isn't coalesced
-    frames["ranges"] = ranges.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "part")
+    frames["ranges"] = _run(spark, steps, ("ranges",), "ranges", frames).repartition(tasks(spark), "src", "part")
+    frames["draws"] = materialise(_run(spark, steps, ("units", "draws"), "draws", frames), "mix-draws")
+    frames["dealt"] = _run(spark, steps, ("groups", "bases_of", "dealt"), "dealt", frames).repartition(tasks(spark), "src", "shard")
     return steps, frames
 
 
@@ -114,44 +134,49 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
     """Rows (doc_id, size, source_size, target, taken): how many words of each document the mix
     reads, repeats counted. One per row of ``docs`` (doc_id, text, source)."""
     steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard)
-    return _run(docs.sparkSession, steps, ("numbers", "slots", "chunks", "bases", "placed", "spread", "pieces", "reads", "mixed"), "mixed", frames)
+    # written first: filters of the join below would be pushed through every round of the permutation
+    frames["reads"] = materialise(_run(docs.sparkSession, steps, ("numbers", "slots", "reads"), "reads", frames), "mix-reads")
+    return _run(docs.sparkSession, steps, ("chunks", "bases", "placed", "spread", "pieces", "mixed"), "mixed", frames)
 
 
 def slot_table(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS) -> DataFrame:
-    """The mix itself: rows (shard, slot, src, pass, block) for every output slot."""
+    """The mix itself: rows (shard, slot, src, pass, block) for every output slot, in a pseudorandom
+    order inside each shard."""
     steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard)
-    return _run(docs.sparkSession, steps, ("numbers", "slots"), "slots", frames, f"place div {shard} AS shard, place % {shard} AS slot, src, pass, block")
+    slots = materialise(_run(docs.sparkSession, steps, ("numbers", "slots"), "slots", frames), "mix-slots")
+    return slots.selectExpr("shard", "row_number() OVER (PARTITION BY shard ORDER BY xxhash64(src, pass, block), src, pass, block) - 1 AS slot", "src", "pass", "block")
 
 
-def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS) -> DataFrame:
     """The mixed documents, in the columns of ``docs``: a row per document and pass with the words
     that the pass reads. A document read whole keeps its text as it is; of others the words read
     are joined by spaces in their order. n_chars, where there is one, is counted anew."""
     spark, columns = docs.sparkSession, docs.columns
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, SHARD_SLOTS)
-    keyed = docs.withColumn("__text", F.col("text"))
-    placed = _run(spark, steps, ("numbers", "slots", "chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, rn, doc_id, size, off, block").where("size > 0")
-    taken = placed.join(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass").hint("merge"), (F.col("src") == F.col("s2")) & (F.col("block") == F.col("b2")))
+    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard)
+    # a document's own columns travel in one, so that none can clash with those of the mix
+    keyed = docs.select("doc_id", "source", F.col("text").alias("whole"), F.struct(*columns).alias("row"))
+    placed = _run(spark, steps, ("chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, rn, doc_id, size, off, block").where("size > 0")
+    slots = materialise(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass"), "mix-slots")
+    taken = placed.join(slots.hint("merge"), (F.col("src") == F.col("s2")) & (F.col("block") == F.col("b2")))
     spans = taken.select("src", "doc_id", "chunk", "rn", "size", "pass", F.greatest(F.lit(0), F.col("block") * block - F.col("off")).alias("a"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("off")).alias("b"))
     grouped = spans.groupBy("src", "chunk", "rn", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("got"))
-    words = f"regexp_extract_all(__text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"
-    size = F.coalesce(F.expr(f"regexp_count(text, '{WORD.replace(chr(92), chr(92) * 2)}')").cast("long"), F.lit(0).cast("long"))
-    copies = grouped.select(F.col("doc_id").alias("__id"), F.col("src").alias("__src"), F.col("size").alias("__size"), F.col("pass").alias("__pass"), "rn", "got", "spans")
-    ranks = copies.groupBy("__id", "__src", "__size", "__pass").agg(F.sort_array(F.collect_list(F.struct("rn", "got", "spans"))).alias("copies"))
-    sources = frames["plan"].select(F.col("source").alias("__source"), F.col("src").alias("__psrc"))
-    base = keyed.withColumn("__size2", size).join(sources, F.col("source").eqNullSafe(F.col("__source")), "inner")
-    same = base.groupBy("doc_id", "__psrc", "__size2").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    words = f"regexp_extract_all(whole, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"
+    size = F.coalesce(F.expr(f"regexp_count(whole, '{WORD.replace(chr(92), chr(92) * 2)}')").cast("long"), F.lit(0).cast("long"))
+    ranks = grouped.select(F.col("doc_id").alias("id"), F.col("src").alias("of"), F.col("size").alias("long"), "pass", "rn", "got", "spans")
+    ranks = ranks.groupBy("id", "of", "long", "pass").agg(F.sort_array(F.collect_list(F.struct("rn", "got", "spans"))).alias("copies"))
+    sources = frames["plan"].select(F.col("source").alias("name"), "src")
+    base = keyed.withColumn("size", size).join(sources, F.col("source").eqNullSafe(F.col("name")), "inner")
+    same = frames["sized"].groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if same.count():  # repeated rows: number them, so that each meets its own part
-        base = base.withColumn("__rn", F.expr("row_number() over (partition by doc_id, __psrc, __size2 order by text)"))
+        base = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, src, size order by whole)"))
     else:
-        base = base.withColumn("__rn", F.lit(1))
-    met = base.join(ranks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__psrc") == F.col("__src")) & (F.col("__size2") == F.col("__size")))
-    one = met.withColumn("__c", F.try_element_at("copies", F.col("__rn").cast("int"))).where("__c is not null")
-    text = F.when(F.col("__c.got") == F.col("__size2"), F.col("__text")).otherwise(F.expr(f"array_join(flatten(transform(__c.spans, s -> slice({words}, cast(s.a + 1 as int), cast(s.b - s.a as int)))), ' ')"))
-    out = one.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        base = base.withColumn("nth", F.lit(1))
+    met = base.join(ranks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("src") == F.col("of")) & (F.col("size") == F.col("long")))
+    one = met.withColumn("c", F.try_element_at("copies", F.col("nth").cast("int"))).where("c is not null")
+    text = F.when(F.col("c.got") == F.col("size"), F.col("whole")).otherwise(F.expr(f"array_join(flatten(transform(c.spans, s -> slice({words}, cast(s.a + 1 as int), cast(s.b - s.a as int)))), ' ')"))
+    out = one.select(text.alias("text"), "row")
+    new = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumigrid.llm.store import fresh
 from lumigrid.llm.text import PLAIN, mix64, sliced, text_buffer, words, xxh64
 
 ROWS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
@@ -177,16 +178,18 @@ def _best_cut(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
 
 
-def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, w: np.ndarray, lang: list, least: int = LEAST_TOXIC) -> None:
+def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, w: np.ndarray, lang: list) -> None:
+    """The common cut and those of the languages, each drawn towards the next wider one as if that
+    had been seen on LEAST_TOXIC toxic documents."""
     if not len(docs) or y.min() == y.max():
         return
     p = np.concatenate([score(model, np.concatenate(part), np.concatenate([[0], np.cumsum([len(d) for d in part])])) for part in (docs[k : k + BATCH] for k in range(0, len(docs), BATCH))])
-    if y.sum() >= LEAST_TOXIC:  # else too few to move the cut
-        model.default = _best_cut(p, y, w)
-    for name in {x for x in lang if x is not None}:
+    trust = lambda n: float(n) / (float(n) + LEAST_TOXIC)
+    model.default = 0.5 + trust(y.sum()) * (_best_cut(p, y, w) - 0.5)
+    for name in sorted({x for x in lang if x is not None}):
         on = np.array([x == name for x in lang])
-        if least <= y[on].sum() < on.sum():
-            model.thresholds[name] = _best_cut(p[on], y[on], w[on])
+        if 0 < y[on].sum() < on.sum():
+            model.thresholds[name] = model.default + trust(y[on].sum()) * (_best_cut(p[on], y[on], w[on]) - model.default)
 
 
 def id_hash(column: str = "doc_id") -> Column:
@@ -211,6 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     kind = docs.schema["doc_id"].dataType.simpleString()
     # bounded: chosen has at most max_toxic + max_clean rows
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic"))
+    # one row an id, however often the documents repeat it
+    joined = joined.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("d")).select("doc_id", "d.text", "d.lang", "d.toxic")
     share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     return pickle.loads(bytes(found[0]["model"])) if found else Model()
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column score appended, over whole texts; other columns pass through."""
+def scores(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column of scores appended, over whole texts; other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     at = columns.index("text")
@@ -239,9 +244,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", SCORE_BYTES):
             p = score(shared.value, *token_rows(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*columns, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*columns, name])
 
-    return docs.mapInArrow(run, docs.limit(0).withColumn("toxicity", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.limit(0).withColumn(name, F.lit(0.0)).schema)
 
 
 def threshold_column(model: Model, lang: str = "lang") -> Column:
@@ -254,7 +259,8 @@ def threshold_column(model: Model, lang: str = "lang") -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose score stays under their language's threshold."""
     model = train(docs, labels, **options)
-    return scores(docs, model).where(F.col("toxicity") < threshold_column(model)).select(*docs.columns)
+    (name,) = fresh(docs, "toxicity")
+    return scores(docs, model, name).where(F.col(name) < threshold_column(model)).select(*docs.columns)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

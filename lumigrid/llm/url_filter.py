@@ -20,8 +20,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lumigrid.llm.store import materialise
+from lumigrid.llm.store import materialise, spread_join
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_CONTEXT = 4
@@ -98,12 +99,12 @@ ORACLE_SQL = _sql(_steps(spark=False), "verdicts")
 
 #: What is written once because several steps read it, with the steps that make it.
 _STAGES = {
-    "strings": ("base", "ruled", "strings"),
+    "ruled": ("base", "ruled"),
+    "strings": ("strings",),
     "g3": ("spots", "g3"),
     "model": ("g2", "g1", *_model_steps("a"), *_model_steps("r"), "model"),
     "scored": ("spots", "scored"),
     "best": ("hist", "gain", "best"),
-    "verdicts": ("base", "ruled", "verdicts"),
 }
 
 
@@ -115,9 +116,12 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         used = {k: v for k, v in frames.items() if k not in parts and re.search(rf"(FROM|JOIN) {k}\b", sql)}
         for k in used:
             sql = re.sub(rf"(FROM|JOIN) {k}\b", rf"\1 {{{k}}}", sql)
-        out = pages.sparkSession.sql(sql, **used)
-        frames[name] = out if name == "verdicts" else materialise(out, f"urls-{name}")
-    return frames["verdicts"]
+        frames[name] = materialise(pages.sparkSession.sql(sql, **used), f"urls-{name}")
+    cut = frames["best"].first()["cut"]
+    judged = frames["scored"].select("s", F.when(F.col("score") >= cut, "allow").otherwise("block").alias("judged"))
+    # one URL, or none at all, may be that of a third of all pages
+    met = spread_join(frames["ruled"], judged, "s", "inner")
+    return met.select("page_id", "host", "path", "rule", F.coalesce("decided", "judged").alias("verdict"))
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import materialise, shared_dir
+from lumigrid.llm.store import materialise, shared_dir, spread_join
 
 MIN_PAYLOAD, FILE_BYTES, RANGE_BYTES = 0, 64 << 20, 16 << 20
 SCAN, FEED = 16 << 10, 64 << 10
@@ -53,9 +53,10 @@ def assign_types(pages: DataFrame, id_col: str = "page_id", text: str = "html",
     """(id, url, html, refers_to): refers_to is null for responses. Digests are compared in pairs of
     (digest, id); the payloads themselves move once, to their record type."""
     base = pages.select(F.col(id_col).alias("id"), F.col("url").alias("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce(text, F.lit("")).alias("html"))
-    digests = base.select("id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= min_payload)
+    digests = materialise(base.select("id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= min_payload), "warc-digests")
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = digests.join(first, "digest").groupBy("id", "digest", "first").agg(F.count("*").alias("rows")).where("rows > 1 or not id <=> first")
+    # all empty payloads share one digest
+    later = spread_join(digests, first, "digest", "inner").groupBy("id", "digest", "first").agg(F.count("*").alias("rows")).where("rows > 1 or not id <=> first")
     later = later.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "first", "rows")
     met = base.join(later, F.col("id").eqNullSafe(F.col("__id")) & (F.sha1("html") == F.col("__digest")), "left")
     if later.where("rows > 1 and __id <=> first").limit(1).count():  # rows equal in id and payload

@@ -412,6 +412,8 @@ def test_mix_meets_targets(spark):
 
 def test_shards_are_mixed(spark):
     slots = mixing.slot_table(spark.read.parquet(f"{SF}/documents.parquet"), shard=128)
+    once = slots.groupBy("src", "pass", "block").count().agg(F.max("count")).first()[0]
+    assert once == 1  # a pass reads a block at most once
     assert slots.count() == slots.select("shard", "slot").distinct().count()
     assert slots.groupBy("shard").agg(F.count_distinct("src").alias("n")).where("n < 10").count() <= 1
 
@@ -422,12 +424,41 @@ def test_hosts_and_rules(spark):
     assert got == {(1, "www.example.org", "/es/x", "example.org/es/"), (2, "example.org", "/en/12", "example.org/en/1"), (3, "a.org", "", None), (4, "b.com", "/fr/a", "com/fr/"), (5, "notorg", "/", None), (6, "", "", None), (7, "", "", None), (8, "b.org", "", None), (9, "org", "/", "org/"), (None, "b.com", "/de/", "com/de/")}
 
 
+def test_toxicity_query(spark):
+    """Every document once, the marks of the contract, and few errors on held-out labels."""
+    out = {r.doc_id: r for r in toxicity.op6_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert len(out) == 1000 and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for i, r in out.items())
+    labels = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet' WHERE toxic IS NOT NULL").fetchall()
+    held = [(out[i].predicted, y) for i, y in labels if i in out and out[i].held_out]
+    assert len(held) > 20 and np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_quality_query(spark, docs):
+    from tests.llm.test_quality import brute
+
+    verdicts = compression_bands.measure(compression_bands.pa.array([t for _, t in docs], compression_bands.pa.string()))[8]
+    got = {r.doc_id: r for r in compression_bands.op8_quality_rules(spark, SF).collect()}
+    for (i, t), verdict in zip(docs, verdicts, strict=True):
+        n, chars, symbols, lines, again = brute(t)
+        failed = n < 50 or 100 * again > 50 * n
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (n, chars, symbols, lines, again, failed, not failed and bool(verdict))
+
+
 # --- messy and empty tables ---------------------------------------------------------------------------
 
 
 def test_messy_tables(spark, messy, empty):
     n = messy.count()
-    for df, size in ((messy, n), (empty, 0)):
+    text_ids = messy.where("doc_id is null or doc_id > -1").withColumn("doc_id", F.col("doc_id").cast("string"))
+    short_ids = messy.where("doc_id is null or doc_id > -1").withColumn("doc_id", F.col("doc_id").cast("smallint"))
+    assert {suffix_tree_lm.lm_scores(short_ids).count(), mixing.mix(short_ids).count(), suffix_array.remove_repeats(short_ids).count()} == {n - 1}
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (777, 0), (3, None)], "doc_id bigint, toxic int")
+    for df, size in ((messy, n), (empty, 0), (text_ids, n - 1)):
+        toxic = toxicity.drop_toxic(df, labels.withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType)))
+        assert toxic.columns == df.columns and toxic.count() <= size
+        near_by = simhash.drop_near_copies(df)
+        assert near_by.columns == df.columns and (size == 0 or 0 < near_by.count() < size)
         pairs = minhash.with_next(df)
         assert pairs.count() == size and pairs.where("near_edited is null").count() == 0
         assert minhash.near_duplicates(df).count() == size
