@@ -28,16 +28,17 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", keys: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small`` (a row per key), hot keys spread over tasks.
 
     A key with more rows than a quarter of a task's share is dealt out by a salt, and its row of
     ``small`` repeated once a salt. There are fewer than four such keys a task, which bounds what is
-    broadcast. ``big`` is read twice. Keys must not be null.
+    broadcast. ``keys`` are the keys of ``big``, a row each, where they can be had for less than by
+    reading it once more. Keys must not be null.
     """
-    parts = tasks(big.sparkSession)
-    counts = big.groupBy(key).agg(F.count("*").alias("__n"))
-    share = max(1, big.count() // (4 * parts))
+    parts, keys = tasks(big.sparkSession), big if keys is None else keys
+    counts = keys.groupBy(key).agg(F.count("*").alias("__n"))
+    share = max(1, keys.count() // (4 * parts))
     hot = counts.where(F.col("__n") > share).select(key, F.ceil(F.col("__n") / share).cast("int").alias("__salts"))
     dealt = big.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64("__at"), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__at", "__salts")
     copies = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
