@@ -69,6 +69,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_detect(a) -> int:
+    from pyspark.sql import functions as F
+
     from lumigrid.operators.forest import load_forest_table
     from lumigrid.plans.detect import detect
     from lumigrid.sources.raster import ModelStore, read_table
@@ -76,13 +78,23 @@ def run_detect(a) -> int:
     spark, store = _session(), ModelStore()
     scene, pixels = _open(spark, a.raster)
     manifest = store.manifest()
-    mode = a.mode or ("rgbn" if len(scene.bands) >= 4 else "rgb")
-    model = load_forest_table(spark, a.model) if a.model else store.load(mode)
-    second = None if a.no_object_stage or a.model or not manifest.entry(f"{mode}_object") else store.load(f"{mode}_object")
+
+    def choose(mode: str) -> tuple:
+        """Forests of the band mode that the scene turned out to have."""
+        if a.model:
+            return load_forest_table(spark, a.model), None, None
+        second = f"objects_{mode}"
+        return store.load(mode), store.load(second) if not a.no_object_stage and manifest.entry(second) else None, mode
+
+    def raster(path: str) -> tuple:
+        header, px = _open(spark, path)
+        band = F.col(header.bands[0])
+        return header, px.select("r", "c", (band if header.nodata is None else F.when(band != header.nodata, band)).alias("h"))
+
     stands = read_table(spark, f"{a.stands}|layername={a.stand_layer}" if a.stand_layer else a.stands) if a.stands else None
     paths = [a.chm] if a.chm else [a.dsm, a.dtm] if a.dsm and a.dtm else []
     n = detect(
-        spark, scene, pixels, model, a.output, second, stands, tuple(read_table(spark, p) for p in paths), prob_raster=a.prob_raster, model_key=None if a.model else mode,
+        spark, scene, pixels, choose, a.output, None, stands, tuple(map(raster, paths)), prob_raster=a.prob_raster,
         mode=a.mode, bands=a.bands, threshold=a.threshold, stand_age=a.stand_age, stand_buffer=a.stand_buffer, keep_outside=a.keep_outside, min_height=a.min_height, height_radius=a.height_radius,
         keep_low=a.keep_low, suppress_m=a.suppress, min_area=a.min_area, object_threshold=a.object_threshold, edge_px=a.edge_px, tile=a.tile, overlap=a.overlap, granularity=a.adaptel_threshold,
         scene_norm=a.scene_norm, norm_tiles=a.norm_tiles, radiometry=a.radiometry, manifest=manifest,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +24,44 @@ def edges(tiled: DataFrame, keys: Sequence[str] = ("tile_id",), seg: str = "seg"
     return found.distinct()
 
 
+def _merge_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of links and the smallest vertex of each one's component."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(names))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        while not (new[new] == new).all():
+            new = new[new]
+        if (new == low).all():
+            return names, names[low]
+        low = new
+
+
 def build_objects(predicted: DataFrame, links: DataFrame, keys: Sequence[str] = ("tile_id",), seg: str = "seg") -> DataFrame:
     """(keys, seg, obj) for predicted segments: obj is the smallest segment of the connected group;
-    a segment without predicted neighbours is an object of its own. One scene-wide contraction
-    handles all tiles: a vertex is a tile and segment in one number."""
-    tile = F.col(keys[0]).cast("long") if keys else F.lit(0)
+    a segment without predicted neighbours is an object of its own. Links never leave a tile, so a
+    tile is settled in one task, which its size bounds; without keys the scene's links are
+    contracted in rounds."""
+    kind = predicted.schema[seg].dataType.simpleString()
     mine = predicted.select(*keys, F.col(seg).cast("long").alias("__s"))
-    vertex = lambda c: F.shiftleft(tile, 32) + F.col(c).cast("long")
-    names = mine.select(vertex("__s").alias("v"))
-    pairs = links.select(vertex("a").alias("a"), vertex("b").alias("b"))
-    inside = pairs.join(names.withColumnRenamed("v", "a"), "a", "left_semi").join(names.withColumnRenamed("v", "b"), "b", "left_semi")
-    roots = connected_components(inside)
-    out = mine.withColumn("v", vertex("__s")).join(roots, F.col("v") == F.col("vertex"), "left")
-    obj = F.coalesce("component", "v").bitwiseAND(F.lit((1 << 32) - 1))
-    return out.select(*keys, F.col("__s").cast(predicted.schema[seg].dataType).alias(seg), obj.alias("obj"))
+    pairs = links.select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    inside = pairs.join(mine.withColumnRenamed("__s", "a"), [*keys, "a"], "left_semi").join(mine.withColumnRenamed("__s", "b"), [*keys, "b"], "left_semi")
+    if keys:
+        types = {k: links.schema[k].dataType.simpleString() for k in keys}
+
+        def settle(frame: pd.DataFrame) -> pd.DataFrame:
+            names, low = _merge_links(frame["a"].to_numpy(), frame["b"].to_numpy())
+            return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "__s": names, "obj": low})
+
+        roots = inside.groupBy(*keys).applyInPandas(settle, ", ".join(f"{k} {t}" for k, t in types.items()) + ", __s bigint, obj bigint")
+    else:
+        roots = connected_components(inside).select(F.col("vertex").alias("__s"), F.col("component").alias("obj"))
+    out = mine.join(roots, [*keys, "__s"], "left")
+    return out.select(*keys, F.col("__s").cast(kind).alias(seg), F.coalesce("obj", "__s").alias("obj"))
 
 
 def radius_pairs(points: DataFrame, radius: float, id_col: str = "id", x: str = "x", y: str = "y", keys: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -97,10 +97,11 @@ def fill_holes(labels: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow_seeds(pixels: DataFrame, seeds: DataFrame, features: Sequence[str], recipe: GrowRecipe, height: int, width: int, rows: int, cols: int, clip_to_core: bool = False) -> DataFrame:
+def grow_seeds(pixels: DataFrame, seeds: DataFrame, features: Sequence[str], recipe: GrowRecipe, height: int, width: int, rows: int, cols: int, clip_to_core: bool = False, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Label rows (gid, r, c) from seeds (gid, r, c). Cores with seeds are grown with a halo, in which
     all seeds compete; a seed's region is taken from its own core's window, whole (clip_to_core
-    keeps only the pixels inside the core). Pixels and seeds are copied into the windows that hold
+    keeps only the pixels inside the core). ``prepare`` makes the features from the pixels of windows
+    (keyed by core_id) where they depend on the window. Pixels and seeds are copied into the windows that hold
     them and met per core in one task of bounded size."""
     from lumigrid.operators.tiles import halo_px
 
@@ -109,9 +110,10 @@ def grow_seeds(pixels: DataFrame, seeds: DataFrame, features: Sequence[str], rec
     near = to_halos(named, rows, cols, height, width, halo)
     used = near.where("in_core").select("core_id").distinct()
     near = near.join(used, "core_id", "left_semi")
-    slim = pixels.select("r", "c", "valid", *(F.col(f).cast("double").alias(f"__f{k}") for k, f in enumerate(features)))
+    made = lambda frame: frame.select(*(c for c in ("core_id", "in_core") if c in frame.columns), "r", "c", "valid", *(F.col(f).cast("double").alias(f"__f{k}") for k, f in enumerate(features)))
     # only windows with seeds are built: the pruning comes before the kernel's shuffle
-    windows = to_halos(slim, rows, cols, height, width, halo).join(used, "core_id", "left_semi")
+    windows = to_halos(pixels if prepare else made(pixels), rows, cols, height, width, halo).join(used, "core_id", "left_semi")
+    windows = made(prepare(windows)) if prepare else windows
     names = [f"__f{k}" for k in range(len(features))]
 
     def run(px: pd.DataFrame, sd: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lumigrid.functions.pixel import is_finite
@@ -16,61 +16,37 @@ OFFSET_DN, RANGE_RATIO, LEAST_VALUES = 15.0, 0.7, 1000
 MAD_SCALE, MAD_FLOOR = 1.4826, 1e-6
 
 
-@dataclass
-class Radiometry:
-    """Match of a scene's band percentiles to the training ranges. kind: auto, match or off."""
-
-    kind: str = "auto"
-    low: float = 2.0
-    high: float = 98.0
-    reference: Mapping[str, tuple[float, float]] = field(default_factory=lambda: dict(REFERENCE))
-    scene: dict[str, tuple[float, float]] = field(default_factory=dict)
-    reasons: list[str] = field(default_factory=list)
-    active: bool = False
-    fitted: bool = False
-
-    def __post_init__(self) -> None:
-        if self.kind not in ("auto", "match", "off"):
-            raise ValueError(f"radiometry is auto, match or off, not {self.kind!r}")
-
-    def percentiles(self, pixels: DataFrame, roles: Sequence[str]) -> DataFrame:
-        """One row per role: number of finite values and the two exact percentiles."""
-        values = pixels.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, roles)), F.array(*(F.col(r).cast("double") for r in roles)))).alias("role", "v")).where(is_finite(F.col("v")))
-        return values.groupBy("role").agg(F.count("*").alias("n"), F.percentile("v", F.lit(self.low / 100)).alias("lo"), F.percentile("v", F.lit(self.high / 100)).alias("hi"))
-
-    def fit(self, pixels: DataFrame, roles: Sequence[str]) -> Radiometry:
-        """From valid pixels of the sampled tiles; a role with under 1000 values isn't measured."""
-        rows = {r["role"]: r for r in self.percentiles(pixels, roles).collect()}  # a row per role
-        self.scene = {r: (rows[r]["lo"], rows[r]["hi"]) for r in roles if r in rows and rows[r]["n"] >= LEAST_VALUES}
-        self.reasons = []
-        for role, (lo, hi) in self.scene.items():
-            if role in self.reference:
-                want_lo, want_hi = self.reference[role]
-                if lo > want_lo + OFFSET_DN:
-                    self.reasons.append(f"{role}: dark end at {lo:.0f}, trained at {want_lo:.0f}")
-                if hi - lo < RANGE_RATIO * (want_hi - want_lo):
-                    self.reasons.append(f"{role}: range of {hi - lo:.0f}, trained on {want_hi - want_lo:.0f}")
-        self.active = self.kind == "match" or (self.kind == "auto" and len(self.reasons) > 0)
-        self.fitted = True
-        return self
-
-    def apply(self, pixels: DataFrame) -> DataFrame:
-        """Roles that are measured and have a reference, mapped linearly and clipped to 0..255."""
-        if not self.active:
-            return pixels
-        out = {}
-        for role, (lo, hi) in self.scene.items():
-            if role in self.reference and role in pixels.columns:
-                want_lo, want_hi = self.reference[role]
-                gain = (want_hi - want_lo) / max(hi - lo, 1e-6)
-                out[role] = F.least(F.greatest((F.col(role).cast("double") - lo) * gain + want_lo, F.lit(0.0)), F.lit(255.0))
-        return pixels.withColumns(out) if out else pixels
-
-    def describe(self) -> str:
-        if not self.fitted:
-            return "not fitted"
-        spans = ", ".join(f"{r} {lo:.0f}-{hi:.0f}" for r, (lo, hi) in self.scene.items())
-        return f"matched ({'; '.join(self.reasons) or 'asked for'}): {spans}" if self.active else f"left as it is: {spans}"
+def measure_bands(pixels: DataFrame, roles: Sequence[str], low: float = 2.0, high: float = 98.0, reference: Mapping[str, tuple[float, float]] = REFERENCE) -> DataFrame:
+    """One row per role with finite values: (role, n, lo, hi, want, gain, dark, flat). lo and hi are
+    the two exact percentiles; dark and flat say that the dark end lies too high or the range is too
+    narrow for the reference range, which starts at want and is gain times as wide. Roles without a
+    reference, or with under 1000 values, have null marks and are not matched."""
+    spark = pixels.sparkSession
+    values = pixels.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, roles)), F.array(*(F.col(r).cast("double") for r in roles)))).alias("role", "v")).where(is_finite(F.col("v")))
+    found = values.groupBy("role").agg(F.count("*").alias("n"), F.percentile("v", F.lit(low / 100)).alias("lo"), F.percentile("v", F.lit(high / 100)).alias("hi"))
+    # a row per role of the reference
+    wanted = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in reference.items()], "role string, want double, top double")
+    enough = F.col("n") >= LEAST_VALUES
+    span, width = F.col("top") - F.col("want"), F.col("hi") - F.col("lo")
+    return found.join(F.broadcast(wanted), "role", "left").select(
+        "role", "n", "lo", "hi", "want",
+        F.when(enough, span / F.greatest(width, F.lit(1e-6))).alias("gain"),
+        F.when(enough, F.col("lo") - F.col("want") > OFFSET_DN).alias("dark"),
+        F.when(enough, width < RANGE_RATIO * span).alias("flat"),
+    )
+
+
+def needs_match(found: Sequence[Row], kind: str = "auto") -> bool:
+    """Do measured bands call for a match? kind: auto, match (always) or off (never)."""
+    if kind not in ("auto", "match", "off"):
+        raise ValueError(f"radiometry is auto, match or off, not {kind!r}")
+    return kind == "match" or (kind == "auto" and any(r["dark"] or r["flat"] for r in found))
+
+
+def match_bands(pixels: DataFrame, found: Sequence[Row]) -> DataFrame:
+    """Measured bands mapped linearly to their reference ranges and clipped to 0..255."""
+    maps = {r["role"]: (F.col(r["role"]).cast("double") - r["lo"]) * r["gain"] + r["want"] for r in found if r["gain"] is not None and r["role"] in pixels.columns}
+    return pixels.withColumns({k: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)) for k, v in maps.items()})
 
 
 def every_fourth(valid_pixels: DataFrame, keys: Sequence[str] = ("tile_id",), row: str = "tr", col: str = "tc") -> DataFrame:

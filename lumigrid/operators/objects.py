@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.operators.zonal import eigen_ratio
@@ -58,3 +58,12 @@ def describe_objects(objects_of: DataFrame, segments: DataFrame, links: DataFram
     ring = ring_features(objects_of, links, segments, index_col, keys)
     out = object_features(members, features, keys).join(ring, [*keys, "obj"], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in (("ring_n", "long"), ("ring_ndvi", "double"), ("ring_L", "double"))})
+
+
+def running_ids(frame: DataFrame, group: str, order: Sequence[str], name: str = "id") -> DataFrame:
+    """Adds numbers from 1 in the order of (group, order). Two levels, numbers inside groups and the
+    groups' offsets, so that no task holds all rows; the offsets take a row a group."""
+    inner = frame.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    sizes = frame.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__base", F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
+    return inner.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__base") + F.col("__k")).drop("__k", "__g", "__n", "__base")

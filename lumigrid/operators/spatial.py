@@ -81,16 +81,29 @@ def inside_stands(points: DataFrame, stands: DataFrame, buffer: float = -2.0, ce
 
 def height_near(points: DataFrame, heights: DataFrame, radius_px: int, out: str = "height_m", id_col: str = "id", row: str = "hr", col: str = "hc", value: str = "h") -> DataFrame:
     """Adds the largest height in the square of ``radius_px`` cells around each point's cell (row,
-    col); null where there is none. Points are copied to the cells of the square and met by
-    equality."""
-    steps = F.sequence(F.lit(-radius_px), F.lit(radius_px))
-    cells = points.select(F.col(id_col).alias("__id"), F.col(row).alias("__r"), F.col(col).alias("__c")).withColumn("__dr", F.explode(steps)).withColumn("__dc", F.explode(steps))
-    cells = cells.select("__id", (F.col("__r") + F.col("__dr")).alias("r"), (F.col("__c") + F.col("__dc")).alias("c"))
-    known = heights.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select("r", "c", value)
-    top = cells.join(known, ["r", "c"]).groupBy("__id").agg(F.max(value).alias(out))
+    col); null where there is none. Points and heights meet in blocks of the square's size, of which
+    a point looks into four at most; heights of blocks without points go before their shuffle."""
+    side = 2 * radius_px + 1
+    block = lambda c: F.floor(c / side).cast("long")
+    span = lambda c: F.sequence(block(F.col(c) - radius_px), block(F.col(c) + radius_px))
+    seek = points.select(F.col(id_col).alias("__id"), F.col(row).alias("__r"), F.col(col).alias("__c")).where("__r is not null and __c is not null")
+    seek = seek.withColumn("__i", F.explode(span("__r"))).withColumn("__j", F.explode(span("__c")))
+    known = heights.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select("r", "c", value, block(F.col("r")).alias("__i"), block(F.col("c")).alias("__j"))
+    known = known.join(seek.select("__i", "__j").distinct(), ["__i", "__j"], "left_semi")
+    near = (F.abs(F.col("r") - F.col("__r")) <= radius_px) & (F.abs(F.col("c") - F.col("__c")) <= radius_px)
+    top = seek.join(known, ["__i", "__j"]).where(near).groupBy("__id").agg(F.max(value).alias(out))
     return points.join(top, F.col(id_col) == F.col("__id"), "left").drop("__id")
 
 
+def heights_at(points: DataFrame, raster: tuple, radius_m: float, out: str, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """Adds the largest height within ``radius_m`` of each point from a raster (scene, heights) with
+    a grid of its own."""
+    scene, heights = raster
+    hr, hc = scene.affine.to_pixel(F.col(x), F.col(y))
+    placed = points.withColumns({"__hr": F.floor(hr).cast("int"), "__hc": F.floor(hc).cast("int")})
+    return height_near(placed, heights, radius_cells(radius_m, scene.a), out, id_col, "__hr", "__hc").drop("__hr", "__hc")
+
+
 def radius_cells(radius_m: float, cell_m: float) -> int:
     """Half-even rounding of the radius in cells."""
     return int(round(radius_m / abs(cell_m)))

@@ -30,18 +30,22 @@ def box_mean(tiled: DataFrame, bands: Sequence[str], size: int = BOX_PX, keys: S
     """Adds ``prefix + band``: mean over a size x size box around each pixel, without invalid pixels,
     the window's edge pixels repeated outwards. Windows must be complete grids.
 
-    Two passes of range windows, along rows then columns, for all bands at once: sums inside the
-    window plus the edge values as often as the box reaches past it.
+    Two passes, along rows then columns, for all bands at once: a box is the difference of two
+    running sums, and the edge values count as often as the box reaches past the edge. Both windows
+    of a pass share one sort.
     """
     reach = size // 2
     work = {f"__s_{b}": F.when(F.col(valid), F.col(b).cast("double")).otherwise(F.lit(0.0)) for b in bands} | {"__s_": F.col(valid).cast("double")}
     out = tiled.withColumns(work)
     for part, order in ((row, col), (col, row)):
-        whole = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        near = Window.partitionBy(*keys, part).orderBy(order).rangeBetween(-reach, reach)
+        by = Window.partitionBy(*keys, part).orderBy(order)
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         low, high = F.first(order).over(whole), F.last(order).over(whole)
-        before, after = F.greatest(F.lit(0), low + reach - F.col(order)), F.greatest(F.lit(0), F.col(order) + reach - high)
-        out = out.withColumns({k: F.sum(k).over(near) + before * F.first(k).over(whole) + after * F.last(k).over(whole) for k in work})
+        sums = {f"{k}+": F.sum(k).over(by.rowsBetween(Window.unboundedPreceding, 0)) for k in work}
+        ends = {f"{k}{side}": f(k).over(whole) for k in work for side, f in (("<", F.first), (">", F.last))} | {f"{k}=": F.sum(k).over(whole) for k in work}
+        out = out.withColumns(sums | ends | {"__before": F.greatest(F.lit(0), low + reach - F.col(order)), "__after": F.greatest(F.lit(0), F.col(order) + reach - high)})
+        inside = {k: F.coalesce(F.lead(f"{k}+", reach).over(by), F.col(f"{k}=")) - F.coalesce(F.lag(f"{k}+", reach + 1).over(by), F.lit(0.0)) for k in work}
+        out = out.withColumns({k: v + F.col("__before") * F.col(f"{k}<") + F.col("__after") * F.col(f"{k}>") for k, v in inside.items()}).drop(*sums, *ends, "__before", "__after")
     area = float(size * size)
     means = {f"{prefix}{b}": (F.col(f"__s_{b}") / area) / F.greatest(F.col("__s_") / area, F.lit(1e-6)) for b in bands}
     return out.withColumns(means).drop(*work)

@@ -238,11 +238,11 @@ def to_uint8_scale(spark, d):
     return zonal.to_uint8(px, ["nir", "red"]).select("r", "c", F.round("nir", 5).alias("nir"), "red")
 
 
-@query(f"WITH {PX}, w AS (SELECT * FROM (SELECT (SELECT max(r) + 1 FROM px) AS hh, 150 AS ww), generate_series(1, 3) a(i), generate_series(1, 3) b(j)), v AS (SELECT green, red, nir FROM px, w WHERE valid AND green <> 0 AND red <> 0 AND nir <> 0 AND r >= greatest(0, hh * i // 4 - 10) AND r < least(hh, greatest(0, hh * i // 4 - 10) + 20) AND c >= greatest(0, ww * j // 4 - 10) AND c < least(ww, greatest(0, ww * j // 4 - 10) + 20)), q AS (SELECT median(green) AS m1, median(red) AS m2, median(nir) AS m3 FROM v) SELECT m1, m2, m3, CASE WHEN m2 < m1 AND m2 < m3 AND least(m1, m3) - m2 > 0.1e0 * greatest(m2, 1e-6) THEN 'cir' WHEN m2 > m1 AND m2 > m3 THEN 'rgb' END AS guess FROM q")
+@query(f"WITH {PX}, w AS (SELECT *, least(140, hh, ww) AS sz FROM (SELECT (SELECT max(r) + 1 FROM px) AS hh, 150 AS ww), generate_series(1, 3) a(i), generate_series(1, 3) b(j)), v AS (SELECT green, red, nir FROM px, w WHERE valid AND green <> 0 AND red <> 0 AND nir <> 0 AND r >= greatest(0, least(hh - sz, hh * i // 4 - sz // 2)) AND r < greatest(0, least(hh - sz, hh * i // 4 - sz // 2)) + sz AND c >= greatest(0, least(ww - sz, ww * j // 4 - sz // 2)) AND c < greatest(0, least(ww - sz, ww * j // 4 - sz // 2)) + sz), q AS (SELECT median(green) AS m1, median(red) AS m2, median(nir) AS m3 FROM v) SELECT m1, m2, m3, CASE WHEN m2 < m1 AND m2 < m3 AND least(m1, m3) - m2 > 0.1e0 * greatest(m2, 1e-6) THEN 'cir' WHEN m2 > m1 AND m2 > m3 THEN 'rgb' END AS guess FROM q")
 def band_medians_guess(spark, d):
     """Band medians of a grid of windows and the mode they suggest."""
     bands = ("green", "red", "nir")
-    m = modes.sample_medians(views.pixels(spark, d).where("valid"), bands, views.height(spark, d), views.WIDTH, size=20, least=1)
+    m = modes.sample_medians(views.pixels(spark, d).where("valid"), bands, views.height(spark, d), views.WIDTH, size=140, least=1)
     guess = modes.guess_band_order(m)[0]
     return spark.createDataFrame([(*m, guess)], "m1 double, m2 double, m3 double, guess string")
 
@@ -256,19 +256,16 @@ def _radiometry_sql() -> str:
 @query(f"WITH {_radiometry_sql()} SELECT role, n, round(lo, 5) AS lo, round(hi, 5) AS hi, lo - r0 > 15 AS dark, hi - lo < 0.7e0 * (r1 - r0) AS flat FROM pc JOIN rf USING (role)")
 def radiometry_fit(spark, d):
     """Percentiles by band and whether they call for a match."""
-    rows = normalise.Radiometry().percentiles(views.pixels(spark, d).where("valid"), views.BANDS)
-    ref = spark.createDataFrame([(k, *v) for k, v in normalise.REFERENCE.items()], "role string, r0 double, r1 double")
-    return rows.join(ref, "role").select("role", "n", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), (F.col("lo") - F.col("r0") > normalise.OFFSET_DN).alias("dark"), (F.col("hi") - F.col("lo") < normalise.RANGE_RATIO * (F.col("r1") - F.col("r0"))).alias("flat"))
+    out = normalise.measure_bands(views.pixels(spark, d).where("valid"), views.BANDS)
+    return out.select("role", "n", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), "dark", "flat")
 
 
 @query(f"WITH {_radiometry_sql()}, g AS (SELECT role, lo, r0, (r1 - r0) / greatest(hi - lo, 1e-6) AS k FROM pc JOIN rf USING (role)) SELECT r, c, {', '.join(f'''round(least(greatest(({b} - (SELECT lo FROM g WHERE role = '{b}')) * (SELECT k FROM g WHERE role = '{b}') + (SELECT r0 FROM g WHERE role = '{b}'), 0e0), 255e0), 4) AS {b}''' for b in views.BANDS)} FROM px WHERE valid")
 def radiometry_apply(spark, d):
     """Bands mapped to the reference ranges."""
     px = views.pixels(spark, d).where("valid")
-    match = normalise.Radiometry("match")
-    rows = {r["role"]: (r["lo"], r["hi"]) for r in match.percentiles(px, views.BANDS).collect()}  # a row per band
-    match.scene, match.active, match.fitted = rows, True, True
-    return _round(match.apply(px).select("r", "c", *views.BANDS), 4)
+    found = normalise.measure_bands(px, views.BANDS).collect()  # a row per band
+    return _round(normalise.match_bands(px, found).select("r", "c", *views.BANDS), 4)
 
 
 # --- segments ---------------------------------------------------------------------------------------
@@ -468,10 +465,17 @@ def systematic_sample(spark, d):
 def running_ids(spark, d):
     """Ids that run over tiles in order."""
     s = views.segments(spark, d).where("valid").select("seg", F.floor(F.col("r") / 4).cast("int").alias("tile")).distinct()
-    # two levels: numbers inside tiles, then tile offsets, so that no task holds all rows
-    inner = s.withColumn("k", F.row_number().over(Window.partitionBy("tile").orderBy("seg")))
-    sizes = s.groupBy("tile").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("tile")) - F.col("n"))
-    return inner.join(sizes, "tile").select("seg", "tile", (F.col("base") + F.col("k")).alias("id"))
+    return objects.running_ids(s, "tile", ["seg"]).select("seg", "tile", "id")
+
+
+@query(f"WITH {PT}, {HT}, cell AS (SELECT id, CAST(floor((y * 2 + 1) / 3) AS INT) AS hr, CAST(floor((x * 2 + 1) / 3) AS INT) AS hc FROM pt) SELECT cell.id, max(h) AS height_m FROM cell LEFT JOIN ht ON ht.r BETWEEN hr - 2 AND hr + 2 AND ht.c BETWEEN hc - 2 AND hc + 2 GROUP BY cell.id")
+def height_gate_grid(spark, d):
+    """Largest height near points, from a raster with a grid of its own: cells one and a half times
+    those of the points, shifted by half a unit."""
+    from lumigrid.sources.raster import Scene
+
+    grid = Scene(10**6, 50, ("h",), 1.5, -0.5, 1.5, -0.5)
+    return spatial.heights_at(views.points(spark, d), (grid, views.heights(spark, d)), 3.0, "height_m").select("id", "height_m")
 
 
 def _stack(spark, d) -> tuple[DataFrame, DataFrame, modes.GrowRecipe]:

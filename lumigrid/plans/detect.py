@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from types import FunctionType
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigrid.operators import forest, graph, normalise, objects, spatial, tiles, zonal
@@ -102,7 +103,7 @@ def own_objects(found: DataFrame, scene: Scene, config: DetectConfig) -> DataFra
     return found.withColumns({"gr": row, "gc": col}).join(grid, "tile_id").where(inside)
 
 
-def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConfig, object_model=None, stands: DataFrame | None = None, heights: tuple[DataFrame, ...] = (), height_affine=None, model_name: str = "custom") -> DataFrame:
+def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConfig, object_model=None, stands: DataFrame | None = None, heights: tuple = (), model_name: str = "custom") -> DataFrame:
     """The point layer: ownership, area, object stage, stands, heights, suppression, distances and
     running ids, cheap filters first."""
     names = zonal.spark_names(feature_names(mode))
@@ -126,11 +127,11 @@ def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConf
     else:
         out = out.withColumn("in_stands", F.lit(None).cast("int"))
     if heights:
-        at = height_affine or scene.affine
-        hr, hc = at.to_pixel(F.col("x"), F.col("y"))
-        out = out.withColumns({"hr": F.floor(hr).cast("int"), "hc": F.floor(hc).cast("int")})
-        reach = spatial.radius_cells(config.height_radius, at.a)
-        out = spatial.height_near(out, heights[0], reach, id_col="pid") if len(heights) == 1 else spatial.surface_height(out, heights[0], heights[1], reach, id_col="pid")
+        # a raster with a header lies on its own grid, a bare table on the scene's
+        top, *ground = (h if isinstance(h, tuple) else (scene, h) for h in heights)
+        out = spatial.heights_at(out, top, config.height_radius, "height_m" if not ground else "__top", "pid")
+        if ground:
+            out = spatial.heights_at(out, ground[0], 0.0, "__ground", "pid").withColumn("height_m", F.col("__top") - F.col("__ground")).drop("__top", "__ground")
         out = out if config.keep_low else spatial.drop_low(out, config.min_height)
     else:
         out = out.withColumn("height_m", F.lit(None).cast("double"))
@@ -141,9 +142,9 @@ def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConf
         out = edge_distance(out, found.pixels, scene, config)
     else:
         out = out.withColumn("edge_px", F.lit(None).cast("double"))
-    order = Window.orderBy("tile_id", "obj")  # ids run over the whole result, which is small
+    out = objects.running_ids(out.drop("id"), "tile_id", ["obj"])
     return out.select(
-        F.row_number().over(order).alias("id"), "x", "y",
+        F.col("id").cast("int").alias("id"), "x", "y",
         F.round("s_max", 4).alias("p"), F.round("s_mean", 4).alias("p_mean"), F.round("p_object", 4).alias("p_object"),
         F.round("pow", 2).alias("area_m2"), F.col("nseg").cast("int").alias("n_adaptels"), "in_stands",
         F.round("height_m", 2).alias("height_m"), F.round("edge_px", 1).alias("edge_px"),
@@ -182,10 +183,13 @@ def probability_raster(found: Detection) -> DataFrame:
     return px.join(found.segments.select("tile_id", "seg", "p"), ["tile_id", "seg"], "left").select("r", "c", F.coalesce("p", F.lit(-1.0)).cast("float").alias("p"))
 
 
-def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str | None = None, object_model=None, stands: DataFrame | None = None, heights: tuple[DataFrame, ...] = (), height_affine=None, prob_raster: str | None = None, model_key: str | None = None, progress: Callable[[str], object] | None = None, **options) -> DataFrame | int:
+def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str | None = None, object_model=None, stands: DataFrame | None = None, heights: tuple = (), prob_raster: str | None = None, model_key: str | None = None, progress: Callable[[str], object] | None = None, **options) -> DataFrame | int:
     """One point per object of a scene. With ``out`` the layer is written and counted, else the
     frame is returned. ``model_key`` names a shipped model (its manifest then sets threshold and
-    normalisation); otherwise the model counts as the user's own. A progress callback that returns
+    normalisation); otherwise the model counts as the user's own. ``model`` may be a function that
+    gets the name of the band mode, once that is known, and returns (model, object model or None,
+    model key). Heights are one raster, or surface and terrain, each a table of (r, c, h) on the
+    scene's grid or a pair (scene, table). A progress callback that returns
     False stops the run."""
     cfg = DetectConfig(**options)
 
@@ -197,6 +201,8 @@ def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str
     scene, pixels = resample(scene, pixels, cfg.gsd)
     mode_name, roles, _ = auto_mode(pixels, scene.bands, scene.height, scene.width, cfg.mode, cfg.bands, nodata=scene.nodata)
     mode, index = resolve_mode(len(scene.bands), mode_name, roles)
+    if isinstance(model, FunctionType):
+        model, object_model, model_key = model(mode.name)
     threshold = resolve_threshold(cfg.threshold, cfg.manifest, mode.name, model_key is None)
     policy = scene_norm_policy(cfg.scene_norm, cfg.manifest, model_key or "", model_key is None) if not isinstance(cfg.scene_norm, normalise.SceneNorm) else None
     tiled = tiles.to_tiles(with_roles(pixels, scene, index), scene.height, scene.width, cfg.tile, cfg.overlap)
@@ -205,10 +211,10 @@ def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str
     tiled = cut(zonal.to_uint8(tiled, mode.roles), "tiles")
     tell("radiometry")
     if cfg.radiometry != "off":
-        match = cfg.radiometry if isinstance(cfg.radiometry, normalise.Radiometry) else normalise.Radiometry(cfg.radiometry)
-        if not match.fitted:
-            match.fit(normalise.every_fourth(_sampled(tiled, scene, cfg).where("valid")), mode.roles)
-        tiled = match.apply(tiled)
+        given = not isinstance(cfg.radiometry, str)  # rows that measure_bands found elsewhere
+        found = cfg.radiometry if given else normalise.measure_bands(normalise.every_fourth(_sampled(tiled, scene, cfg).where("valid")), mode.roles).collect()  # a row per band
+        if given or normalise.needs_match(found, cfg.radiometry):
+            tiled = normalise.match_bands(tiled, found)
     norm = cfg.scene_norm if isinstance(cfg.scene_norm, normalise.SceneNorm) else None
     step = cfg.segmenter or (lambda t: segment_tiles(t, mode.roles, cfg.granularity or mode.granularity))
     tiled = cut(step(tiled), "segmented")
@@ -219,7 +225,7 @@ def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str
         norm.fit(forest.clean(sampled.where(F.col("cnt") >= cfg.min_px), norm.columns))
     tell("objects")
     found = detect_frame(tiled, mode, model, threshold, scene, replace(cfg, segmenter=None), norm)
-    points = points_of(found, scene, mode, cfg, object_model, stands, heights, height_affine, model_key or "custom")
+    points = points_of(found, scene, mode, cfg, object_model, stands, heights, model_key or "custom")
     if prob_raster:
         write_raster(probability_raster(found), prob_raster)
     tell("write")

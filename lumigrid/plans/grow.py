@@ -9,15 +9,21 @@ from lumigrid.functions.pixel import growing_space
 from lumigrid.operators import grow as kernels
 from lumigrid.operators.components import cut
 from lumigrid.operators.modes import auto_mode, grow_recipe, resolve_mode
+from lumigrid.operators.objects import running_ids
 from lumigrid.operators.tiles import core_bands
 from lumigrid.operators.zonal import to_uint8
 from lumigrid.sources.raster import Scene, with_roles, write_crowns, write_raster
 
 
-def grow_crowns(spark: SparkSession, scene: Scene, pixels: DataFrame, points: DataFrame, out: str | None = None, labels_out: str | None = None, mode: str | None = None, bands=None, space: str = "auto", rule: str = "auto", tile: int = 2048, clip_to_core: bool = False, **overrides) -> DataFrame | int:
+def grow_crowns(spark: SparkSession, scene: Scene, pixels: DataFrame, points: DataFrame, out: str | None = None, labels_out: str | None = None, mode: str | None = None, bands=None, space: str = "auto", rule: str = "auto", tile: int = 2048, clip_to_core: bool = True, scale_scope: str = "window", **overrides) -> DataFrame | int:
     """Regions grown from points (x, y): (adaptel_id, area_m2, perimeter, n_parts, wkt). adaptel_id is
     the point's id where it has one, else its place in the order of (x, y) from 0. Points off the
-    scene or on missing pixels give no region; no points give an empty table."""
+    scene or on missing pixels give no region; no points give an empty table. Bands are scaled to
+    0..255 in each core's window (scale_scope "scene": over the whole scene); regions are cut at their
+    seed's core, or whole where clip_to_core is off: overlapping pixels then count for both, and the
+    label raster gives them to the smallest id."""
+    if scale_scope not in ("window", "scene"):
+        raise ValueError(f"scale_scope is window or scene, not {scale_scope!r}")
     name, roles, _ = auto_mode(pixels, scene.bands, scene.height, scene.width, mode, bands, nodata=scene.nodata)
     chosen, index = resolve_mode(len(scene.bands), name, roles)
     recipe = grow_recipe(chosen.roles, space, rule, **overrides)
@@ -27,18 +33,24 @@ def grow_crowns(spark: SparkSession, scene: Scene, pixels: DataFrame, points: Da
     elif "id" in points.columns:
         named = points.withColumn("gid", F.col("id").cast("long"))
     else:
-        from pyspark.sql import Window
-
-        named = points.withColumn("gid", F.row_number().over(Window.orderBy("x", "y")).cast("long") - 1)
+        strips = points.withColumn("__strip", F.floor(F.col("x") / (256 * scene.affine.a)))
+        named = running_ids(strips, "__strip", ["x", "y"], "gid").withColumn("gid", F.col("gid").cast("long") - 1)
     seeds = named.select("gid", F.floor(row).cast("int").alias("r"), F.floor(col).cast("int").alias("c"))
     px = with_roles(pixels, scene, index)
-    eight = to_uint8(px.withColumns({r: F.when(F.col("valid"), F.col(r)).otherwise(F.lit(0.0)) for r in chosen.roles}).withColumn("tile_id", F.lit(0)), chosen.roles).drop("tile_id")
-    feats = growing_space(recipe.space, chosen.trio)
-    stack = eight.select("r", "c", "valid", *(f.alias(f"f{k}") for k, f in enumerate(feats)))
+    px = px.withColumns({r: F.when(F.col("valid"), F.col(r)).otherwise(F.lit(0.0)) for r in chosen.roles})
+    feats = [f.alias(f"f{k}") for k, f in enumerate(growing_space(recipe.space, chosen.trio))]
+
+    def scaled(frame, keys):
+        return to_uint8(frame, chosen.roles, keys).select("*", *feats)
+
+    if scale_scope == "scene":
+        px, prepare = scaled(px.withColumn("__one", F.lit(0)), ["__one"]).drop("__one"), None
+    else:
+        prepare = lambda windows: scaled(windows, ["core_id"])
     rows, cols = core_bands(scene.height, scene.width, tile, scene.striped)
-    labels = cut(kernels.grow_seeds(stack, seeds, [f"f{k}" for k in range(len(feats))], recipe, scene.height, scene.width, rows, cols, clip_to_core), "labels")
+    labels = cut(kernels.grow_seeds(px, seeds, [f"f{k}" for k in range(len(feats))], recipe, scene.height, scene.width, rows, cols, clip_to_core, prepare), "labels")
     if labels_out:
-        write_raster(kernels.label_raster(px, labels.dropDuplicates(["r", "c"])), labels_out)
+        write_raster(kernels.label_raster(px, labels.groupBy("r", "c").agg(F.min("gid").alias("gid"))), labels_out)
     shapes = kernels.polygonize(labels, scene.a, scene.c, scene.e, scene.f)
     crowns = kernels.crown_statistics(labels, scene.affine.pixel_area).drop("n_px").join(shapes, "adaptel_id").select("adaptel_id", "area_m2", "perimeter", "n_parts", "wkt")
     return crowns if out is None else write_crowns(crowns, out)

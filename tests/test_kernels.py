@@ -18,39 +18,40 @@ def grow(data, seeds, valid=None, **k):
 
 
 def test_two_blobs():
-    a = np.full((60, 60), 10.0)
-    a[10:22, 10:22] = a[30:50, 30:50] = 100
-    got = grow(a, [(15, 15), (40, 40)])
-    assert (got == 0).sum() == 144 and (got == 1).sum() == 400
+    a = np.full((31, 47), -7.0)
+    a[2:9, 3:20] = a[14:29, 33:40] = 55
+    got = grow(a, [(5, 11), (21, 36)])
+    assert (got == 0).sum() == 7 * 17 and (got == 1).sum() == 15 * 7
 
 
 def test_radius_is_a_disc():
-    got = grow(np.zeros((60, 60)), [(30, 30)], max_radius=5.0)
-    rr, cc = np.mgrid[:60, :60]
-    assert ((got == 0) == ((rr - 30) ** 2 + (cc - 30) ** 2 <= 25)).all()
+    got = grow(np.full((23, 37), 3.0), [(9, 26)], max_radius=7.3)
+    rr, cc = np.mgrid[:23, :37]
+    assert ((got == 0) == (np.hypot(rr - 9, cc - 26) <= 7.3)).all()
 
 
 def test_missing_column_is_a_wall():
-    valid = np.ones((40, 40), bool)
-    valid[:, 20] = False
-    got = grow(np.zeros((40, 40)), [(20, 5), (20, 35)], valid)
-    assert set(np.unique(got[:, :20])) <= {-1, 0} and set(np.unique(got[:, 21:])) <= {-1, 1} and (got[:, 20] == -1).all()
+    valid = np.ones((17, 33), bool)
+    valid[6] = False
+    got = grow(np.ones((17, 33)), [(2, 30), (12, 1)], valid)
+    assert set(np.unique(got[:6])) <= {-1, 0} and set(np.unique(got[7:])) <= {-1, 1} and (got[6] == -1).all()
 
 
 def test_band_weights():
-    a = np.zeros((2, 20, 20))
-    a[1, :, 10:] = 8
-    assert (grow(a, [(10, 5)], max_cost=10.0, band_weights=(1.0, 1.0))[:, 15] == 0).any()
-    assert (grow(a, [(10, 5)], max_cost=10.0, band_weights=(1.0, 2.0))[:, 10:] == -1).all()
+    a = np.zeros((3, 12, 26))
+    a[2, :, 13:] = 4
+    assert (grow(a, [(6, 8)], max_cost=6.0, band_weights=(1.0, 1.0, 1.4))[:, 18] == 0).any()
+    assert (grow(a, [(6, 8)], max_cost=6.0, band_weights=(1.0, 1.0, 1.6))[:, 13:] == -1).all()
     with pytest.raises(ValueError):
-        grow(a, [(10, 5)], band_weights=(1.0,))
+        grow(a, [(6, 8)], band_weights=(1.0, 2.0))
 
 
 def test_taper():
-    a = np.fromfunction(lambda r, c: 2.5 + 0 * r, (41, 41))
-    a[20, 20] = 0
-    far = lambda g: np.hypot(*(np.argwhere(g == 0) - 20).T).max()
-    assert far(grow(a, [(20, 20)], max_radius=10.0, taper=10.0)) <= 5 < far(grow(a, [(20, 20)], max_radius=10.0)) <= 10
+    a = np.full((35, 35), 3.2)
+    a[17, 17] = 0
+    far = lambda g: np.hypot(*(np.argwhere(g == 0) - 17).T).max()
+    # a tolerance of 5 less 6 at the rim of 12 leaves 3.2 up to a distance of 3.6
+    assert far(grow(a, [(17, 17)], max_radius=12.0, taper=6.0)) <= 3.6 < 11 < far(grow(a, [(17, 17)], max_radius=12.0)) <= 12
 
 
 def test_first_of_two_seeds_on_a_pixel_and_seed_on_missing_data():
@@ -76,6 +77,56 @@ def test_holes_and_outlines():
     assert len(parts_of({(0, 0), (1, 1), (5, 5)})) == 2
 
 
+def slow_reach(data, seeds, radius, cost, taper):
+    """Reach rule from its definition: bottleneck costs by repeated relaxation for each seed alone,
+    then each pixel to the seed of least cost that comes to it through its own region."""
+    n, (bands, h, w) = len(seeds), data.shape
+    d = np.array([np.sqrt(((data - data[:, r, c][:, None, None]) ** 2).sum(axis=0)) for r, c in seeds])
+    rr, cc = np.mgrid[:h, :w]
+    away = np.array([np.hypot(rr - r, cc - c) for r, c in seeds])
+    may = (away <= radius) & (d <= cost - taper * away / radius)
+    label, best = np.full((h, w), -1), np.full((h, w), np.inf)
+    for s, (r, c) in enumerate(seeds):
+        if best[r, c] > 0:
+            label[r, c], best[r, c] = s, 0.0
+    done = np.zeros((h, w), bool)
+    while True:  # settle the cheapest open pixel, ties by seed and place
+        open_ = np.argwhere((label >= 0) & ~done)
+        if not len(open_):
+            return label
+        r, c = min(map(tuple, open_.tolist()), key=lambda p: (best[p], label[p], p))
+        done[r, c] = True
+        s = label[r, c]
+        for y in range(max(r - 1, 0), min(r + 2, h)):
+            for x in range(max(c - 1, 0), min(c + 2, w)):
+                step = max(best[r, c], d[s, y, x])
+                if not done[y, x] and may[s, y, x] and step <= cost - taper * away[s, y, x] / radius and step < best[y, x]:
+                    best[y, x], label[y, x] = step, s
+
+
+@pytest.mark.parametrize("taper", [0.0, 3.0])
+def test_reach_equals_a_slow_version(taper):
+    rng = np.random.default_rng(12)
+    data = np.cumsum(rng.normal(0, 0.8, (2, 24, 31)), axis=2)
+    seeds = [(3, 4), (12, 15), (13, 18), (20, 27), (5, 25)]
+    got = grow(data, seeds, max_cost=6.0, max_radius=8.0, taper=taper)
+    assert (got == slow_reach(data, seeds, 8.0, 6.0, taper)).all() and len(np.unique(got)) == 6
+
+
+def test_outlines_hold_exactly_their_cells():
+    rng = np.random.default_rng(2)
+    for k in range(20):
+        cells = {(int(r), int(c)) for r, c in np.argwhere(rng.random((9, 11)) < 0.3 + k / 40)}
+        inside = set()
+        rings = [r for part in parts_of(cells) for r in rings_of(part)]
+        for r in range(9):
+            for c in range(11):
+                crossings = sum((y1 > r + 0.5) != (y2 > r + 0.5) and x1 > c + 0.5 for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False))
+                if crossings % 2:
+                    inside.add((r, c))
+        assert inside == cells
+
+
 def test_superpixels():
     rng = np.random.default_rng(1)
     a = rng.normal(50, 2, (1, 40, 40))

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.operators import graph, normalise, spatial, tiles
+from lumigrid.operators import graph, normalise, objects, spatial, tiles
 from lumigrid.operators.objects import describe_objects
 from lumigrid.plans import catalog
 from lumigrid.plans.detect import DetectConfig, detect
@@ -68,12 +68,15 @@ def test_stands(spark):
 
 def test_radiometry_and_norm(spark):
     px = spark.range(20000).select((F.col("id") % 68 + 56.0).alias("red"), (F.col("id") % 63 + 57.0).alias("nir"))
-    hazy = normalise.Radiometry().fit(px, ["red", "nir"])
-    assert hazy.active and "dark end" in hazy.describe()
-    assert not normalise.Radiometry("off").fit(px, ["red"]).active
-    assert not normalise.Radiometry().fit(px.limit(10), ["red"]).scene
+    hazy = normalise.measure_bands(px, ["red", "nir"]).collect()
+    assert {r.role: (r.dark, r.flat) for r in hazy} == {"red": (True, False), "nir": (False, True)} and normalise.needs_match(hazy)
+    assert not normalise.needs_match(hazy, "off") and normalise.needs_match([], "match") and not normalise.needs_match([])
+    matched = normalise.match_bands(px, hazy).agg(*(F.percentile("red", F.lit(q)) for q in (0.02, 0.98))).first()
+    assert matched[0] == pytest.approx(29) and matched[1] == pytest.approx(80)
+    few = normalise.measure_bands(px.limit(10), ["red"]).collect()
+    assert few[0].gain is None and normalise.match_bands(px, few).columns == px.columns
     with pytest.raises(ValueError):
-        normalise.Radiometry("x")
+        normalise.needs_match(hazy, "x")
     seg = spark.createDataFrame([(float(k),) for k in (1, 2, 3, 4, 100)] + [(float("nan"),)], "v double")
     norm = normalise.SceneNorm("both", ["v"]).fit(seg)
     assert norm.median["v"] == 3 and norm.mad["v"] == pytest.approx(1.4826 + 1e-6)
@@ -118,6 +121,58 @@ def test_detect_and_grow(spark, tmp_path):
     assert grow_crowns(spark, scene, px, pts.limit(0)).count() == 0
 
 
+def test_heights_lie_on_their_own_grid(spark):
+    """A surface of 1 m cells over points of a 0.25 m scene, and a coarser terrain under it."""
+    pts = spark.createDataFrame([(0, 3.1, -2.6), (1, 9.9, -0.1), (2, 50.0, 50.0)], "id int, x double, y double")
+    grid = Scene(12, 12, ("h",), 1.0, 0.0, -1.0, 0.0)
+    rows = [(r, c, float(10 * r + c) if (r, c) != (3, 4) else None) for r in range(12) for c in range(12)]
+    surface = spark.createDataFrame(rows, "r int, c int, h double")
+    got = {r.id: r.height_m for r in spatial.heights_at(pts, (grid, surface), 1.0, "height_m").collect()}
+    assert got == {0: 33.0, 1: 20.0, 2: None}
+
+
+def test_ids_run_over_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(v)) for g, v in zip(rng.integers(0, 9, 300), rng.permutation(300), strict=True)]
+    out = objects.running_ids(spark.createDataFrame(rows, "g int, v int"), "g", ["v"]).collect()
+    assert [(r.g, r.v) for r in sorted(out, key=lambda r: r.id)] == sorted(rows) and sorted(r.id for r in out) == list(range(1, 301))
+
+
+def test_components_in_tiles_and_over_the_scene(spark):
+    rng = np.random.default_rng(9)
+    links = sorted({(int(t), int(min(a, b)), int(max(a, b))) for t, a, b in zip(rng.integers(0, 3, 150), rng.integers(0, 90, 150), rng.integers(0, 90, 150), strict=True) if a != b})
+    seen = [(t, s) for t in range(3) for s in range(0, 90, 1) if (t + s) % 7]
+    root = {k: k for k in seen}
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for t, a, b in links:
+        if (t, a) in root and (t, b) in root:
+            x, y = sorted((find((t, a)), find((t, b))))
+            root[y] = x
+    df, edges = spark.createDataFrame(seen, "tile_id int, seg int"), spark.createDataFrame(links, "tile_id int, a int, b int")
+    got = {(r.tile_id, r.seg): r.obj for r in graph.build_objects(df, edges).collect()}
+    assert got == {k: find(k)[1] for k in seen}
+    one = {r.seg: r.obj for r in graph.build_objects(df.where("tile_id = 1").drop("tile_id"), edges.where("tile_id = 1").drop("tile_id"), ()).collect()}
+    assert one == {s: o for (t, s), o in got.items() if t == 1}
+
+
+def test_model_follows_the_mode_of_the_scene(spark):
+    """Near infrared, red and green without a mode: the forest is asked for once that is known."""
+    n = 70
+    rng = np.random.default_rng(8)
+    array = np.stack([rng.normal(m, 4, (n, n)) for m in (160, 50, 80)])
+    scene, px = scene_from_array(spark, np.clip(array, 1, 255))
+    asked = []
+
+    def choose(mode):
+        asked.append(mode)
+        return [{"tree": 0, "node": 0, "feature": None, "p": 0.0, "threshold": None, "left": None, "right": None}], None, None
+
+    assert detect(spark, scene, px, choose, tile=70, overlap=10, min_valid_px=10, box_px=11).count() == 0 and asked == ["cir"]
+
+
 def test_models_and_names(tmp_path):
     store = ModelStore(str(tmp_path))
     store.save("rgbn", [{"tree": 0, "node": 0, "feature": None, "p": 0.5}], rows=1)
