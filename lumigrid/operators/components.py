@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,15 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written as a table; the tables that were written on the way go."""
+    before = set(_TABLES)
+    out = cut(make(), name)
+    for path in [p for p in _TABLES[:-1] if p not in before]:
+        _delete(out.sparkSession, path)
+    return out
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all tables that ``cut`` has written, once no frame of this session is needed any more."""
     for path in list(_TABLES):
