@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumigrid.llm import near
 from lumigrid.llm.gray import GrayIndex, spanning
-from lumigrid.llm.store import materialise
+from lumigrid.llm.store import materialise, settle
 from lumigrid.llm.text import Shingles, Words, shingles, sliced, text_buffer, words, xxh64
 from lumigrid.operators.components import connected_components
 
@@ -151,7 +151,7 @@ def drop_near_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id",
     bits. So bands of MinHash are the buckets, in which the Gray-order index over the fingerprints
     is searched at a radius of 24 bits, and the shingle sets decide.
     """
-    return near.one_of_each(df, near.near_classes(df, text, k, likeness), text, id_col)
+    return near.one_of_each(df, settle(lambda: near.near_classes(df, text, k, likeness), "simhash-classes"), text, id_col)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

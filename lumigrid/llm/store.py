@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.operators.components import checkpoint_dir, cut, release
+from lumigrid.operators.components import checkpoint_dir, cut, release, settle
 
-__all__ = ["fresh", "materialise", "release", "shared_dir", "spread_join", "tasks"]
+__all__ = ["fresh", "materialise", "release", "settle", "shared_dir", "spread_join", "tasks"]
 
 
 def shared_dir(spark: SparkSession) -> str:
