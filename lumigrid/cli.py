@@ -57,6 +57,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--scene-norm", choices=("auto", "off"), default="auto")
     d.add_argument("--radiometry", choices=("off", "auto", "match"), default="off")
     g.add_argument("--labels")
+    g.add_argument("--points-crs", default="", help="coordinate system of the points, such as EPSG:2180; else the scene's")
     for flag in ("--max-cost", "--max-radius", "--taper"):
         g.add_argument(flag, type=float)
     g.add_argument("--band-weights", type=_numbers)
@@ -110,7 +111,7 @@ def run_grow(a) -> int:
 
     spark = _session()
     scene, pixels = _open(spark, a.raster)
-    n = grow_crowns(spark, scene, pixels, read_table(spark, a.points), a.output, a.labels, a.mode, a.bands, a.space, a.rule, a.tile, max_cost=a.max_cost, band_weights=a.band_weights, max_radius=a.max_radius, taper=a.taper, fill_holes=False if a.no_fill_holes else None)
+    n = grow_crowns(spark, scene, pixels, read_table(spark, a.points), a.output, a.labels, a.mode, a.bands, a.space, a.rule, a.tile, points_crs=a.points_crs, max_cost=a.max_cost, band_weights=a.band_weights, max_radius=a.max_radius, taper=a.taper, fill_holes=False if a.no_fill_holes else None)
     if not a.quiet:
         print(f"{n} regions in {a.output}")
     return 0

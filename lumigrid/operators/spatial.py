@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumigrid.functions.crs import transform
+
 
 def usable_stands(stands: DataFrame, min_age: float | None = 10, age: str = "age") -> DataFrame:
     """Stands of at least the age; those without an age go, unless the table has no age at all."""
@@ -95,11 +97,11 @@ def height_near(points: DataFrame, heights: DataFrame, radius_px: int, out: str
     return points.join(top, F.col(id_col) == F.col("__id"), "left").drop("__id")
 
 
-def heights_at(points: DataFrame, raster: tuple, radius_m: float, out: str, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+def heights_at(points: DataFrame, raster: tuple, radius_m: float, out: str, id_col: str = "id", x: str = "x", y: str = "y", crs: str = "") -> DataFrame:
     """Adds the largest height within ``radius_m`` of each point from a raster (scene, heights) with
-    a grid of its own."""
+    a grid and a coordinate system of its own; ``crs`` is that of the points."""
     scene, heights = raster
-    hr, hc = scene.affine.to_pixel(F.col(x), F.col(y))
+    hr, hc = scene.affine.to_pixel(*transform(F.col(x), F.col(y), crs, scene.crs))
     placed = points.withColumns({"__hr": F.floor(hr).cast("int"), "__hc": F.floor(hc).cast("int")})
     return height_near(placed, heights, radius_cells(radius_m, scene.a), out, id_col, "__hr", "__hc").drop("__hr", "__hc")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumigrid.functions import color, pixel
+from lumigrid.functions import color, crs, pixel
 from lumigrid.operators import forest, graph, grow, modes, normalise, objects, segment, spatial, tiles, zonal
 from lumigrid.operators.components import cut
 from lumigrid.plans import detect, views
@@ -130,6 +131,16 @@ sup(k, kept) AS (SELECT 0, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[])
 kp AS (SELECT unnest(list_transform((SELECT kept FROM sup ORDER BY k DESC LIMIT 1), lambda s: s.id)) AS id)"""
 
 
+#: Transverse Mercator of zone 32 by the conformal latitude in exponential form; the constants are
+#: those of WGS84 (eccentricity, series to the fourth order, scaled rectifying radius).
+_UTM = """
+geo AS (SELECT id, x * 0.1e0 + 6.53e0 AS lon, y * 0.05e0 + 41.07e0 AS lat FROM pt),
+cf AS (SELECT id, lon, lat, radians(lon - 9e0) AS l, atanh(sin(radians(lat))) - 0.0818191908426215e0 * atanh(0.0818191908426215e0 * sin(radians(lat))) AS q FROM geo),
+uv AS (SELECT id, lon, lat, atan2((exp(q) - exp(-q)) / 2, cos(l)) AS u, atanh(sin(l) / ((exp(q) + exp(-q)) / 2)) AS v FROM cf),
+kr AS (SELECT j, k FROM (VALUES (1, 8.377318206304e-4), (2, 7.608527714249e-7), (3, 1.197638001606e-9), (4, 2.429150e-12)) t(j, k)),
+utm AS (SELECT id, any_value(lon) AS lon, any_value(lat) AS lat, 6364902.166165087e0 AS rad, any_value(v) + sum(k * cos(2 * j * u) * (exp(2 * j * v) - exp(-2 * j * v)) / 2) AS e, any_value(u) + sum(k * sin(2 * j * u) * (exp(2 * j * v) + exp(-2 * j * v)) / 2) AS n FROM uv, kr GROUP BY id)"""
+
+
 # --- sources, tiles, pixels -------------------------------------------------------------------------
 
 
@@ -193,6 +204,23 @@ def core_bands_halo(spark, d):
     return h.groupBy("core_id").agg(F.count_if("in_core").alias("n_core"), F.count("*").alias("n_window"))
 
 
+@query(f"WITH {PT}, {_tiles_sql()}, o AS (SELECT id, (x + 0.25e0) * 2.9e0 AS cx, (y + 0.25e0) * 0.9e0 AS cy FROM pt) SELECT id, tile_id FROM o JOIN tl ON cy >= cr0 AND cy < cr1 AND cx >= cc0 AND cx < cc1")
+def core_ownership(spark, d):
+    """Objects seen by up to four tiles each, kept by the one whose core holds their centroid."""
+    scene = views.scene(spark, d)
+    at = views.points(spark, d).select("id", ((F.col("x") + 0.25) * 2.9).alias("cx"), ((F.col("y") + 0.25) * 0.9).alias("cy"))
+    at = at.withColumns({"r": F.floor("cy").cast("int"), "c": F.floor("cx").cast("int")}).where(F.col("r") < scene.height)
+    seen = tiles.to_tiles(at, scene.height, scene.width, TILE, OVERLAP).select("id", "tile_id", "cx", "cy")
+    return detect.own_objects(seen, scene, detect.DetectConfig(tile=TILE, overlap=OVERLAP)).select("id", "tile_id")
+
+
+@query(f"WITH {PX}, {PT}, k AS (SELECT DISTINCT r // 40 AS i, c // 40 AS j FROM px) SELECT id, CAST(i * 4 + j AS INT) AS core_id, (pt.r // 40 = i AND pt.c // 40 = j) AS in_core FROM pt JOIN k ON pt.r >= i * 40 - 8 AND pt.r <= i * 40 + 47 AND pt.c >= j * 40 - 8 AND pt.c <= j * 40 + 47 WHERE pt.r <= (SELECT max(r) FROM px)")
+def seed_windows(spark, d):
+    """Every window (core and halo) that holds a seed, and whether its core does."""
+    h = views.height(spark, d)
+    return tiles.to_halos(views.points(spark, d).where(F.col("r") < h), 40, 40, h, views.WIDTH, 8).select("id", "core_id", "in_core")
+
+
 @query(f"WITH {PX}, {PT} SELECT DISTINCT CAST((pt.r // 10) * 15 + pt.c // 10 AS INT) AS core_id FROM pt JOIN px ON px.r = pt.r AND px.c = pt.c WHERE valid AND score > 5000")
 def seeds_in_tiles(spark, d):
     """Cores that hold seeds on valid pixels."""
@@ -219,6 +247,24 @@ def rgb_to_lab(spark, d):
     return views.pixels(spark, d).where("valid").select("r", "c", *(F.round(v, 4).alias(n) for n, v in zip(("lightness", "a", "b"), parts, strict=True)))
 
 
+@query(f"WITH {PX}{LAB} SELECT px.r, px.c, round(L, 4) AS l_star, round(a, 4) AS a_star, round(b, 4) AS b_star FROM px LEFT JOIN lab ON px.r = lab.r AND px.c = lab.c")
+def lab_raster(spark, d):
+    """The CIELAB raster of the scene, null where data is missing."""
+    from lumigrid.sources.raster import lab_raster as raster
+
+    px = views.pixels(spark, d).select("r", "c", *(F.when(F.col("valid"), F.col(b)).otherwise(-1.0).alias(b) for b in views.BANDS))
+    out = raster(replace(views.scene(spark, d), nodata=-1.0), px, views.BANDS[:3], {b: k for k, b in enumerate(views.BANDS)})
+    return out.select("r", "c", *(F.round(n, 4).alias(f"{n.lower()}_star") for n in ("L", "a", "b")))
+
+
+@query(f"WITH {PX}{LAB} SELECT px.r, px.c, round(L, 4) AS f0, round(a, 4) AS f1, round(b, 4) AS f2, red AS raw0, green AS raw1, blue AS raw2 FROM px JOIN lab ON px.r = lab.r AND px.c = lab.c")
+def growing_spaces_rgb(spark, d):
+    """The growing spaces of scenes without near infrared: weighted CIELAB and raw bands."""
+    trio = views.BANDS[:3]
+    lab, raw = pixel.growing_space("lab_w", trio), pixel.growing_space("raw", trio)
+    return views.pixels(spark, d).where("valid").select("r", "c", *(F.round(f, 4).alias(f"f{k}") for k, f in enumerate(lab)), *(f.alias(f"raw{k}") for k, f in enumerate(raw)))
+
+
 @query(f"WITH {PX}{LCH} SELECT r, c, round(L, 4) AS lightness, round(CH, 4) AS chroma, CASE WHEN CH > 1e-3 THEN round(Hab, 3) END AS hue FROM lch")
 def rgb_to_lch(spark, d):
     lightness, chroma, hue = color.lch(*(F.col(b) for b in views.BANDS[:3]))
@@ -247,6 +293,15 @@ def band_medians_guess(spark, d):
     return spark.createDataFrame([(*m, guess)], "m1 double, m2 double, m3 double, guess string")
 
 
+@query(ORACLE["band_medians_guess"].replace("SELECT m1, m2, m3, CASE", "SELECT CASE").replace("WHEN m2 > m1 AND m2 > m3 THEN 'rgb' END AS guess", "END AS mode, CASE WHEN m2 < m1 AND m2 < m3 AND least(m1, m3) - m2 > 0.1e0 * greatest(m2, 1e-6) THEN 'nir,red,green' END AS roles"))
+def auto_mode(spark, d):
+    """The mode and band order of a scene of three bands that says nothing of them; none where the
+    usual order fits."""
+    px = views.pixels(spark, d).where("valid")
+    mode, roles, _ = modes.auto_mode(px, ("green", "red", "nir"), views.height(spark, d), views.WIDTH, size=140, least=1)
+    return spark.createDataFrame([(mode, ",".join(roles) if roles else None)], "mode string, roles string")
+
+
 def _radiometry_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT '{b}' AS role, count({b}) AS n, quantile_cont({b}, 0.02) AS lo, quantile_cont({b}, 0.98) AS hi FROM px WHERE valid" for b in views.BANDS)
     ref = " UNION ALL ".join(f"SELECT '{b}' AS role, {v[0]}e0 AS r0, {v[1]}e0 AS r1" for b, v in normalise.REFERENCE.items())
@@ -368,6 +423,30 @@ def dead_trees(spark, d):
     return pts.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "p", "p_mean", "area_m2", "n_adaptels")
 
 
+#: A small forest over object features.
+OBJECT_FOREST = [
+    {"tree": 0, "node": n, "feature": f, "threshold": v, "left": a, "right": b, "p": p}
+    for n, f, v, a, b, p in ((0, "pow", 1.30001, 1, 2, None), (1, "ring_ndvi", 0.05001, 3, 4, None), (2, None, None, None, None, 0.8), (3, None, None, None, None, 0.35), (4, None, None, None, None, 0.55))
+]
+_P_OBJECT = "CASE WHEN pow <= 1.30001e0 THEN CASE WHEN ring_ndvi <= 0.05001e0 THEN 0.35e0 ELSE 0.55e0 END ELSE 0.8e0 END"
+_GATED = f""",
+og AS (SELECT *, {_P_OBJECT} AS p_object FROM ob WHERE pow >= 0.26e0),
+sg AS (SELECT og.*, CAST(EXISTS (SELECT 1 FROM st WHERE age >= 5 AND cx > x0 + 1.37e0 AND cx < x0 + 6.63e0 AND cy > y0 + 1.37e0 AND cy < y0 + 6.63e0) AS INT) AS in_stands FROM og WHERE p_object >= 0.5e0),
+hg AS (SELECT obj, max(h) AS height_m FROM sg LEFT JOIN ht ON ht.r BETWEEN floor(cy) - 1 AND floor(cy) + 1 AND ht.c BETWEEN floor(cx) - 1 AND floor(cx) + 1 GROUP BY obj),
+gt AS (SELECT sg.*, height_m, cx AS x, cy AS y, round(s_max, 9) AS s FROM sg JOIN hg ON sg.obj = hg.obj WHERE height_m IS NULL OR NOT height_m < 40)"""
+
+
+@query(f"WITH RECURSIVE {SCORED}{OBJECTS}, {ST}, {HT}{_GATED}{_suppressed('gt', 'obj', 's', RADIUS)} SELECT row_number() OVER (ORDER BY obj) AS id, round(cx, 4) AS x, round(cy, 4) AS y, round(s_max, 4) AS p, p_object, round(pow, 2) AS area_m2, in_stands, round(height_m, 2) AS height_m FROM gt JOIN kp ON kp.id = gt.obj")
+def dead_trees_gated(spark, d):
+    """The flagship with its gates: least area, object forest and cut, stands as a flag, heights."""
+    scene = views.scene(spark, d)
+    cfg = detect.DetectConfig(box_px=BOX, tile=1 << 20, overlap=0, edge_px=0, suppress_m=RADIUS, min_area=0.26, object_threshold=0.5, stand_age=5, stand_buffer=-1.37, keep_outside=True, height_radius=1.0, min_height=40.0)
+    found = _found(spark, d)
+    rounded = detect.Detection(found.pixels, found.segments, found.links, found.members, found.objects.withColumn("s_max", F.round("s_max", 9)))
+    pts = detect.points_of(rounded, scene, modes.MODES["rgbn"], cfg, OBJECT_FOREST, views.stands(spark, d), (views.heights(spark, d),))
+    return pts.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "p", "p_object", "area_m2", "in_stands", "height_m")
+
+
 # --- points, gates, growing -------------------------------------------------------------------------
 
 
@@ -443,6 +522,15 @@ def affine_round_trip(spark, d):
     return out.select("id", "mx", "my", F.floor(row).cast("int").alias("row"), F.floor(col).cast("int").alias("col"))
 
 
+@query(f"WITH {PT}, {_UTM} SELECT id, round(500000e0 + rad * e, 3) AS easting, round(rad * n, 3) AS northing, round(lon, 9) AS lon, round(lat, 9) AS lat FROM utm")
+def crs_round_trip(spark, d):
+    """Geographic points in a transverse Mercator zone and back."""
+    lon, lat = F.col("x") * 0.1 + 6.53, F.col("y") * 0.05 + 41.07
+    out = views.points(spark, d).select("id", *(v.alias(n) for n, v in zip(("e", "n"), crs.transform(lon, lat, "EPSG:4326", "EPSG:32632"), strict=True)))
+    back = crs.transform(F.col("e"), F.col("n"), "EPSG:32632", "EPSG:4326")
+    return out.select("id", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), *(F.round(v, 9).alias(n) for n, v in zip(("lon", "lat"), back, strict=True)))
+
+
 @query(f"WITH {PX}, h AS (SELECT max(r) + 1 AS hh, 150 AS ww FROM px), t AS (SELECT a.i AS r, b.j AS c, least(greatest((a.i + 0.5e0) * 2 - 0.5e0, 0), hh - 1) AS fr, least(greatest((b.j + 0.5e0) * 2 - 0.5e0, 0), ww - 1) AS fc FROM h, generate_series(0, hh // 2 - 1) a(i), generate_series(0, 74) b(j)), n AS (SELECT t.r, t.c, px.nir, px.valid, greatest(0e0, 1 - abs(fr - px.r)) * greatest(0e0, 1 - abs(fc - px.c)) AS w FROM t JOIN px ON px.r BETWEEN floor(fr) AND floor(fr) + 1 AND px.c BETWEEN floor(fc) AND floor(fc) + 1) SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, CASE WHEN bool_and(valid) THEN round(sum(nir * w) / sum(w), 4) ELSE 0e0 END AS nir FROM n WHERE w > 0 GROUP BY r, c")
 def resample_scene(spark, d):
     """Bilinear resampling to pixels of twice the size."""

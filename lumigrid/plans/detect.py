@@ -129,9 +129,9 @@ def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConf
     if heights:
         # a raster with a header lies on its own grid, a bare table on the scene's
         top, *ground = (h if isinstance(h, tuple) else (scene, h) for h in heights)
-        out = spatial.heights_at(out, top, config.height_radius, "height_m" if not ground else "__top", "pid")
+        out = spatial.heights_at(out, top, config.height_radius, "height_m" if not ground else "__top", "pid", crs=scene.crs)
         if ground:
-            out = spatial.heights_at(out, ground[0], 0.0, "__ground", "pid").withColumn("height_m", F.col("__top") - F.col("__ground")).drop("__top", "__ground")
+            out = spatial.heights_at(out, ground[0], 0.0, "__ground", "pid", crs=scene.crs).withColumn("height_m", F.col("__top") - F.col("__ground")).drop("__top", "__ground")
         out = out if config.keep_low else spatial.drop_low(out, config.min_height)
     else:
         out = out.withColumn("height_m", F.lit(None).cast("double"))

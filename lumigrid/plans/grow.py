@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumigrid.functions.crs import transform
 from lumigrid.functions.pixel import growing_space
 from lumigrid.operators import grow as kernels
 from lumigrid.operators.components import cut
@@ -15,18 +16,21 @@ from lumigrid.operators.zonal import to_uint8
 from lumigrid.sources.raster import Scene, with_roles, write_crowns, write_raster
 
 
-def grow_crowns(spark: SparkSession, scene: Scene, pixels: DataFrame, points: DataFrame, out: str | None = None, labels_out: str | None = None, mode: str | None = None, bands=None, space: str = "auto", rule: str = "auto", tile: int = 2048, clip_to_core: bool = True, scale_scope: str = "window", **overrides) -> DataFrame | int:
+def grow_crowns(spark: SparkSession, scene: Scene, pixels: DataFrame, points: DataFrame, out: str | None = None, labels_out: str | None = None, mode: str | None = None, bands=None, space: str = "auto", rule: str = "auto", tile: int = 2048, clip_to_core: bool = True, scale_scope: str = "window", points_crs: str = "", **overrides) -> DataFrame | int:
     """Regions grown from points (x, y): (adaptel_id, area_m2, perimeter, n_parts, wkt). adaptel_id is
     the point's id where it has one, else its place in the order of (x, y) from 0. Points off the
     scene or on missing pixels give no region; no points give an empty table. Bands are scaled to
     0..255 in each core's window (scale_scope "scene": over the whole scene); regions are cut at their
     seed's core, or whole where clip_to_core is off: overlapping pixels then count for both, and the
-    label raster gives them to the smallest id."""
+    label raster gives them to the smallest id. Points in another coordinate system (points_crs) are
+    brought to the scene's."""
     if scale_scope not in ("window", "scene"):
         raise ValueError(f"scale_scope is window or scene, not {scale_scope!r}")
     name, roles, _ = auto_mode(pixels, scene.bands, scene.height, scene.width, mode, bands, nodata=scene.nodata)
     chosen, index = resolve_mode(len(scene.bands), name, roles)
     recipe = grow_recipe(chosen.roles, space, rule, **overrides)
+    x, y = transform(F.col("x"), F.col("y"), points_crs, scene.crs)
+    points = points.withColumns({"x": x, "y": y})
     row, col = scene.affine.to_pixel(F.col("x"), F.col("y"))
     if "gid" in points.columns:
         named = points

@@ -1,11 +1,13 @@
 """Streams of tiles: detection per micro-batch once the scene statistics are fixed.
 
 The batch pipeline is bounded; as an extension, tiles that arrive as files can be processed as they
-come, because a tile's result needs no other tile.
+come, because a tile's result needs no other tile. A tile's pixels must lie in one file (write them
+with partitionBy("tile_id"), coalesced); a micro-batch may hold several.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,23 @@ def read_tiles(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def detect_stream(stream: DataFrame, scene: Scene, mode: BandMode, model, threshold: float, out: str, checkpoint: str, config: DetectConfig | None = None):
-    """Start a query that appends the points of every micro-batch to ``out``."""
+    """Start a query that appends the points of every micro-batch to ``out``. Ids run on from the
+    earlier batches; a batch that is run again after a failure gets the same ones."""
     cfg = config or DetectConfig()
 
     def batch(frame: DataFrame, number: int) -> None:
-        if frame.limit(1).count():
-            found = detect_frame(frame, mode, model, threshold, scene, cfg)
-            points = points_of(found, scene, mode, cfg).withColumn("batch", F.lit(number))
-            points.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if frame.isEmpty():
+            return
+        spark = frame.sparkSession
+        found = detect_frame(frame, mode, model, threshold, scene, cfg)
+        points = points_of(found, scene, mode, cfg)
+        # every batch that held rows has left a folder, so an absent table means the first one
+        try:
+            earlier = spark.read.parquet(out).where(F.col("batch") < number).count()
+        except AnalysisException as why:
+            if why.getCondition() != "PATH_NOT_FOUND":
+                raise
+            earlier = 0
+        points.withColumn("id", (F.col("id") + earlier).cast("int")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
