@@ -15,6 +15,8 @@ MODULES = {
     "op9_mixing": "mixing",
     "op10_url_filters": "url_filter",
     "op5_simhash_near_dedup": "simhash",
+    "op13_filter_audit": "filter_audit",
+    "op12_source_divergence": "divergence",
 }
 
 
