@@ -17,6 +17,7 @@ MODULES = {
     "op5_simhash_near_dedup": "simhash",
     "op13_filter_audit": "filter_audit",
     "op12_source_divergence": "divergence",
+    "op11_topk_search": "kd_search",
 }
 
 
