@@ -80,6 +80,11 @@ def _number(m: np.ndarray, most: float) -> np.ndarray:
     return m.astype(np.float64) if most < EXACT else m.astype(object)
 
 
+def _in_range(scores: np.ndarray) -> np.ndarray:
+    """Scores that stop at the ends of a long; those in floats lie inside."""
+    return np.minimum(np.maximum(scores, LOW), HIGH) if scores.dtype == object else scores
+
+
 # --- trees ------------------------------------------------------------------------------------------
 
 
@@ -185,7 +190,7 @@ def search(tree: Tree, ids: np.ndarray, none: np.ndarray, first: np.ndarray, que
     """The k best rows of a shard for each query, as far as they reach ``least``. Row r of the shard
     stands for the ids first[r]:first[r+1]."""
     best = Best(k, least.copy())
-    reach = bounds(queries, tree.low, tree.high)
+    reach = _in_range(bounds(queries, tree.low, tree.high))
     lowest = -np.inf if queries.dtype != object else -(1 << 140)
     queue = np.full((len(queries), len(tree.start)), lowest, queries.dtype)
     queue[:, 0] = reach[:, 0]
@@ -205,7 +210,7 @@ def search(tree: Tree, ids: np.ndarray, none: np.ndarray, first: np.ndarray, que
         for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(order) else ():
             q, at = asking[rows], int(leaf[rows[0]])
             a, b = int(tree.start[at]), int(tree.stop[at])
-            score = queries[q] @ tree.rows[a:b].T
+            score = _in_range(queries[q] @ tree.rows[a:b].T)
             cut = best.least[q]
             if b - a > k:
                 cut = np.maximum(cut, (np.sort if score.dtype == object else lambda x, axis: np.partition(x, -k, axis=axis))(score, axis=1)[:, -k])
@@ -237,7 +242,7 @@ def _walk(k: int, leaf: int):
         lowest = -np.inf if kind else -(1 << 130)
         least = np.array([lowest if r[2] is None else r[2] for r in rows], np.float64 if kind else object)
         best = search(made[kind], ids, none, first, _number(asked, size), least, k)
-        score = np.array([max(LOW, min(HIGH, int(s))) for s in best.score], np.int64)
+        score = best.score.astype(np.int64)
         same = (m[best.row] == asked[best.q]).all(axis=1) & ~longer[best.q]
         return pa.RecordBatch.from_arrays([pa.array([rows[q][1] for q in best.q], pa.binary()), pa.array(best.id, mask=best.none), pa.array(score), pa.array(same)], names=["q", "vec_id", "score", "same"])
 
@@ -352,7 +357,7 @@ def _routes(queries: DataFrame, boxes, shards: dict[int, int]) -> DataFrame:
                 w = len(low)
                 q = m[:, :w] if m.shape[1] >= w else np.pad(m, ((0, 0), (0, w - m.shape[1])))
                 size = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(np.concatenate([low, high]).astype(np.float64)).max(initial=0)) * max(1, w)
-                reach = bounds(_number(q, size), _number(low[None], size), _number(high[None], size))[:, 0]
+                reach = _in_range(bounds(_number(q, size), _number(low[None], size), _number(high[None], size)))[:, 0]
                 may = np.array([x is None or r >= x for r, x in zip(reach, least, strict=True)], bool)
                 for part in range(base[c], base[c] + shards[c]):
                     pick.append(np.flatnonzero(may & (first != part)))
