@@ -2,15 +2,18 @@
 
 Signature bands propose, shingle sets decide. 1. Every distinct text gets the keys of its MinHash
 bands. 2. Texts that share a key with another are met with their shingle sets in the bucket of that
-key. 3. In a bucket, each text is first held against a few leaders; for what is not yet in the
-largest component a Gray-order index over SimHash fingerprints of the same shingles gives the texts
-within ``RADIUS`` bits, whose sets are compared unless they are in one component already. Small
-buckets compare all their texts. A task returns links that span what it found, never all pairs.
-Classes are the connected components of the links.
+key. 3. In a bucket, each text is first held against a few leaders, then a Gray-order index over
+SimHash fingerprints of the same sets gives the texts within ``RADIUS`` bits; the ``NEAREST`` of them
+are compared unless they are in one component already. That finds most links soon. 4. What is not yet in one
+component is then searched in full: of each set the rarest shingles of the bucket, so many that two
+sets of the least likeness must share one of them, are listed by shingle, and all pairs that meet in
+a list, fit in size and lie in different components are compared. So a bucket's links are those of
+all its pairs, at any size. A task returns links that span what it found, never all pairs. Classes
+are the connected components of the links.
 
 Texts are told apart by 64-bit hashes; copies cost one row each. Buckets of more than ``BUCKET_ROWS``
 texts or ``BUCKET_BYTES`` of sets are dealt out in pairs of blocks, so that each task is bounded and
-no pair of texts is left out.
+no pair of texts is left out. Keys of many texts are spread over tasks where rows are joined by key.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 
 from lumigrid.llm.gray import GrayIndex, spanning
 from lumigrid.llm.store import fresh, materialise, spread_join
-from lumigrid.llm.text import Shingles, shingles, sliced, text_buffer, words, xxh64
+from lumigrid.llm.text import mix64, sliced, text_buffer, xxh64
 from lumigrid.operators.components import connected_components
 
 BANDS, LIKENESS, SHINGLE_WORDS = 21, 0.8, 5
-RADIUS, LEADERS, ALL_PAIRS, SEARCH_ROWS = 24, 8, 64, 64
+RADIUS, LEADERS, NEAREST, SEARCH_ROWS, MEET_ROWS, VOTE_ROWS = 24, 8, 8, 64, 1 << 18, 1 << 15
 BUCKET_ROWS, BUCKET_BYTES = 4096, 16 << 20
 
 
@@ -47,6 +50,54 @@ def leader_likeness(leader: np.ndarray, flat: np.ndarray, first: np.ndarray) ->
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
+def set_fingerprints(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of sets of 32-bit hashes: a bit is 1 if it is set in over half of the hashes, each
+    drawn out to 64 bits."""
+    n, size = len(first) - 1, np.diff(first)
+    votes = np.zeros((n, 64), np.int32)
+    for at in range(0, len(flat), VOTE_ROWS):  # bounded, however long a text is
+        h = mix64(flat[at : at + VOTE_ROWS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        row = np.searchsorted(first, np.arange(at, at + len(h)), "right") - 1
+        own, start = np.unique(row, return_index=True)
+        votes[own] += np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), start, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def meeting_pairs(flat: np.ndarray, first: np.ndarray, least: float, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of different labels that share one of their rarest members, in portions: all
+    pairs of likeness ``least`` or more are among them.
+
+    Two sets of sizes s and t with that likeness share ``least`` * s members or more, so in any common
+    order of members they share one of the first s - ceil(least * s) + 1 of each.
+    """
+    size = np.diff(first)
+    names, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, count))] = np.arange(len(names))
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((rank[code], row))
+    head = np.arange(len(flat)) - first[row] < (size - np.ceil(least * size - 1e-9) + 1)[row]
+    shingle, row = rank[code][order][head], row[head]
+    order = np.lexsort((label[row], shingle))
+    shingle, row = shingle[order], row[order]
+    own = label[row]
+    # each member of a list meets those of the labels before its own
+    start = np.searchsorted(shingle, shingle)
+    run = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (own[1:] != own[:-1])])) if len(row) else np.zeros(0, np.int64)
+    many = np.repeat(run, np.diff(np.append(run, len(row)))) - start
+    total = np.concatenate([[0], np.cumsum(many)])
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + MEET_ROWS, "right")) - 1)
+        n = many[at:stop]
+        q = np.repeat(np.arange(at, stop), n)
+        p = np.repeat(start[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if len(q):
+            pair = np.unique(row[q] * len(size) + row[p])
+            yield pair // len(size), pair % len(size)
+        at = stop
+
+
 def bucket_labels(sets: list[np.ndarray], fps: np.ndarray, least: float, own: np.ndarray | None = None) -> np.ndarray:
     """For each text of a bucket, the first text of its component under links of likeness
     ``least`` or more; texts with equal ``own`` are not compared."""
@@ -57,7 +108,7 @@ def bucket_labels(sets: list[np.ndarray], fps: np.ndarray, least: float, own: np
     def settle(q: np.ndarray, p: np.ndarray) -> None:
         """Compare pairs until all that are left are in one component; each text takes one a round."""
         nonlocal label
-        fit = np.minimum(size[q], size[p]) >= least * np.maximum(size[q], size[p])
+        fit = np.minimum(size[q], size[p]) >= least * np.maximum(size[q], size[p]) - 1e-9
         if own is not None:
             fit &= own[q] != own[p]
         q, p = q[fit], p[fit]
@@ -71,10 +122,13 @@ def bucket_labels(sets: list[np.ndarray], fps: np.ndarray, least: float, own: np
             rest[take] = False
             q, p = q[rest], p[rest]
 
-    if n <= ALL_PAIRS:
-        settle(*np.triu_indices(n, 1))
+    if n == 2:
+        settle(np.array([1]), np.array([0]))
         return label
     flat, first = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    empty = np.flatnonzero(size == 0)
+    if len(empty):
+        label = spanning(empty, np.full(len(empty), empty[0]), n, label)
     for _ in range(LEADERS):
         alone = np.flatnonzero(np.bincount(label, minlength=n)[label] == 1)
         if len(alone) < 2:
@@ -90,7 +144,13 @@ def bucket_labels(sets: list[np.ndarray], fps: np.ndarray, least: float, own: np
     place = np.flatnonzero(label[index.order] != most)
     for at in range(0, len(place), SEARCH_ROWS):
         q, p = index.pairs(place[at : at + SEARCH_ROWS], RADIUS, both_ways=True)
-        settle(index.order[q], index.order[p])
+        order = np.lexsort((np.bitwise_count(index.fp[q] ^ index.fp[p]), q))
+        q, p = q[order], p[order]
+        few = np.arange(len(q)) - np.searchsorted(q, q) < NEAREST  # the others are left to the search in full
+        settle(index.order[q[few]], index.order[p[few]])
+    if (label != label[0]).any():
+        for q, p in meeting_pairs(flat, first, least, label):
+            settle(q, p)
     return label
 
 
@@ -126,7 +186,6 @@ def near_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, le
     """Rows (mark, root), one per distinct text that is linked to another: mark is xxhash64 of the
     text (null: empty), root the smallest mark of its class."""
     from lumigrid.llm.minhash import PERMS, minhash, shingle_hashes
-    from lumigrid.llm.simhash import votes_of
 
     width = PERMS // bands
     plain = docs.select(F.coalesce(text, F.lit("")).alias("text")).select(F.xxhash64("text").alias("mark"), "text")
@@ -140,22 +199,21 @@ def near_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, le
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            buf, offsets = text_buffer(b.column(1))
-            h, first = shingle_hashes(buf, offsets, k)
-            w = words(buf, offsets)
-            s: Shingles = shingles(w, k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes_of(w, s).view(np.int64)), pa.array([np.unique(h[x:y]).tobytes() for x, y in zip(first, first[1:], strict=False)], pa.binary())], names=["mark", "fp", "shingles"])
+            h, first = shingle_hashes(*text_buffer(b.column(1)), k)
+            sets = [np.unique(h[x:y]) for x, y in zip(first, first[1:], strict=False)]
+            fps = set_fingerprints(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["mark", "fp", "shingles"])
 
     keyed = materialise(plain.mapInArrow(keys_of, "mark bigint, keys array<bigint>"), "near-keys")
     # copies of one text, however many, come down to a row before anything is gathered by key
     members = keyed.groupBy("mark").agg(F.first("keys").alias("keys")).select("mark", F.explode("keys").alias("key"))
-    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(members.join(many, "key").select("key", "mark"), "near-members")
+    many = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    met = materialise(spread_join(members, many.select("key"), "key", "left_semi", counts=many), "near-members")
     wanted = met.select("mark").distinct()
     sets = materialise(spread_join(plain, wanted, "mark", "left_semi", keyed.select("mark")).dropDuplicates(["mark"]).mapInArrow(sets_of, "mark bigint, fp bigint, shingles binary"), "near-sets")
     sized = met.join(sets.select("mark", F.octet_length("shingles").cast("long").alias("bytes")), "mark").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(bucket_rows)), F.ceil(F.col("bytes") / F.lit(bucket_bytes)), F.lit(1)).cast("int")
-    dealt = met.join(sized.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    dealt = spread_join(met, sized.select("key", blocks.alias("blocks")), "key", "inner", counts=many).withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     dealt = dealt.select("mark", "key", "blocks", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("mark", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when((F.col("blocks") > 1) & (F.col("own") != F.col("other")), F.col("own")).alias("own"))
     walked = dealt.join(sets, "mark").select("key", "mark", "own", "fp", "shingles").repartition("key").sortWithinPartitions("key", "mark")

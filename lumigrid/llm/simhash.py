@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumigrid.llm import near
 from lumigrid.llm.gray import GrayIndex, spanning
-from lumigrid.llm.store import materialise, settle
+from lumigrid.llm.store import materialise, settle, spread_join
 from lumigrid.llm.text import Shingles, Words, shingles, sliced, text_buffer, words, xxh64
 from lumigrid.operators.components import connected_components
 
@@ -127,11 +127,11 @@ def near_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: in
     repeated. root is the smallest fingerprint (as a signed long) of the group.
     """
     fps = materialise(fingerprints(df, text, id_col, k), "simhash")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "simhash-distinct")
     roots = connected_components(near_links(distinct, radius, bucket_limit))
     named = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(lows, "root"), "fp").select("id", "fp", "mark", "root", "component_id")
+    return spread_join(fps, named.select("fp", "root").join(lows, "root"), "fp", "inner", counts=distinct).select("id", "fp", "mark", "root", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -148,8 +148,9 @@ def drop_near_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id",
     ``drop_near_duplicates``.
 
     Such texts differ in about 10 of 64 SimHash bits, too many to route fingerprints by blocks of
-    bits. So bands of MinHash are the buckets, in which the Gray-order index over the fingerprints
-    is searched at a radius of 24 bits, and the shingle sets decide.
+    bits. So bands of MinHash are the buckets, in which the Gray-order index over fingerprints of the
+    shingle sets is searched at a radius of 24 bits, the sets decide, and what is not in one group
+    by then is searched in full by its rarest shingles.
     """
     return near.one_of_each(df, settle(lambda: near.near_classes(df, text, k, likeness), "simhash-classes"), text, id_col)
 
