@@ -41,27 +41,56 @@ def _merge_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = new
 
 
-def build_objects(predicted: DataFrame, links: DataFrame, keys: Sequence[str] = ("tile_id",), seg: str = "seg") -> DataFrame:
+def _settled(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, v, low) for the ends of links (keys, a, b): the smallest vertex of each component inside
+    the keys' group, which one task holds."""
+    types = {k: links.schema[k].dataType.simpleString() for k in keys}
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        names, low = _merge_links(frame["a"].to_numpy(), frame["b"].to_numpy())
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "v": names, "low": low})
+
+    return links.select(*keys, "a", "b").groupBy(*keys).applyInPandas(settle, ", ".join(f"{k} {t}" for k, t in types.items()) + ", v bigint, low bigint")
+
+
+def stitched_components(links: DataFrame) -> DataFrame:
+    """(v, low) for the ends of links (ta, a, tb, b), low the smallest vertex of the component; ta and
+    tb name the tiles in which the ends lie, and a vertex lies in one tile.
+
+    Links inside a tile are settled there in one task, whose size the tile bounds. Links between
+    tiles then join the tiles' components, a graph as small as the borders, which is contracted in
+    rounds. No task holds more than a tile."""
+    inner = cut(_settled(links.where("ta = tb").withColumnRenamed("ta", "tile"), ["tile"]).select("v", "low"), "tile-roots")
+    border = links.where("ta <> tb").select("a", "b").distinct()
+    for end in ("a", "b"):
+        border = border.join(inner.select(F.col("v").alias(end), F.col("low").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    border = cut(border.select("a", "b", "la", "lb"), "border-links")
+    merged = connected_components(border, "la", "lb").select(F.col("vertex").alias("low"), "component")
+    ends = inner.unionByName(border.select(F.col("a").alias("v"), F.col("la").alias("low"))).unionByName(border.select(F.col("b").alias("v"), F.col("lb").alias("low"))).distinct()
+    return ends.join(merged, "low", "left").select("v", F.coalesce("component", "low").alias("low"))
+
+
+def build_objects(predicted: DataFrame, links: DataFrame, keys: Sequence[str] = ("tile_id",), seg: str = "seg", place: str | None = None) -> DataFrame:
     """(keys, seg, obj) for predicted segments: obj is the smallest segment of the connected group;
-    a segment without predicted neighbours is an object of its own. Links never leave a tile, so a
-    tile is settled in one task, which its size bounds; without keys the scene's links are
-    contracted in rounds."""
+    a segment without predicted neighbours is an object of its own.
+
+    With keys, links never leave a tile and a tile is settled in one task, which its size bounds.
+    Without, objects reach over the scene: ``place`` names the column of ``predicted`` that holds each
+    segment's tile, and tiles are settled and then stitched; without it all links are contracted in
+    rounds."""
     kind = predicted.schema[seg].dataType.simpleString()
-    mine = predicted.select(*keys, F.col(seg).cast("long").alias("__s"))
+    mine = predicted.select(*keys, F.col(seg).cast("long").alias("__s"), *([F.col(place).alias("__t")] if place else []))
     pairs = links.select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    inside = pairs.join(mine.withColumnRenamed("__s", "a"), [*keys, "a"], "left_semi").join(mine.withColumnRenamed("__s", "b"), [*keys, "b"], "left_semi")
+    for end in ("a", "b"):
+        pairs = pairs.join(mine.withColumnsRenamed({"__s": end, "__t": f"t{end}"}), [*keys, end], "inner" if place else "left_semi")
     if keys:
-        types = {k: links.schema[k].dataType.simpleString() for k in keys}
-
-        def settle(frame: pd.DataFrame) -> pd.DataFrame:
-            names, low = _merge_links(frame["a"].to_numpy(), frame["b"].to_numpy())
-            return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "__s": names, "obj": low})
-
-        roots = inside.groupBy(*keys).applyInPandas(settle, ", ".join(f"{k} {t}" for k, t in types.items()) + ", __s bigint, obj bigint")
+        roots = _settled(pairs, keys)
+    elif place:
+        roots = stitched_components(pairs)
     else:
-        roots = connected_components(inside).select(F.col("vertex").alias("__s"), F.col("component").alias("obj"))
-    out = mine.join(roots, [*keys, "__s"], "left")
-    return out.select(*keys, F.col("__s").cast(kind).alias(seg), F.coalesce("obj", "__s").alias("obj"))
+        roots = connected_components(pairs).select(F.col("vertex").alias("v"), F.col("component").alias("low"))
+    out = mine.join(roots.withColumnRenamed("v", "__s"), [*keys, "__s"], "left")
+    return out.select(*keys, F.col("__s").cast(kind).alias(seg), F.coalesce("low", "__s").alias("obj"))
 
 
 def radius_pairs(points: DataFrame, radius: float, id_col: str = "id", x: str = "x", y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
@@ -77,34 +106,60 @@ def radius_pairs(points: DataFrame, radius: float, id_col: str = "id", x: str =
     return seek.join(near, [*keys, "cx", "cy"]).where((F.col("i") != F.col("j")) & close).select(*keys, "i", "j")
 
 
-def suppress(points: DataFrame, radius: float, id_col: str = "id", x: str = "x", y: str = "y", score: str = "score", keys: Sequence[str] = (), max_rounds: int = 200) -> DataFrame:
+#: Suppression settles blocks of this many radii in one task.
+BLOCK_RADII = 512
+
+
+def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
+    """What a block can decide of its open points, best first. Rows (i, j): j is a better point near
+    i, inside: j lies in the block too; rows without i only tell that j is here."""
+    told = frame.dropna(subset=["i"]).sort_values(["is", "i"], ascending=[False, True])
+    worse = told["i"].to_numpy(np.int64)
+    known: dict[int, bool | None] = dict.fromkeys(frame.loc[frame["inside"], "j"].tolist(), True)
+    starts = np.flatnonzero(np.concatenate([[True], worse[1:] != worse[:-1]])) if len(worse) else ()
+    better, inside = told["j"].to_numpy(np.int64), told["inside"].to_numpy(bool)
+    for a in worse.tolist():
+        known[a] = None
+    for a, b in zip(starts, [*starts[1:], len(worse)], strict=True):
+        seen = [known[int(j)] if here else None for j, here in zip(better[a:b], inside[a:b], strict=True)]
+        known[int(worse[a])] = False if True in seen else None if None in seen else True
+    done = [(p, keep) for p, keep in known.items() if keep is not None]
+    return pd.DataFrame({"p": np.array([p for p, _ in done], np.int64), "keep": np.array([k for _, k in done], bool)})
+
+
+def suppress(points: DataFrame, radius: float, id_col: str = "id", x: str = "x", y: str = "y", score: str = "score", keys: Sequence[str] = (), block: float = BLOCK_RADII) -> DataFrame:
     """Adds keep: points in falling order of score (ties: smaller id first) are kept unless one
-    already kept lies within the radius. A radius of 0 or less keeps all.
+    already kept lies within the radius. A radius of 0 or less keeps all. Ids are whole numbers.
 
-    Rounds of joins on the pairs of near points: a point goes once a better neighbour is kept, and
-    is kept once all its better neighbours have gone. A round settles at least the best open point
-    of every cluster.
+    Points with near ones meet in blocks of ``block`` radii, and a task goes through a block's open
+    points best first: a point goes if a better neighbour is kept, stays if all of them have gone,
+    and is left open where one is open or lies in another block and is open. Blocks are shifted by
+    half from round to round. The best open point of all is always decided, so it ends; rounds grow
+    with the number of blocks that a chain of ever worse points runs through, not with its length.
     """
     if radius <= 0:
         return points.withColumn("keep", F.lit(True))
-    rank = points.select(F.col(id_col).alias("j"), F.col(score).alias("js"))
-    own = points.select(F.col(id_col).alias("i"), F.col(score).alias("is"))
-    better = (F.col("js") > F.col("is")) | ((F.col("js") == F.col("is")) & (F.col("j") < F.col("i")))
-    pairs = cut(radius_pairs(points, radius, id_col, x, y, keys).select("i", "j").join(own, "i").join(rank, "j").where(better).select("i", "j"), "pairs")
-    gone, kept = None, None
-    for _ in range(max_rounds):
-        if pairs.limit(1).count() == 0:
-            break
-        # whoever has no better open neighbour is kept; its worse neighbours go
-        heads = pairs.select("j").distinct().join(pairs.select(F.col("i").alias("j")).distinct(), "j", "left_anti")
-        losers = pairs.join(heads, "j", "left_semi").select("i").distinct()
-        state = cut(heads.select(F.col("j").alias("p"), F.lit(True).alias("keep")).unionByName(losers.select(F.col("i").alias("p"), F.lit(False).alias("keep"))), "state")
-        lost = state.where("not keep").select("p")
-        gone = lost if gone is None else gone.union(lost)
-        pairs = cut(pairs.join(lost.withColumnRenamed("p", "i"), "i", "left_anti").join(lost.withColumnRenamed("p", "j"), "j", "left_anti"), "pairs")
-    else:
-        raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
+    facts = points.select(F.col(id_col).cast("long").alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s"))
+    ends = [facts.select(*(F.col(c).alias(f"{c}{e}" if c != "p" else e) for c in facts.columns)) for e in ("i", "j")]
+    better = (F.col("sj") > F.col("si")) | ((F.col("sj") == F.col("si")) & (F.col("j") < F.col("i")))
+    near = radius_pairs(points.withColumn(id_col, F.col(id_col).cast("long")), radius, id_col, x, y, keys).select("i", "j")
+    pairs = cut(near.join(ends[0], "i").join(ends[1], "j").where(better).select("i", "j", F.col("si").alias("is"), *(F.col(f"{c}{e}").alias(f"{e}{c}") for e in "ij" for c in "xy")), "pairs")
+    side, gone, turn = radius * block, None, 0
+    while pairs.limit(1).count():
+        shift = side / 2 * (turn % 2)
+        spot = lambda e: F.struct(*(F.floor((F.col(f"{e}{c}") + shift) / side).cast("long").alias(c) for c in "xy"))
+        told = pairs.select(spot("i").alias("b"), "i", "is", "j", (spot("i") == spot("j")).alias("inside"))
+        here = pairs.where(spot("i") != spot("j")).select(spot("j").alias("b"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("is"), "j", F.lit(True).alias("inside")).distinct()
+        state = cut(told.unionByName(here).groupBy("b").applyInPandas(_greedy, "p bigint, keep boolean"), "state")
+        # a point is decided in its own block alone
+        open_ = pairs.join(state.select(F.col("p").alias("i")), "i", "left_anti").join(state.select(F.col("p").alias("j"), F.col("keep").alias("jk")), "j", "left")
+        open_ = cut(open_.where("jk is null or jk"), "open")
+        beaten = open_.where("jk").select("i").distinct()
+        lost = state.where("not keep").select("p").unionByName(beaten.select(F.col("i").alias("p")))
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = open_.where("jk is null").drop("jk").join(beaten, "i", "left_anti").join(beaten.select(F.col("i").alias("j")), "j", "left_anti")
+        pairs, turn = cut(left, "pairs"), turn + 1
     if gone is None:
         return points.withColumn("keep", F.lit(True))
     marks = gone.distinct().select(F.col("p").alias("__p"), F.lit(False).alias("__k"))
-    return points.join(marks, F.col(id_col) == F.col("__p"), "left").withColumn("keep", F.coalesce("__k", F.lit(True))).drop("__p", "__k")
+    return points.join(marks, F.col(id_col).cast("long") == F.col("__p"), "left").withColumn("keep", F.coalesce("__k", F.lit(True))).drop("__p", "__k")

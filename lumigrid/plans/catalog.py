@@ -374,15 +374,18 @@ def edges_distinct(spark, d):
 
 @query(f"WITH RECURSIVE {SEG}{EDGES}, pr AS (SELECT seg FROM seg WHERE valid GROUP BY seg HAVING avg(nir) < 100){COMPONENTS} SELECT seg, CAST(obj AS BIGINT) AS obj FROM mem")
 def components(spark, d):
-    """Objects of adjacent dark segments."""
-    px = cut(views.segments(spark, d), "seg")
+    """Objects of adjacent dark segments, settled in tiles and stitched over their borders."""
+    px = cut(views.tiled_segments(spark, d, TILE), "seg")
     dark = px.where("valid").groupBy("tile_id", "seg").agg(F.avg("nir").alias("m")).where("m < 100")
-    return graph.build_objects(dark.select("tile_id", "seg"), graph.edges(px)).select("seg", "obj")
+    return graph.build_objects(dark, graph.edges(px, (), row="r", col="c"), (), place="tile_id").select("seg", "obj")
+
+
+#: The flagship's scene in tiles without overlap, whose objects are stitched.
+STITCHED = detect.DetectConfig(box_px=BOX, min_px=4, tile=TILE, overlap=0, stitch=True, suppress_scope="scene", edge_px=0, suppress_m=RADIUS)
 
 
 def _found(spark, d) -> detect.Detection:
-    cfg = detect.DetectConfig(box_px=BOX, min_px=4)
-    return detect.detect_frame(cut(views.segments(spark, d).withColumn("core", F.lit(True)), "seg"), modes.MODES["rgbn"], FOREST, 0.6, views.scene(spark, d), cfg)
+    return detect.detect_frame(cut(views.tiled_segments(spark, d, TILE), "seg"), modes.MODES["rgbn"], FOREST, 0.6, views.scene(spark, d), STITCHED)
 
 
 @query(f"WITH {SCORED} SELECT seg, round(p, 6) AS p FROM sc")
@@ -415,8 +418,7 @@ def prob_raster(spark, d):
 @query(f"WITH RECURSIVE {SCORED}{OBJECTS}, cd AS (SELECT obj, cx AS x, cy AS y, round(s_max, 9) AS s FROM ob){_suppressed('cd', 'obj', 's', RADIUS)} SELECT row_number() OVER (ORDER BY obj) AS id, round(cx, 4) AS x, round(cy, 4) AS y, round(s_max, 4) AS p, round(s_mean, 4) AS p_mean, round(pow, 2) AS area_m2, CAST(nseg AS INT) AS n_adaptels FROM ob JOIN kp ON kp.id = ob.obj")
 def dead_trees(spark, d):
     """The flagship: points of the scene with blocks as segments, from pixels to the final layer."""
-    scene = views.scene(spark, d)
-    cfg = detect.DetectConfig(box_px=BOX, tile=1 << 20, overlap=0, edge_px=0, suppress_m=RADIUS)
+    scene, cfg = views.scene(spark, d), STITCHED
     found = _found(spark, d)
     rounded = detect.Detection(found.pixels, found.segments, found.links, found.members, found.objects.withColumn("s_max", F.round("s_max", 9)))
     pts = detect.points_of(rounded, scene, modes.MODES["rgbn"], cfg)
@@ -440,7 +442,7 @@ gt AS (SELECT sg.*, height_m, cx AS x, cy AS y, round(s_max, 9) AS s FROM sg JOI
 def dead_trees_gated(spark, d):
     """The flagship with its gates: least area, object forest and cut, stands as a flag, heights."""
     scene = views.scene(spark, d)
-    cfg = detect.DetectConfig(box_px=BOX, tile=1 << 20, overlap=0, edge_px=0, suppress_m=RADIUS, min_area=0.26, object_threshold=0.5, stand_age=5, stand_buffer=-1.37, keep_outside=True, height_radius=1.0, min_height=40.0)
+    cfg = replace(STITCHED, min_area=0.26, object_threshold=0.5, stand_age=5, stand_buffer=-1.37, keep_outside=True, height_radius=1.0, min_height=40.0)
     found = _found(spark, d)
     rounded = detect.Detection(found.pixels, found.segments, found.links, found.members, found.objects.withColumn("s_max", F.round("s_max", 9)))
     pts = detect.points_of(rounded, scene, modes.MODES["rgbn"], cfg, OBJECT_FOREST, views.stands(spark, d), (views.heights(spark, d),))

@@ -33,6 +33,7 @@ class DetectConfig:
     keep_low: bool = False
     suppress_m: float = SUPPRESS_M
     suppress_scope: str = "tile"
+    stitch: bool = False
     min_area: float = 0.0
     object_threshold: float | None = None
     edge_px: int = 8
@@ -76,31 +77,38 @@ def score_segments(segments: DataFrame, model, names: Sequence[str], norm: norma
 
 def detect_frame(tiled: DataFrame, mode: BandMode, model, threshold: float, scene: Scene, config: DetectConfig | None = None, norm: normalise.SceneNorm | None = None) -> Detection:
     """The pipeline from tiled pixels (tile_id, r, c, tr, tc, core, valid, one column per role) to
-    objects. Object features are means of the features before normalisation."""
+    objects. Object features are means of the features before normalisation. With ``stitch`` tiles
+    don't overlap, segments are named over the scene, and objects reach over tile borders."""
     cfg = config or DetectConfig()
+    ids = [] if cfg.stitch else ["tile_id"]
     names = zonal.spark_names(feature_names(mode))
     if "seg" not in tiled.columns:
         step = cfg.segmenter or (lambda t: segment_tiles(t, mode.roles, cfg.granularity or mode.granularity))
         tiled = cut(step(tiled), "segments")
     segments = zonal.zonal_features(tiled, mode, box=cfg.box_px, gsd=cfg.gsd)
-    corner = tiled.groupBy("tile_id").agg(F.min("r").alias("__r0"), F.min("c").alias("__c0"))
+    corner = tiled.groupBy("tile_id").agg(F.min(F.col("r") - F.col("tr")).alias("__r0"), F.min(F.col("c") - F.col("tc")).alias("__c0"))
     x, y = scene.affine.to_map(F.col("mr") + F.col("__r0"), F.col("mc") + F.col("__c0"))
     segments = segments.join(corner, "tile_id").withColumns({"area": F.col("cnt") * (cfg.gsd**2), "x": x, "y": y}).drop("__r0", "__c0")
     segments = cut(score_segments(segments, model, names, norm, cfg.min_px), "scored")
-    links = cut(graph.edges(tiled), "links")
+    links = cut(graph.edges(tiled, ids, row="r", col="c"), "links")
     picked = segments.where((F.col("cnt") >= cfg.min_px) & (F.col("p") >= threshold)).select("tile_id", "seg")
-    members = cut(graph.build_objects(picked, links), "members")
-    found = objects.describe_objects(members, segments, links, names)
+    members = cut(graph.build_objects(picked, links, ids, place="tile_id" if cfg.stitch else None), "members")
+    found = objects.describe_objects(members, segments.drop("tile_id") if cfg.stitch else segments, links, names, ids)
     return Detection(tiled, segments, links, members, found)
 
 
 def own_objects(found: DataFrame, scene: Scene, config: DetectConfig) -> DataFrame:
-    """Objects whose centroid lies in their own tile's core (half-open, fractional pixels)."""
+    """Objects whose centroid lies in their own tile's core (half-open, fractional pixels). Objects of
+    the scene, which have no tile, get that of their centroid."""
     spark = found.sparkSession
     row, col = scene.affine.to_pixel(F.col("cx"), F.col("cy"))
     grid = tiles.tile_grid(spark, scene.height, scene.width, config.tile, config.overlap)
     inside = (F.col("gr") >= F.col("cr0")) & (F.col("gr") < F.col("cr1")) & (F.col("gc") >= F.col("cc0")) & (F.col("gc") < F.col("cc1"))
-    return found.withColumns({"gr": row, "gc": col}).join(grid, "tile_id").where(inside)
+    placed = found.withColumns({"gr": row, "gc": col})
+    if config.stitch:
+        across = len(range(0, max(scene.width - config.overlap, 1), config.tile - config.overlap))
+        placed = placed.withColumn("tile_id", (F.floor(F.col("gr") / config.tile) * across + F.floor(F.col("gc") / config.tile)).cast("int"))
+    return placed.join(grid, "tile_id").where(inside)
 
 
 def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConfig, object_model=None, stands: DataFrame | None = None, heights: tuple = (), model_name: str = "custom") -> DataFrame:
@@ -120,7 +128,8 @@ def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConf
             out = out.where(F.col("p_object") >= config.object_threshold)
     else:
         out = out.withColumn("p_object", F.lit(None).cast("double"))
-    out = out.withColumn("pid", F.shiftleft(F.col("tile_id").cast("long"), 32) + F.col("obj")).withColumns({"x": F.col("cx"), "y": F.col("cy")})
+    pid = F.col("obj") if config.stitch else F.shiftleft(F.col("tile_id").cast("long"), 32) + F.col("obj")
+    out = out.withColumn("pid", pid).withColumns({"x": F.col("cx"), "y": F.col("cy")})
     if stands is not None:
         out = spatial.inside_stands(out, spatial.usable_stands(stands, config.stand_age), config.stand_buffer, id_col="pid")
         out = out if config.keep_outside else out.where("in_stands = 1")
@@ -142,7 +151,9 @@ def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConf
         out = edge_distance(out, found.pixels, scene, config)
     else:
         out = out.withColumn("edge_px", F.lit(None).cast("double"))
-    out = objects.running_ids(out.drop("id"), "tile_id", ["obj"])
+    # numbers run tile by tile, or over the names of the scene's objects, of which a stretch is a group
+    out = out.drop("id").withColumn("__stretch", F.shiftright("obj", 16))
+    out = objects.running_ids(out, "__stretch" if config.stitch else "tile_id", ["obj"])
     return out.select(
         F.col("id").cast("int").alias("id"), "x", "y",
         F.round("s_max", 4).alias("p"), F.round("s_mean", 4).alias("p_mean"), F.round("p_object", 4).alias("p_object"),

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigrid.operators.segment import block_segments
+from lumigrid.operators.tiles import to_tiles
 from lumigrid.sources.raster import Scene
 
-WIDTH = 150
+WIDTH, BLOCK = 150, 4
 BANDS = ("red", "green", "blue", "nir")
 
 
@@ -42,9 +43,16 @@ def scene(spark: SparkSession, sf_dir: str) -> Scene:
     return Scene(height(spark, sf_dir), WIDTH, BANDS, 1.0, 0.0, 1.0, 0.0)
 
 
+def tiled_segments(spark: SparkSession, sf_dir: str, tile: int, overlap: int = 0) -> DataFrame:
+    """Pixels of the scene's tiles with seg. Without overlap segments are blocks of the scene, named
+    over it, and tiles must be multiples of a block; with overlap they are blocks of each tile."""
+    px = to_tiles(pixels(spark, sf_dir).drop("tile_id", "tr", "tc"), height(spark, sf_dir), WIDTH, tile, overlap)
+    return block_segments(px, BLOCK, row="tr", col="tc") if overlap else block_segments(px, BLOCK)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels with seg, blocks of four by four pixels."""
-    return block_segments(pixels(spark, sf_dir), 4)
+    return block_segments(pixels(spark, sf_dir), BLOCK)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
