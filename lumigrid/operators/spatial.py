@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.functions.crs import transform
@@ -122,30 +124,78 @@ def drop_low(points: DataFrame, min_height: float, column: str = "height_m") ->
     return points.where(F.col(column).isNull() | ~(F.col(column) < min_height))
 
 
-def nodata_distance(points: DataFrame, missing: DataFrame, height: int, width: int, search: int = 64, id_col: str = "id", row: str = "r", col: str = "c", out: str = "edge_px") -> DataFrame:
+def column_gaps(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Distance along the column to the nearest missing cell, for the wanted rows (ascending) and all
+    columns 0..n-1. rows, cols: the missing cells; first and last: the nearest missing row below and
+    above what is given here, -inf and inf where there is none."""
+    n = len(first)
+    order = np.lexsort((rows, cols))
+    rows, cols = rows[order].astype(np.float64), cols[order]
+    # one sorted line of all columns, each with its first and last row at the ends
+    start = np.searchsorted(cols, np.arange(n))
+    line = np.insert(rows, np.concatenate([start, np.append(start[1:], len(rows))]), np.concatenate([first, last]))
+    column = np.insert(cols, np.concatenate([start, np.append(start[1:], len(rows))]), np.concatenate([np.arange(n)] * 2))
+    order = np.lexsort((line, column))
+    line, column = line[order], column[order]
+    begin = np.searchsorted(column, np.arange(n))
+    out = np.empty((len(wanted), n))
+    for k, r in enumerate(wanted):
+        below = np.concatenate([[0], np.cumsum(line <= r)])
+        at = begin + (below[np.append(begin[1:], len(line))] - below[begin]) - 1
+        out[k] = np.minimum(r - line[np.maximum(at, begin)], np.abs(line[np.minimum(at + 1, np.append(begin[1:], len(line)) - 1)] - r))
+    return np.abs(out)
+
+
+def nearest_in_row(gaps: np.ndarray, col: int, most: float) -> float:
+    """Distance from a row's cell to the nearest missing cell of all rows, from the distances along
+    columns; ``most`` where that is nearer."""
+    a, b = max(0, col - int(most)), min(len(gaps), col + int(most) + 1)
+    return float(min(most, np.sqrt((gaps[a:b] ** 2 + (np.arange(a, b) - col) ** 2.0).min(initial=np.inf))))
+
+
+def nodata_distance(points: DataFrame, missing: DataFrame, height: int, width: int, band: int = 512, strip: int = 1024, id_col: str = "id", row: str = "r", col: str = "c", out: str = "edge_px") -> DataFrame:
     """Adds the Euclidean distance in pixels from each point's pixel to the nearest missing pixel or
     to just outside the window, whichever is nearer.
 
-    Missing pixels are looked for in cells of ``search`` pixels around the point; points whose
-    nearest one may lie further take another round with cells twice as large, until the window's
-    edge is nearer than any cell not looked at.
+    A distance transform in its two separable steps. Along columns: the scene is cut into tiles of
+    ``band`` rows and ``strip`` columns; a tile knows its missing pixels and, for each column, the
+    nearest missing row above and below, which the bands pass on as one row a column; it gives the
+    distances along columns for the rows that hold points. Along rows: a row's strips make its
+    distances whole, and each point takes the least over the columns that can matter to it. A task
+    holds a tile or a row; the work follows the scene's size, not how much is missing or where.
     """
     edge = F.least(F.col(row) + 1, F.lit(height) - F.col(row), F.col(col) + 1, F.lit(width) - F.col(col)).cast("double")
-    todo = points.select(F.col(id_col).alias("__id"), F.col(row).alias("__r"), F.col(col).alias("__c"), edge.alias("__e"))
-    found, size = None, search
-    steps = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    while True:
-        gaps = missing.select(F.col("r").alias("mr"), F.col("c").alias("mc"), F.floor(F.col("r") / size).alias("gr"), F.floor(F.col("c") / size).alias("gc"))
-        seek = todo.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
-        seek = seek.withColumns({"gr": F.floor(F.col("__r") / size) + F.col("dr"), "gc": F.floor(F.col("__c") / size) + F.col("dc")})
-        best = seek.join(gaps, ["gr", "gc"]).groupBy("__id").agg(F.min((F.col("mr") - F.col("__r")) ** 2 + (F.col("mc") - F.col("__c")) ** 2).alias("__d2"))
-        met = todo.join(best, "__id", "left").withColumn("__d", F.least(F.sqrt("__d2"), F.col("__e")))
-        done = met.where(F.col("__d") <= size).select("__id", F.col("__d").alias(out))
-        if size >= max(height, width):
-            done = met.select("__id", F.col("__d").alias(out))
-        found = done if found is None else found.unionByName(done)
-        if size >= max(height, width):
-            break
-        todo = met.where(F.col("__d") > size).select("__id", "__r", "__c", "__e")
-        size *= 8
+    seek = points.select(F.col(id_col).alias("__id"), F.col(row).cast("int").alias("__r"), F.col(col).cast("int").alias("__c"), edge.alias("__e"))
+    bands, strips = -(-height // band), -(-width // strip)
+    spot = [F.floor(F.col("__r") / band).cast("int").alias("b"), F.floor(F.col("__c") / strip).cast("int").alias("s")]
+    gaps = missing.select(F.col("r").cast("int").alias("__r"), F.col("c").cast("int").alias("__c")).select("*", *spot)
+    ends = gaps.groupBy("b", "__c").agg(F.min("__r").alias("low"), F.max("__r").alias("high"))
+    # every band of every column that misses anything: the last missing row above, the first below
+    full = ends.select("__c").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).join(ends, ["b", "__c"], "left")
+    by = Window.partitionBy("__c").orderBy("b")
+    passed = full.select("b", "__c", F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("above"), F.min("low").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("below"))
+    null = lambda *names: [F.lit(None).cast("int").alias(n) for n in names]
+    told = gaps.select("b", "s", "__r", "__c", *null("above", "below")).unionByName(passed.select("b", F.floor(F.col("__c") / strip).cast("int").alias("s"), *null("__r"), "__c", "above", "below"))
+    asked = seek.select("__r").distinct().withColumns({"b": F.floor(F.col("__r") / band).cast("int"), "s": F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))})
+
+    def along_columns(tile: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"r": [], "s": [], "gaps": []})
+        s, wanted = int(rows["s"].iloc[0]), np.sort(rows["__r"].to_numpy())
+        n = min(strip, width - s * strip)
+        first, last = np.full(n, -np.inf), np.full(n, np.inf)
+        ends, here = tile[tile["__r"].isna()], tile[tile["__r"].notna()]
+        at = ends["__c"].to_numpy(np.int64) - s * strip
+        first[at], last[at] = ends["above"].fillna(-np.inf), ends["below"].fillna(np.inf)
+        found = column_gaps(here["__r"].to_numpy(np.int64), here["__c"].to_numpy(np.int64) - s * strip, wanted, first, last)
+        return pd.DataFrame({"r": wanted, "s": s, "gaps": [g.tobytes() for g in found]})
+
+    def along_rows(strips: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        whole = np.concatenate([np.frombuffer(g) for g in strips.sort_values("s")["gaps"]]) if len(strips) else np.full(width, np.inf)
+        found = [nearest_in_row(whole, int(c), float(e)) for c, e in zip(asked["__c"], asked["__e"], strict=True)]
+        return pd.DataFrame({"__id": asked["__id"], out: found})
+
+    kind = points.schema[id_col].dataType.simpleString()
+    columns = told.groupBy("b", "s").cogroup(asked.groupBy("b", "s")).applyInPandas(along_columns, "r int, s int, gaps binary")
+    found = columns.groupBy("r").cogroup(seek.groupBy("__r")).applyInPandas(along_rows, f"__id {kind}, {out} double")
     return points.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.functions.color import lch
@@ -12,6 +14,10 @@ from lumigrid.functions.pixel import index
 from lumigrid.operators.modes import BOX_PX, GSD, BandMode
 
 
+#: Side of the blocks in which box means are taken.
+BOX_BLOCK = 1024
+
+
 def to_uint8(tiled: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """Bands on the 0..255 scale. Where a window's largest finite value passes 255 its 99.9th
     percentile is scaled to 255. Invalid pixels count as 0, and take part as such."""
@@ -26,29 +32,62 @@ def to_uint8(tiled: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("til
     return joined.select(*tiled.columns)
 
 
-def box_mean(tiled: DataFrame, bands: Sequence[str], size: int = BOX_PX, keys: Sequence[str] = ("tile_id",), row: str = "tr", col: str = "tc", valid: str = "valid", prefix: str = "lm_") -> DataFrame:
+def box_sums(values: np.ndarray, size: int) -> np.ndarray:
+    """Sums over the size x size box around each cell of (..., rows, cols), edge values repeated
+    outwards: differences of two-dimensional prefix sums, the repeats by arithmetic."""
+    reach = size // 2
+    for axis in (-2, -1):
+        n = values.shape[axis]
+        run = np.cumsum(values, axis=axis)
+        at = np.arange(n)
+        high = np.take(run, np.minimum(at + reach, n - 1), axis)
+        low = np.where(np.expand_dims(at - reach > 0, -1) if axis == -2 else at - reach > 0, np.take(run, np.maximum(at - reach - 1, 0), axis), 0.0)
+        before, after = np.maximum(reach - at, 0), np.maximum(at + reach - n + 1, 0)
+        if axis == -2:
+            before, after = before[:, None], after[:, None]
+        values = high - low + before * np.take(values, [0], axis) + after * np.take(values, [n - 1], axis)
+    return values
+
+
+def box_mean(tiled: DataFrame, bands: Sequence[str], size: int = BOX_PX, keys: Sequence[str] = ("tile_id",), row: str = "tr", col: str = "tc", valid: str = "valid", prefix: str = "lm_", block: int = BOX_BLOCK) -> DataFrame:
     """Adds ``prefix + band``: mean over a size x size box around each pixel, without invalid pixels,
-    the window's edge pixels repeated outwards. Windows must be complete grids.
+    the window's edge pixels repeated outwards. Windows (keys) must be complete grids; without keys
+    the scene is one.
 
-    Two passes, along rows then columns, for all bands at once: a box is the difference of two
-    running sums, and the edge values count as often as the box reaches past the edge. Both windows
-    of a pass share one sort.
+    Windows are cut into blocks of ``block`` pixels with a margin as wide as a box reaches, so one
+    shuffle brings every block's pixels into a task of its own, whatever the window's size, and a
+    summed-area table per band gives all means at once.
     """
-    reach = size // 2
-    work = {f"__s_{b}": F.when(F.col(valid), F.col(b).cast("double")).otherwise(F.lit(0.0)) for b in bands} | {"__s_": F.col(valid).cast("double")}
-    out = tiled.withColumns(work)
-    for part, order in ((row, col), (col, row)):
-        by = Window.partitionBy(*keys, part).orderBy(order)
-        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        low, high = F.first(order).over(whole), F.last(order).over(whole)
-        sums = {f"{k}+": F.sum(k).over(by.rowsBetween(Window.unboundedPreceding, 0)) for k in work}
-        ends = {f"{k}{side}": f(k).over(whole) for k in work for side, f in (("<", F.first), (">", F.last))} | {f"{k}=": F.sum(k).over(whole) for k in work}
-        out = out.withColumns(sums | ends | {"__before": F.greatest(F.lit(0), low + reach - F.col(order)), "__after": F.greatest(F.lit(0), F.col(order) + reach - high)})
-        inside = {k: F.coalesce(F.lead(f"{k}+", reach).over(by), F.col(f"{k}=")) - F.coalesce(F.lag(f"{k}+", reach + 1).over(by), F.lit(0.0)) for k in work}
-        out = out.withColumns({k: v + F.col("__before") * F.col(f"{k}<") + F.col("__after") * F.col(f"{k}>") for k, v in inside.items()}).drop(*sums, *ends, "__before", "__after")
-    area = float(size * size)
-    means = {f"{prefix}{b}": (F.col(f"__s_{b}") / area) / F.greatest(F.col("__s_") / area, F.lit(1e-6)) for b in bands}
-    return out.withColumns(means).drop(*work)
+    reach, names = size // 2, list(bands)
+    at = tiled.withColumns({"__r": F.col(row), "__c": F.col(col)})
+    span = lambda c: F.sequence(F.greatest(F.floor((F.col(c) - reach) / block), F.lit(0)), F.floor((F.col(c) + reach) / block))
+    near = at.withColumn("__i", F.explode(span("__r"))).withColumn("__j", F.explode(span("__c")))
+    own = (F.floor(F.col("__r") / block) == F.col("__i")) & (F.floor(F.col("__c") / block) == F.col("__j"))
+    # a margin's pixel brings its bands only
+    near = near.select(*(F.when(own, F.col(c)).alias(c) if c not in (*keys, row, col, valid, *names) else F.col(c) for c in tiled.columns), "__i", "__j", own.alias("__own"))
+
+    def run(key, table):
+        r, c = (table[n].to_numpy().astype(np.int64) for n in (row, col))
+        r0, c0 = r.min(), c.min()
+        shape = (int(r.max() - r0) + 1, int(c.max() - c0) + 1)
+        place = (r - r0) * shape[1] + c - c0
+        ok = table[valid].fill_null(False).to_numpy(zero_copy_only=False)
+        mine = np.flatnonzero(table["__own"].to_numpy(zero_copy_only=False))
+        out = table.drop_columns(["__i", "__j", "__own"]).take(mine)
+
+        def spread(values: np.ndarray) -> np.ndarray:
+            grid = np.zeros(shape[0] * shape[1])
+            grid[place] = values
+            return box_sums(grid.reshape(shape), size).ravel()[place[mine]]
+
+        share = np.maximum(spread(ok.astype(np.float64)) / (size * size), 1e-6)
+        for b in names:
+            v = table[b].cast(pa.float64()).fill_null(0.0).to_numpy()
+            out = out.append_column(f"{prefix}{b}", pa.array(spread(np.where(ok, v, 0.0)) / (size * size) / share))
+        return out
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiled.schema) + "".join(f", `{prefix}{b}` double" for b in names)
+    return near.groupBy(*keys, "__i", "__j").applyInArrow(run, kind)
 
 
 def with_bands(tiled: DataFrame, mode: BandMode) -> DataFrame:
@@ -64,11 +103,12 @@ def eigen_ratio(sxx: Column, syy: Column, sxy: Column) -> Column:
     return F.sqrt((half + root) / F.greatest(half - root, F.lit(1e-9)))
 
 
-def zonal_features(tiled: DataFrame, mode: BandMode, keys: Sequence[str] = ("tile_id", "seg"), box: int = BOX_PX, row: str = "tr", col: str = "tc", gsd: float = GSD, window_keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+def zonal_features(tiled: DataFrame, mode: BandMode, keys: Sequence[str] = ("tile_id", "seg"), box: int = BOX_PX, row: str = "tr", col: str = "tc", gsd: float = GSD, window_keys: Sequence[str] = ("tile_id",), block: int = BOX_BLOCK) -> DataFrame:
     """One row per segment of valid pixels: cnt, mr, mc and the mode's features, named with ``_`` for
     the dots of the contract (sr_NDVI ... wydluzenie)."""
     bands = {n: n for n in mode.indices} | {"L": "lightness", "C": "chroma"}
-    px = box_mean(with_bands(tiled, mode), list(bands.values()), box, window_keys, row, col).where(F.col("valid") & F.col(keys[-1]).isNotNull())
+    named = with_bands(tiled, mode).select(*dict.fromkeys([*window_keys, *keys, row, col, "valid", *bands.values(), "hue"]))
+    px = box_mean(named, list(bands.values()), box, window_keys, row, col, block=block).where(F.col("valid") & F.col(keys[-1]).isNotNull())
     aggs = []
     for b, v in bands.items():
         aggs += [F.avg(v).alias(f"sr_{b}"), F.stddev_pop(v).alias(f"sd_{b}"), (F.avg(v) - F.avg(f"lm_{v}")).alias(f"ktr_{b}")]

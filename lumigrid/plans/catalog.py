@@ -15,7 +15,7 @@ from lumigrid.plans import detect, views
 from lumigrid.plans.views import HT, PT, PX, SEG, ST
 
 FLAGSHIP = "dead_trees"
-TILE, OVERLAP, BOX, RADIUS = 60, 10, 11, 3.0
+TILE, OVERLAP, BOX, RADIUS, BLOCK = 60, 10, 11, 3.0, 128
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -327,26 +327,26 @@ def radiometry_apply(spark, d):
 
 
 def _zonal(spark, d) -> DataFrame:
-    return zonal.zonal_features(views.segments(spark, d), modes.MODES["rgbn"], box=BOX)
+    return zonal.zonal_features(views.segments(spark, d), modes.MODES["rgbn"], box=BOX, block=BLOCK)
 
 
 @query(f"WITH {BOX_SQL} SELECT r, c, round(lm_NDVI, 5) AS lm_ndvi, round(lm_L, 4) AS lm_l FROM lm")
 def box_mean(spark, d):
     """Two-dimensional moving mean without missing pixels."""
     px = zonal.with_bands(views.pixels(spark, d), modes.MODES["rgbn"])
-    return zonal.box_mean(px, ["NDVI", "lightness"], BOX).select("r", "c", F.round("lm_NDVI", 5).alias("lm_ndvi"), F.round("lm_lightness", 4).alias("lm_l"))
+    return zonal.box_mean(px.select("tile_id", "r", "c", "tr", "tc", "valid", "NDVI", "lightness"), ["NDVI", "lightness"], BOX, block=BLOCK).select("r", "c", F.round("lm_NDVI", 5).alias("lm_ndvi"), F.round("lm_lightness", 4).alias("lm_l"))
 
 
-@query(f"WITH {ZONAL_NOBOX} SELECT seg, cnt, round(mr, 5) AS mr, round(mc, 5) AS mc, {', '.join(f'round({k}_{b}, 4) AS {k.lower()}_{b.lower()}' for b in ('NDVI', 'NDGR', 'NDBR', 'L', 'C') for k in ('sr', 'sd'))} FROM z")
+@query(f"WITH {ZONAL_NOBOX} SELECT seg, cnt, round(mr, 5) AS mr, round(mc, 5) AS mc, {', '.join(f'round({k}_{b}, 4) + 0e0 AS {k.lower()}_{b.lower()}' for b in ('NDVI', 'NDGR', 'NDBR', 'L', 'C') for k in ('sr', 'sd'))} FROM z")
 def zonal_stats(spark, d):
     z = _zonal(spark, d)
-    return z.select("seg", "cnt", F.round("mr", 5).alias("mr"), F.round("mc", 5).alias("mc"), *(F.round(f"{k}_{b}", 4).alias(f"{k}_{b}".lower()) for b in ("NDVI", "NDGR", "NDBR", "L", "C") for k in ("sr", "sd")))
+    return z.select("seg", "cnt", F.round("mr", 5).alias("mr"), F.round("mc", 5).alias("mc"), *((F.round(f"{k}_{b}", 4) + 0.0).alias(f"{k}_{b}".lower()) for b in ("NDVI", "NDGR", "NDBR", "L", "C") for k in ("sr", "sd")))
 
 
-@query(f"WITH {ZONAL} SELECT seg, {', '.join(f'round(ktr_{b}, 4) AS ktr_{b.lower()}' for b in ('NDVI', 'NDGR', 'NDBR', 'L', 'C'))} FROM z")
+@query(f"WITH {ZONAL} SELECT seg, {', '.join(f'round(ktr_{b}, 4) + 0e0 AS ktr_{b.lower()}' for b in ('NDVI', 'NDGR', 'NDBR', 'L', 'C'))} FROM z")
 def contrast(spark, d):
     """Segment mean less the mean of the box means."""
-    return _zonal(spark, d).select("seg", *(F.round(f"ktr_{b}", 4).alias(f"ktr_{b}".lower()) for b in ("NDVI", "NDGR", "NDBR", "L", "C")))
+    return _zonal(spark, d).select("seg", *((F.round(f"ktr_{b}", 4) + 0.0).alias(f"ktr_{b}".lower()) for b in ("NDVI", "NDGR", "NDBR", "L", "C")))
 
 
 @query(f"WITH {ZONAL_NOBOX} SELECT seg, round(cos_Hab, 5) AS cos_hab, round(sin_Hab, 5) AS sin_hab, round(war_Hab, 5) AS war_hab FROM z")
@@ -425,6 +425,44 @@ def dead_trees(spark, d):
     return pts.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "p", "p_mean", "area_m2", "n_adaptels")
 
 
+def _tiled_sql() -> str:
+    """Every tile's window on its own: blocks as segments, features, objects, ownership and suppression
+    per tile, and the distance of each point's pixel to missing data or the window's edge."""
+    step = TILE - OVERLAP
+    return f"""{PX}{LCH}, {_tiles_sql()},
+wi AS MATERIALIZED (SELECT tile_id, r0, c0, h, w, px.*, CASE WHEN valid THEN tile_id * 1000000 + (r - r0) // 4 * 100 + (c - c0) // 4 END AS seg FROM px JOIN tl ON r >= r0 AND r < r0 + h AND c >= c0 AND c < c0 + w),
+bd AS MATERIALIZED (SELECT p.tile_id, p.r, p.c, p.seg, p.valid, {_IDX}, l.L, l.CH AS C_, l.Hab FROM wi p LEFT JOIN lch l ON p.r = l.r AND p.c = l.c){_zonal_sql(False)},
+seg AS (SELECT * FROM wi),
+ed AS MATERIALIZED (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (
+  SELECT p.seg AS x, q.seg AS y FROM wi p JOIN wi q ON p.tile_id = q.tile_id AND p.r = q.r AND q.c = p.c + 1 WHERE p.valid AND q.valid
+  UNION ALL SELECT p.seg, q.seg FROM wi p JOIN wi q ON p.tile_id = q.tile_id AND p.c = q.c AND q.r = p.r + 1 WHERE p.valid AND q.valid) WHERE x <> y),
+sc AS MATERIALIZED (SELECT *, CASE WHEN cnt >= 4 THEN {FOREST_SQL} ELSE 0e0 END AS p, cnt * 0.0625e0 AS area, mc + 0.5e0 AS x, mr + 0.5e0 AS y FROM z),
+pr AS (SELECT seg FROM sc WHERE cnt >= 4 AND p >= 0.6e0){COMPONENTS},
+oo AS (SELECT mem.obj, mem.obj // 1000000 AS tile_id, sum(area * x) / sum(area) AS x, sum(area * y) / sum(area) AS y, sum(area) AS pow, count(*) AS nseg, round(max(p), 9) AS s, sum(area * p) / sum(area) AS s_mean FROM mem JOIN sc ON mem.seg = sc.seg GROUP BY mem.obj),
+ow AS (SELECT oo.*, r0, c0, h, w FROM oo JOIN tl ON oo.tile_id = tl.tile_id AND y >= cr0 AND y < cr1 AND x >= cc0 AND x < cc1),
+rk AS (SELECT obj AS id, tile_id, x, y, row_number() OVER (ORDER BY s DESC, obj) AS k FROM ow),
+sup(k, kept) AS (SELECT 0, CAST([] AS STRUCT(id BIGINT, t BIGINT, x DOUBLE, y DOUBLE)[])
+  UNION ALL SELECT rk.k, CASE WHEN len(list_filter(kept, lambda s: s.t = rk.tile_id AND (s.x - rk.x) * (s.x - rk.x) + (s.y - rk.y) * (s.y - rk.y) <= {RADIUS * RADIUS}e0)) = 0 THEN list_append(kept, {{'id': CAST(rk.id AS BIGINT), 't': CAST(rk.tile_id AS BIGINT), 'x': rk.x, 'y': rk.y}}) ELSE kept END
+  FROM sup JOIN rk ON rk.k = sup.k + 1),
+kp AS (SELECT unnest(list_transform((SELECT kept FROM sup ORDER BY k DESC LIMIT 1), lambda s: s.id)) AS id),
+fi AS (SELECT ow.*, least(greatest(round_even(y - r0, 0), 0), h - 1) AS pr, least(greatest(round_even(x - c0, 0), 0), w - 1) AS pc FROM ow JOIN kp ON kp.id = ow.obj),
+ds AS (SELECT obj, least(any_value(least(pr + 1, h - pr, pc + 1, w - pc)), coalesce(min(sqrt((r - fi.r0 - pr) * (r - fi.r0 - pr) + (c - fi.c0 - pc) * (c - fi.c0 - pc))), 1e9)) AS edge_px
+  FROM fi LEFT JOIN (SELECT tile_id, r, c FROM wi WHERE NOT valid) g ON g.tile_id = fi.tile_id GROUP BY obj)
+SELECT row_number() OVER (ORDER BY tile_id, fi.obj) AS id, round(x, 4) AS x, round(y, 4) AS y, round(s, 4) AS p, round(s_mean, 4) AS p_mean, round(pow, 2) AS area_m2, CAST(nseg AS INT) AS n_adaptels, round(edge_px, 1) AS edge_px, printf('%d_%d', r0, c0) AS tile FROM fi JOIN ds ON fi.obj = ds.obj"""
+
+
+@query(f"WITH RECURSIVE {_tiled_sql()}")
+def detect_tiled(spark, d):
+    """Detection over overlapping tiles: objects of each window, kept by the tile whose core holds
+    their centroid, suppressed per tile, with their distance to missing data."""
+    cfg = detect.DetectConfig(box_px=BOX, min_px=4, tile=TILE, overlap=OVERLAP, suppress_m=RADIUS)
+    scene, mode = views.scene(spark, d), modes.MODES["rgbn"]
+    found = detect.detect_frame(cut(views.tiled_segments(spark, d, TILE, OVERLAP), "seg"), mode, FOREST, 0.6, scene, cfg)
+    rounded = replace(found, objects=found.objects.withColumn("s_max", F.round("s_max", 9)))
+    pts = detect.points_of(rounded, scene, mode, cfg)
+    return pts.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "p", "p_mean", "area_m2", "n_adaptels", "edge_px", "tile")
+
+
 #: A small forest over object features.
 OBJECT_FOREST = [
     {"tree": 0, "node": n, "feature": f, "threshold": v, "left": a, "right": b, "p": p}
@@ -483,7 +521,7 @@ def nodata_distance(spark, d):
     h = views.height(spark, d)
     p = views.points(spark, d).where(F.col("r") < h)
     missing = views.pixels(spark, d).where("not valid").select("r", "c")
-    return spatial.nodata_distance(p, missing, h, views.WIDTH, search=16).select("id", F.round("edge_px", 1).alias("edge_px"))
+    return spatial.nodata_distance(p, missing, h, views.WIDTH, band=64, strip=64).select("id", F.round("edge_px", 1).alias("edge_px"))
 
 
 @query("WITH s AS (SELECT list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (embedding[i] - s.e[i]) * (embedding[i] - s.e[i]) * CASE WHEN i % 2 = 0 THEN 4e0 ELSE 1e0 END))), 4) AS dist FROM embeddings, s")

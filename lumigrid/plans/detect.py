@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from types import FunctionType
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,28 +166,23 @@ def points_of(found: Detection, scene: Scene, mode: BandMode, config: DetectConf
 
 
 def edge_distance(points: DataFrame, pixels: DataFrame, scene: Scene, config: DetectConfig) -> DataFrame:
-    """Distance of each point's pixel to missing pixels or the edge of its tile's window. Missing
-    pixels are met in one long strip per tile, far enough apart that tiles don't see each other."""
-    gap = 2 * config.tile
-    local = points.withColumns({"__pr": (F.floor("gr") - F.col("r0")), "__pc": F.floor("gc") - F.col("c0")})
-    near = local.select("pid", "tile_id", "h", "w", F.col("__pr").alias("lr"), F.col("__pc").alias("lc"))
-    shift = F.col("tile_id").cast("long") * gap
-    missing = pixels.where("not valid").select((F.col("tr") + shift).alias("r"), F.col("tc").alias("c"))
-    sized = near.withColumn("sr", F.col("lr") + shift)
-    cell, steps = 64, F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    best, todo, size = None, sized.withColumn("__e", F.least(F.col("lr") + 1, F.col("h") - F.col("lr"), F.col("lc") + 1, F.col("w") - F.col("lc")).cast("double")), cell
-    while True:
-        holes = missing.withColumns({"gr": F.floor(F.col("r") / size), "gc": F.floor(F.col("c") / size)})
-        seek = todo.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).withColumns({"gr": F.floor(F.col("sr") / size) + F.col("dr"), "gc": F.floor(F.col("lc") / size) + F.col("dc")})
-        d = seek.join(holes, ["gr", "gc"]).groupBy("pid").agg(F.sqrt(F.min((F.col("r") - F.col("sr")) ** 2 + (F.col("c") - F.col("lc")) ** 2)).alias("__d"))
-        met = todo.join(d, "pid", "left").withColumn("edge_px", F.least("__d", "__e"))
-        last = size >= config.tile
-        done = (met if last else met.where(F.col("edge_px") <= size)).select("pid", "edge_px")
-        best = done if best is None else best.unionByName(done)
-        if last:
-            return points.join(best, "pid", "left")
-        todo = met.where(F.col("edge_px") > size).drop("__d", "edge_px")
-        size *= 8
+    """Adds edge_px: the distance of each point's pixel (the nearest whole one, ties to even, inside
+    the window) to the nearest missing pixel of its tile's window or to just outside the window. A
+    tile's missing pixels and points meet in one task."""
+    spot = lambda at, start, n: F.least(F.greatest(F.bround(F.col(at) - F.col(start), 0), F.lit(0)), F.col(n) - 1).cast("int")
+    near = points.select("pid", "tile_id", "h", "w", spot("gr", "r0", "h").alias("lr"), spot("gc", "c0", "w").alias("lc"))
+    missing = pixels.where("not valid").select("tile_id", "tr", "tc").join(near.select("tile_id").distinct(), "tile_id", "left_semi")
+
+    def run(gaps: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        if not len(seeds):
+            return pd.DataFrame({"pid": [], "edge_px": []})
+        h, w = int(seeds["h"].iloc[0]), int(seeds["w"].iloc[0])
+        rows = np.unique(seeds["lr"])
+        along = spatial.column_gaps(gaps["tr"].to_numpy(np.int64), gaps["tc"].to_numpy(np.int64), rows, np.full(w, -np.inf), np.full(w, np.inf))
+        found = [spatial.nearest_in_row(along[np.searchsorted(rows, r)], c, min(r + 1, h - r, c + 1, w - c)) for r, c in zip(seeds["lr"], seeds["lc"], strict=True)]
+        return pd.DataFrame({"pid": seeds["pid"], "edge_px": found})
+
+    return points.join(missing.groupBy("tile_id").cogroup(near.groupBy("tile_id")).applyInPandas(run, "pid bigint, edge_px double"), "pid", "left")
 
 
 def probability_raster(found: Detection) -> DataFrame:
