@@ -182,5 +182,5 @@ def op1_minhash_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     roots = settle(lambda: near.near_classes(docs), "minhash-roots")
     pairs = settle(lambda: with_next(docs), "minhash-rows")
-    out = spread_join(pairs, _class_of(pairs, roots), "mark")
+    out = spread_join(pairs, _class_of(pairs, roots), "mark", hint="merge")
     return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("sig")).alias("fingerprint"), F.lower(F.hex("edited_sig")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

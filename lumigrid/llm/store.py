@@ -28,14 +28,14 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", keys: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", keys: DataFrame | None = None, counts: DataFrame | None = None, hint: str | None = None) -> DataFrame:
     """``big`` joined with ``small`` (a row per key), hot keys spread over tasks.
 
     A key with more rows than a quarter of a task's share is dealt out by a salt, and its row of
     ``small`` repeated once a salt. There are fewer than four such keys a task, which bounds what is
     broadcast. ``keys`` are the keys of ``big``, a row each, where they can be had for less than by
-    reading it once more; ``counts`` a table of (key, n), where the rows of each key are known. Keys
-    must not be null.
+    reading it once more; ``counts`` a table of (key, n), where the rows of each key are known; ``hint``
+    the kind of join, where the planner shall not choose by size. Keys must not be null.
     """
     parts = tasks(big.sparkSession)
     at, n, salts, salt, row = fresh(big.select("*", *(F.lit(0).alias(c) for c in small.columns if c not in big.columns)), "at", "n", "salts", "salt", "key")
@@ -48,7 +48,7 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", k
     hot = counts.select(F.col(key).alias(row), F.col("n").alias(n)).where(F.col(n) > share).select(row, F.ceil(F.col(n) / share).cast("int").alias(salts))
     dealt = big.withColumn(at, F.monotonically_increasing_id()).join(F.broadcast(hot), F.col(key) == F.col(row), "left").withColumn(salt, F.pmod(F.xxhash64(at), F.coalesce(salts, F.lit(1))).cast("int")).drop(at, salts, row)
     copies = small.join(F.broadcast(hot), F.col(key) == F.col(row), "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts, row)
-    return dealt.join(copies, [key, salt], how).drop(salt)
+    return dealt.join(copies.hint(hint) if hint else copies, [key, salt], how).drop(salt)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
