@@ -98,7 +98,7 @@ def run_detect(a) -> int:
         spark, scene, pixels, choose, a.output, None, stands, tuple(map(raster, paths)), prob_raster=a.prob_raster,
         mode=a.mode, bands=a.bands, threshold=a.threshold, stand_age=a.stand_age, stand_buffer=a.stand_buffer, keep_outside=a.keep_outside, min_height=a.min_height, height_radius=a.height_radius,
         keep_low=a.keep_low, suppress_m=a.suppress, min_area=a.min_area, object_threshold=a.object_threshold, edge_px=a.edge_px, tile=a.tile, overlap=a.overlap, granularity=a.adaptel_threshold,
-        scene_norm=a.scene_norm, norm_tiles=a.norm_tiles, radiometry=a.radiometry, manifest=manifest,
+        scene_norm=a.scene_norm, norm_tiles=a.norm_tiles, radiometry=a.radiometry, manifest=manifest, model_name=os.path.basename(a.model.rstrip("/")) if a.model else "custom",
     )
     if not a.quiet:
         print(f"{n} points in {a.output}")

@@ -116,11 +116,11 @@ def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
     told = frame.dropna(subset=["i"]).sort_values(["is", "i"], ascending=[False, True])
     worse = told["i"].to_numpy(np.int64)
     known: dict[int, bool | None] = dict.fromkeys(frame.loc[frame["inside"], "j"].tolist(), True)
-    starts = np.flatnonzero(np.concatenate([[True], worse[1:] != worse[:-1]])) if len(worse) else ()
+    ends = np.append(np.flatnonzero(worse[1:] != worse[:-1]) + 1, len(worse))
     better, inside = told["j"].to_numpy(np.int64), told["inside"].to_numpy(bool)
     for a in worse.tolist():
         known[a] = None
-    for a, b in zip(starts, [*starts[1:], len(worse)], strict=True):
+    for a, b in zip(np.append(0, ends[:-1]), ends, strict=True) if len(worse) else ():
         seen = [known[int(j)] if here else None for j, here in zip(better[a:b], inside[a:b], strict=True)]
         known[int(worse[a])] = False if True in seen else None if None in seen else True
     done = [(p, keep) for p, keep in known.items() if keep is not None]

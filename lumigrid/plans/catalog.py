@@ -363,8 +363,8 @@ def zonal_shape(spark, d):
 def scene_zscore(spark, d):
     """Robust z-scores by scene median and MAD."""
     z = cut(_zonal(spark, d).select("seg", "cnt", "sr_NDVI", "sr_L"), "zscore")
-    norm = normalise.SceneNorm("both", ["sr_NDVI", "sr_L"]).fit(z.where("cnt >= 4"))
-    return norm.apply(z).select("seg", F.round("z_sr_NDVI", 4).alias("z_sr_ndvi"), F.round("z_sr_L", 4).alias("z_sr_l"))
+    found = normalise.robust_statistics(z.where("cnt >= 4"), ["sr_NDVI", "sr_L"])
+    return z.withColumns(normalise.robust_scores(found, "both")).select("seg", F.round("z_sr_NDVI", 4).alias("z_sr_ndvi"), F.round("z_sr_L", 4).alias("z_sr_l"))
 
 
 @query(f"WITH {SEG}{EDGES} SELECT a, b FROM ed")

@@ -8,7 +8,7 @@ from types import FunctionType
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigrid.operators import forest, graph, normalise, objects, spatial, tiles, zonal
@@ -65,19 +65,16 @@ class Detection:
     objects: DataFrame
 
 
-def score_segments(segments: DataFrame, model, names: Sequence[str], norm: normalise.SceneNorm | None, min_px: int = MIN_PX) -> DataFrame:
-    """Adds p: the model's probability on segments of enough pixels, 0 on others. The normalised
-    features only serve the score."""
-    big = segments.where(F.col("cnt") >= min_px)
-    inputs, used = big, list(names)
-    if norm is not None:
-        raw = {f"__k_{c}": F.col(c) for c in norm.columns}
-        inputs, used = norm.apply(big.withColumns(raw)), norm.output_names(names)
+def score_segments(segments: DataFrame, model, names: Sequence[str], norm: dict[str, Column] | None, min_px: int = MIN_PX) -> DataFrame:
+    """Adds p: the model's probability on segments of enough pixels, 0 on others. Normalised features
+    (``norm``, from ``robust_scores``) only serve the score."""
+    inputs = segments.where(F.col("cnt") >= min_px).withColumns(norm or {})
+    used = list(dict.fromkeys([*names, *(norm or {})]))
     scored = forest.score(inputs, model, used).select("tile_id", "seg", "p")
     return segments.join(scored, ["tile_id", "seg"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
 
 
-def detect_frame(tiled: DataFrame, mode: BandMode, model, threshold: float, scene: Scene, config: DetectConfig | None = None, norm: normalise.SceneNorm | None = None) -> Detection:
+def detect_frame(tiled: DataFrame, mode: BandMode, model, threshold: float, scene: Scene, config: DetectConfig | None = None, norm: dict[str, Column] | None = None) -> Detection:
     """The pipeline from tiled pixels (tile_id, r, c, tr, tc, core, valid, one column per role) to
     objects. Object features are means of the features before normalisation. With ``stitch`` tiles
     don't overlap, segments are named over the scene, and objects reach over tile borders."""
@@ -191,12 +188,12 @@ def probability_raster(found: Detection) -> DataFrame:
     return px.join(found.segments.select("tile_id", "seg", "p"), ["tile_id", "seg"], "left").select("r", "c", F.coalesce("p", F.lit(-1.0)).cast("float").alias("p"))
 
 
-def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str | None = None, object_model=None, stands: DataFrame | None = None, heights: tuple = (), prob_raster: str | None = None, model_key: str | None = None, progress: Callable[[str], object] | None = None, **options) -> DataFrame | int:
+def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str | None = None, object_model=None, stands: DataFrame | None = None, heights: tuple = (), prob_raster: str | None = None, model_key: str | None = None, progress: Callable[[str], object] | None = None, model_name: str = "custom", **options) -> DataFrame | int:
     """One point per object of a scene. With ``out`` the layer is written and counted, else the
     frame is returned. ``model_key`` names a shipped model (its manifest then sets threshold and
     normalisation); otherwise the model counts as the user's own. ``model`` may be a function that
     gets the name of the band mode, once that is known, and returns (model, object model or None,
-    model key). Heights are one raster, or surface and terrain, each a table of (r, c, h) on the
+    model key). ``model_name`` is how the layer calls a model without a key. Heights are one raster, or surface and terrain, each a table of (r, c, h) on the
     scene's grid or a pair (scene, table). A progress callback that returns
     False stops the run."""
     cfg = DetectConfig(**options)
@@ -212,28 +209,30 @@ def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str
     if isinstance(model, FunctionType):
         model, object_model, model_key = model(mode.name)
     threshold = resolve_threshold(cfg.threshold, cfg.manifest, mode.name, model_key is None)
-    policy = scene_norm_policy(cfg.scene_norm, cfg.manifest, model_key or "", model_key is None) if not isinstance(cfg.scene_norm, normalise.SceneNorm) else None
+    # columns that robust_scores made elsewhere are taken as they are
+    norm = cfg.scene_norm if isinstance(cfg.scene_norm, dict) else None
+    policy = scene_norm_policy(cfg.scene_norm, cfg.manifest, model_key or "", model_key is None) if norm is None else None
     tiled = tiles.to_tiles(with_roles(pixels, scene, index), scene.height, scene.width, cfg.tile, cfg.overlap)
     tiled = tiles.drop_sparse_tiles(tiled, cfg.min_valid_px)
+    measured = _sampled(tiled, scene, cfg).where("valid")
     tiled = tiled.withColumns({r: F.when(F.col("valid"), F.col(r)).otherwise(F.lit(0.0)) for r in mode.roles})
     tiled = cut(zonal.to_uint8(tiled, mode.roles), "tiles")
     tell("radiometry")
     if cfg.radiometry != "off":
         given = not isinstance(cfg.radiometry, str)  # rows that measure_bands found elsewhere
-        found = cfg.radiometry if given else normalise.measure_bands(normalise.every_fourth(_sampled(tiled, scene, cfg).where("valid")), mode.roles).collect()  # a row per band
+        found = cfg.radiometry if given else normalise.measure_bands(normalise.every_fourth(zonal.to_uint8(measured, mode.roles)), mode.roles).collect()  # a row per band; scaled by valid pixels alone
         if given or normalise.needs_match(found, cfg.radiometry):
             tiled = normalise.match_bands(tiled, found)
-    norm = cfg.scene_norm if isinstance(cfg.scene_norm, normalise.SceneNorm) else None
     step = cfg.segmenter or (lambda t: segment_tiles(t, mode.roles, cfg.granularity or mode.granularity))
     tiled = cut(step(tiled), "segmented")
     if policy is not None:
         tell("normalise")
-        norm = normalise.SceneNorm(policy[0], zonal.spark_names(policy[1]))
+        columns = zonal.spark_names(policy[1])
         sampled = zonal.zonal_features(_sampled(tiled, scene, cfg), mode, box=cfg.box_px, gsd=cfg.gsd)
-        norm.fit(forest.clean(sampled.where(F.col("cnt") >= cfg.min_px), norm.columns))
+        norm = normalise.robust_scores(normalise.robust_statistics(forest.clean(sampled.where(F.col("cnt") >= cfg.min_px), columns), columns), policy[0])
     tell("objects")
     found = detect_frame(tiled, mode, model, threshold, scene, replace(cfg, segmenter=None), norm)
-    points = points_of(found, scene, mode, cfg, object_model, stands, heights, model_key or "custom")
+    points = points_of(found, scene, mode, cfg, object_model, stands, heights, model_key or model_name)
     if prob_raster:
         write_raster(probability_raster(found), prob_raster)
     tell("write")

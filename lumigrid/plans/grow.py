@@ -56,5 +56,5 @@ def grow_crowns(spark: SparkSession, scene: Scene, pixels: DataFrame, points: Da
     if labels_out:
         write_raster(kernels.label_raster(px, labels.groupBy("r", "c").agg(F.min("gid").alias("gid"))), labels_out)
     shapes = kernels.polygonize(labels, scene.a, scene.c, scene.e, scene.f)
-    crowns = kernels.crown_statistics(labels, scene.affine.pixel_area).drop("n_px").join(shapes, "adaptel_id").select("adaptel_id", "area_m2", "perimeter", "n_parts", "wkt")
+    crowns = kernels.crown_statistics(labels, scene.affine.pixel_area).drop("n_px").join(shapes, "adaptel_id").select("adaptel_id", *(F.round(c, 2).alias(c) for c in ("area_m2", "perimeter")), "n_parts", "wkt")
     return crowns if out is None else write_crowns(crowns, out)
