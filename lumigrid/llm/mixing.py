@@ -7,7 +7,9 @@ source's counts per shard are a multinomial draw whose total is the source's num
 shard is mixed, targets are met to about a block, and shards hold about ``shard_slots`` slots. Slots
 are numbered shard by shard from those counts, and a source's j-th slot reads block
 ``perm(j mod blocks)`` of pass ``j div blocks``, with a permutation of its own per source and pass;
-blocks are joined by (source, index). A block is thus read at most once a pass.
+blocks are joined by (source, index). A block is thus read at most once a pass, and the draw decides
+which shard reads which block: documents carry the first shard that reads them, and mixed documents
+are written in that order.
 
 Permutations are swap-or-not shuffles: they need no table, work for any size, and are whole-number
 arithmetic that gives the same order on every run and engine. ROUNDS is as many as one compiled
@@ -24,19 +26,19 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm.store import fresh, materialise, tasks
 
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, RANGE_SLOTS, SHARD_GROUP = 64, 1024, 512, 8192, 1024
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-ROUNDS, SEED = 6, 20240229
+ROUNDS, SEED, DRAW = 6, 20240229, 0
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int) -> dict[str, str]:
+def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int, draw: int = DRAW) -> dict[str, str]:
     P = PRIME
     div = (lambda a, b: f"(({a}) div ({b}))") if spark else (lambda a, b: f"(({a}) // ({b}))")
     explode = (lambda a, b: f"explode(sequence({a}, {b}))") if spark else (lambda a, b: f"unnest(generate_series({a}, {b}))")
@@ -56,7 +58,7 @@ def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int)
 
     def drawn(j: str) -> str:
         """A number below ``shards`` for each slot of a source."""
-        x = f"((({j}) % {P} + 1) * 48271 % {P} + src * 40503 + {div(j, P)} * 69621 + {SEED % P}) % {P}"
+        x = f"((({j}) % {P} + 1) * 48271 % {P} + src * 40503 + {div(j, P)} * 69621 + {(SEED + draw * 7919) % P}) % {P}"
         return f"((({x}) * 16807 % {P}) * (({x}) * 16807 % {P}) % {P} + ({x})) * 69621 % {P} % shards"
 
     number = "pmod(ck, {P})" if spark else "((doc_id % {P} + {P}) % {P})"
@@ -85,13 +87,14 @@ def _steps(spark: bool, block: int, weights, share: float, cap: int, shard: int)
         "slots": f"""SELECT src, shard, pass, v AS block FROM ({permuted(f"SELECT src, shard, {div('j', 'blocks')} AS pass, blocks AS n, j % blocks AS v FROM numbers")}) s""",
         "chunks": """SELECT source, chunk, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, chunk""",
         "bases": """SELECT c.source, c.chunk, p.src, p.source_size, p.target, CAST(sum(c.words) OVER (PARTITION BY p.src ORDER BY c.chunk) - c.words AS BIGINT) AS base FROM chunks c JOIN plan p ON c.source IS NOT DISTINCT FROM p.source""",
-        "placed": """SELECT s.*, CAST(sum(size) OVER (PARTITION BY source, chunk ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS inner_off,
+        "placed": """SELECT s.*, CAST(row_number() OVER (PARTITION BY source, chunk, doc_id, size ORDER BY doc_id) AS BIGINT) AS nth, CAST(sum(size) OVER (PARTITION BY source, chunk ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS inner_off,
   row_number() OVER (PARTITION BY source, chunk ORDER BY doc_id NULLS FIRST, size) AS rn FROM sized s""",
         "spread": """SELECT p.*, b.src, b.source_size, b.target, b.base + p.inner_off AS off FROM placed p JOIN bases b ON p.source IS NOT DISTINCT FROM b.source AND p.chunk = b.chunk""",
         "pieces": f"""SELECT *, {explode(div("off", block), div("off + greatest(size, 1) - 1", block))} AS block FROM spread""",
-        "reads": """SELECT src, block, CAST(count(*) AS BIGINT) AS times FROM slots GROUP BY src, block""",
+        "reads": """SELECT src, block, CAST(count(*) AS BIGINT) AS times, CAST(min(shard) AS BIGINT) AS first FROM slots GROUP BY src, block""",
         "mixed": f"""SELECT {"/*+ MERGE(p, r) */ " if spark else ""}p.doc_id, p.size, p.source_size, p.target,
-  CAST(sum(CASE WHEN p.size = 0 THEN 0 ELSE (least(p.off + p.size, (p.block + 1) * {block}) - greatest(p.off, p.block * {block})) * coalesce(r.times, 0) END) AS BIGINT) AS taken
+  CAST(sum(CASE WHEN p.size = 0 THEN 0 ELSE (least(p.off + p.size, (p.block + 1) * {block}) - greatest(p.off, p.block * {block})) * coalesce(r.times, 0) END) AS BIGINT) AS taken,
+  CAST(min(CASE WHEN p.size > 0 THEN r.first END) AS BIGINT) AS first_shard
   FROM pieces p LEFT JOIN reads r ON p.src = r.src AND p.block = r.block GROUP BY p.src, p.chunk, p.rn, p.doc_id, p.size, p.source_size, p.target""",
     }
 
@@ -113,14 +116,18 @@ def _run(spark, steps: dict[str, str], parts, final: str, frames: dict[str, Data
     return spark.sql(sql, **used)
 
 
-def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard: int) -> tuple[dict[str, str], dict[str, DataFrame]]:
+def _chunk_key(docs: DataFrame) -> Column:
+    """What puts a document into its chunk: a whole number as it is, else a hash; the text's for null
+    ids."""
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+
+
+def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard: int, draw: int = DRAW) -> tuple[dict[str, str], dict[str, DataFrame]]:
     """The steps and the frames they read, from documents (doc_id, text, source)."""
     spark = docs.sparkSession
-    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    named = F.coalesce(F.col("doc_id").cast("bigint") if whole else F.xxhash64("doc_id"), F.xxhash64("text"))
-    if not whole:
-        named = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(named)
-    steps, frames = _steps(True, block, weights, share, cap, shard), {"documents": docs.withColumn("ck", named)}
+    steps, frames = _steps(True, block, weights, share, cap, shard, draw), {"documents": docs.withColumn("ck", _chunk_key(docs))}
     frames["sized"] = materialise(_run(spark, steps, ("sized",), "sized", frames), "mix-sizes")
     frames["plan"] = materialise(_run(spark, steps, _PLAN, "plan", frames), "mix-plan")
     # a few short rows that become many: a fixed number of partitions, which isn't coalesced
@@ -130,53 +137,60 @@ def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard:
     return steps, frames
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken): how many words of each document the mix
-    reads, repeats counted. One per row of ``docs`` (doc_id, text, source)."""
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard)
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS, draw: int = DRAW) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, first_shard): how many words of each document
+    the mix reads, repeats counted, and the first output shard that reads any (null: none). One per
+    row of ``docs`` (doc_id, text, source). ``draw`` names the draw: another one deals the slots to
+    other shards, within the same targets."""
+    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     # written first: filters of the join below would be pushed through every round of the permutation
     frames["reads"] = materialise(_run(docs.sparkSession, steps, ("numbers", "slots", "reads"), "reads", frames), "mix-reads")
     return _run(docs.sparkSession, steps, ("chunks", "bases", "placed", "spread", "pieces", "mixed"), "mixed", frames)
 
 
-def slot_table(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS) -> DataFrame:
+def slot_table(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS, draw: int = DRAW) -> DataFrame:
     """The mix itself: rows (shard, slot, src, pass, block) for every output slot, in a pseudorandom
     order inside each shard."""
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard)
+    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     slots = materialise(_run(docs.sparkSession, steps, ("numbers", "slots"), "slots", frames), "mix-slots")
     return slots.selectExpr("shard", "row_number() OVER (PARTITION BY shard ORDER BY xxhash64(src, pass, block), src, pass, block) - 1 AS slot", "src", "pass", "block")
 
 
-def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS) -> DataFrame:
+def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS, draw: int = DRAW) -> DataFrame:
     """The mixed documents, in the columns of ``docs``: a row per document and pass with the words
     that the pass reads. A document read whole keeps its text as it is; of others the words read
-    are joined by spaces in their order. n_chars, where there is one, is counted anew."""
+    are joined by spaces in their order. n_chars, where there is one, is counted anew. Rows are
+    partitioned and sorted by the first output shard that reads them, so that what is written is in
+    the order of the draw. Rows that repeat an id and a size in a chunk are told apart by their
+    texts' order."""
     spark, columns = docs.sparkSession, docs.columns
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard)
+    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     # a document's own columns travel in one, so that none can clash with those of the mix
-    keyed = docs.select("doc_id", "source", F.col("text").alias("whole"), F.struct(*columns).alias("row"))
-    placed = _run(spark, steps, ("chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, rn, doc_id, size, off, block").where("size > 0")
-    slots = materialise(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass"), "mix-slots")
+    keyed = docs.select("doc_id", "source", F.col("text").alias("whole"), _chunk_key(docs).alias("ck"), F.struct(*columns).alias("row"))
+    placed = _run(spark, steps, ("chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, nth, doc_id, size, off, block").where("size > 0")
+    slots = materialise(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass, shard"), "mix-slots")
     taken = placed.join(slots.hint("merge"), (F.col("src") == F.col("s2")) & (F.col("block") == F.col("b2")))
-    spans = taken.select("src", "doc_id", "chunk", "rn", "size", "pass", F.greatest(F.lit(0), F.col("block") * block - F.col("off")).alias("a"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("off")).alias("b"))
-    grouped = spans.groupBy("src", "chunk", "rn", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("got"))
+    spans = taken.select("src", "doc_id", "chunk", "nth", "size", "pass", "shard", F.greatest(F.lit(0), F.col("block") * block - F.col("off")).alias("a"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("off")).alias("b"))
+    grouped = spans.groupBy("src", "chunk", "nth", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("got"), F.min("shard").alias("first"))
+    grouped = grouped.withColumnsRenamed({"doc_id": "id", "src": "of", "size": "long", "chunk": "part", "nth": "k"})
     words = f"regexp_extract_all(whole, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"
     size = F.coalesce(F.expr(f"regexp_count(whole, '{WORD.replace(chr(92), chr(92) * 2)}')").cast("long"), F.lit(0).cast("long"))
-    ranks = grouped.select(F.col("doc_id").alias("id"), F.col("src").alias("of"), F.col("size").alias("long"), "pass", "rn", "got", "spans")
-    ranks = ranks.groupBy("id", "of", "long", "pass").agg(F.sort_array(F.collect_list(F.struct("rn", "got", "spans"))).alias("copies"))
     sources = frames["plan"].select(F.col("source").alias("name"), "src")
-    base = keyed.withColumn("size", size).join(sources, F.col("source").eqNullSafe(F.col("name")), "inner")
-    same = frames["sized"].groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    chunks = frames["sized"].count() // CHUNK_DOCS + 1
+    base = keyed.withColumn("size", size).withColumn("chunk", F.expr(f"coalesce(pmod(ck, {PRIME}), 0) * 48271 % {PRIME} % {chunks}L")).join(sources, F.col("source").eqNullSafe(F.col("name")), "inner")
+    same = frames["sized"].groupBy("doc_id", "source", "size", "chunk").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if same.count():  # repeated rows: number them, so that each meets its own part
-        base = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, src, size order by whole)"))
+        base = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, src, size, chunk order by xxhash64(whole), whole)").cast("long"))
     else:
-        base = base.withColumn("nth", F.lit(1))
-    met = base.join(ranks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("src") == F.col("of")) & (F.col("size") == F.col("long")))
-    one = met.withColumn("c", F.try_element_at("copies", F.col("nth").cast("int"))).where("c is not null")
-    text = F.when(F.col("c.got") == F.col("size"), F.col("whole")).otherwise(F.expr(f"array_join(flatten(transform(c.spans, s -> slice({words}, cast(s.a + 1 as int), cast(s.b - s.a as int)))), ' ')"))
-    out = one.select(text.alias("text"), "row")
+        base = base.withColumn("nth", F.lit(1).cast("long"))
+    alike = [F.col(a) == F.col(b) for a, b in (("src", "of"), ("size", "long"), ("chunk", "part"), ("nth", "k"))]
+    one = base.join(grouped, [F.col("doc_id").eqNullSafe(F.col("id")), *alike])
+    text = F.when(F.col("got") == F.col("size"), F.col("whole")).otherwise(F.expr(f"array_join(flatten(transform(spans, s -> slice({words}, cast(s.a + 1 as int), cast(s.b - s.a as int)))), ' ')"))
+    first, = fresh(docs, "first")
+    out = one.select(text.alias("text"), "row", F.col("first").alias(first))
     new = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+    out = out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns), first)
+    return out.repartitionByRange(tasks(spark), first).sortWithinPartitions(first).drop(first)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -410,6 +410,35 @@ def test_mix_meets_targets(spark):
         assert r.over <= 0 and abs(r.t - r.target) <= 0.02 * r.target
 
 
+def test_another_draw_changes_the_mix_within_its_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    runs = [{r.doc_id: r for r in mixing.mix(docs, shard=64, draw=k).collect()} for k in (0, 0, 1)]
+    assert runs[0] == runs[1]
+    first, other = runs[0], runs[2]
+    assert {i: (r.size, r.target) for i, r in first.items()} == {i: (r.size, r.target) for i, r in other.items()}
+    assert sum(first[i].first_shard != other[i].first_shard for i in first) > len(first) / 2
+    for run in (first, other):
+        for r in run.values():
+            assert (r.first_shard is None) == (r.taken == 0)
+        for source in {(r.target, r.source_size) for r in run.values()}:
+            mine = [r for r in run.values() if (r.target, r.source_size) == source]
+            assert abs(sum(r.taken for r in mine) - source[0]) <= 64 + 0.02 * source[0]
+
+
+def test_mixed_documents_are_written_shard_by_shard(spark, tmp_path):
+    """The files, read in order, hold the documents in the order of the draw's shards."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixing.mix_documents(docs, shard=64).write.parquet(str(tmp_path / "mix"))
+    shard = {r.doc_id: r.first_shard for r in mixing.mix(docs, shard=64).collect()}
+    parts = [[r[0] for r in spark.read.parquet(str(f)).select("doc_id").collect()] for f in sorted((tmp_path / "mix").glob("*.parquet"))]
+    seen, order = set(), []
+    for i in [i for part in parts for i in part]:  # the first row of a document is that of its first shard
+        if i not in seen:
+            seen.add(i)
+            order.append(shard[i])
+    assert len(order) > 100 and order == sorted(order) and len(set(order)) > 5
+
+
 def test_shards_are_mixed(spark):
     slots = mixing.slot_table(spark.read.parquet(f"{SF}/documents.parquet"), shard=128)
     once = slots.groupBy("src", "pass", "block").count().agg(F.max("count")).first()[0]
