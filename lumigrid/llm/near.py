@@ -210,7 +210,8 @@ def near_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, le
     many = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     met = materialise(spread_join(members, many.select("key"), "key", "left_semi", counts=many), "near-members")
     wanted = met.select("mark").distinct()
-    sets = materialise(spread_join(plain, wanted, "mark", "left_semi", keyed.select("mark")).dropDuplicates(["mark"]).mapInArrow(sets_of, "mark bigint, fp bigint, shingles binary"), "near-sets")
+    # copies are dropped on the map side, and what is left moves once; a merge join at any size
+    sets = materialise(plain.dropDuplicates(["mark"]).join(wanted.hint("merge"), "mark", "left_semi").mapInArrow(sets_of, "mark bigint, fp bigint, shingles binary"), "near-sets")
     sized = met.join(sets.select("mark", F.octet_length("shingles").cast("long").alias("bytes")), "mark").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(bucket_rows)), F.ceil(F.col("bytes") / F.lit(bucket_bytes)), F.lit(1)).cast("int")
     dealt = spread_join(met, sized.select("key", blocks.alias("blocks")), "key", "inner", counts=many).withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
