@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.functions.crs import transform
+from lumigrid.operators.components import cut
 
 
 def usable_stands(stands: DataFrame, min_age: float | None = 10, age: str = "age") -> DataFrame:
@@ -21,15 +22,95 @@ def usable_stands(stands: DataFrame, min_age: float | None = 10, age: str = "age
     return out
 
 
-def stand_segments(stands: DataFrame, ring: str = "ring") -> DataFrame:
-    """Sides of the polygons (x1, y1, x2, y2), without those that two stands share, which lie inside
-    the union."""
-    pts = stands.select(F.monotonically_increasing_id().alias("__s"), F.posexplode(ring).alias("k", "p"), F.col(ring).alias("__ring"))
-    nxt = F.element_at("__ring", (F.pmod(F.col("k") + 1, F.size("__ring")) + 1).cast("int"))
-    sides = pts.select("__s", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), nxt["x"].alias("x2"), nxt["y"].alias("y2")).where("x1 <> x2 or y1 <> y2")
+#: Lengths, relative to a side, below which places on it count as one.
+SAME = 1e-9
+
+
+def _in_cells(frame: DataFrame, low_x: Column, high_x: Column, low_y: Column, high_y: Column, cell: float, reach: float = 0.0) -> DataFrame:
+    """Rows once for every grid cell (gx, gy) that a box, grown by ``reach``, touches."""
+    out = frame.withColumn("gx", F.explode(F.sequence(F.floor((low_x - reach) / cell), F.floor((high_x + reach) / cell))))
+    return out.withColumn("gy", F.explode(F.sequence(F.floor((low_y - reach) / cell), F.floor((high_y + reach) / cell))))
+
+
+def _box_cells(polygons: DataFrame, cell: float) -> DataFrame:
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    return _in_cells(polygons, F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)
+
+
+def _side_cells(sides: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
+    return _in_cells(sides, F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"), cell, reach)
+
+
+def _ring_side(k: Column) -> tuple[Column, Column]:
+    n = F.size("ring")
+    return F.element_at("ring", (k + 1).cast("int")), F.element_at("ring", (F.pmod(k + 1, n) + 1).cast("int"))
+
+
+def _odd(px: Column, py: Column) -> Column:
+    """Is the point inside the column ring, by the number of sides that a ray to the right crosses?"""
+
+    def crossing(k: Column) -> Column:
+        p, q = _ring_side(k)
+        spans = (p["y"] > py) != (q["y"] > py)
+        return F.when(spans & (px < (q["x"] - p["x"]) * (py - p["y"]) / (q["y"] - p["y"]) + p["x"]), 1).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size("ring") - 1), F.lit(0), lambda acc, k: acc + crossing(k)) % 2 == 1
+
+
+def union_outline(stands: DataFrame, ring: str = "ring", cell: float = 50.0) -> DataFrame:
+    """The outline of the union of the polygons: sides (x1, y1, x2, y2), each with the inside on its
+    left.
+
+    Noding in grid cells: sides of different polygons meet in the cells of their boxes and are cut
+    where they cross, touch or run along one another. A piece goes if its middle lies strictly inside
+    another polygon. Pieces that lie on one another are one if they run the same way, and none if
+    both ways occur, since then the inside is on both sides. All joins are equi-joins on cells, so
+    the work follows the number of sides that are near each other.
+    """
+    polygons = stands.select(F.monotonically_increasing_id().alias("s"), F.col(ring).alias("ring")).where(F.size(ring) > 2)
+    polygons = cut(polygons, "polygons")
+    twice = F.aggregate(F.sequence(F.lit(0), F.size("ring") - 1), F.lit(0.0), lambda acc, k: acc + _ring_side(k)[0]["x"] * _ring_side(k)[1]["y"] - _ring_side(k)[1]["x"] * _ring_side(k)[0]["y"])
+    turned = polygons.select("s", F.when(twice < 0, F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))
+    p, q = _ring_side(F.col("k"))
+    sides = turned.select("s", "ring", F.explode(F.sequence(F.lit(0), F.size("ring") - 1)).alias("k")).select("s", "k", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")).where("x1 <> x2 or y1 <> y2")
+    sides = cut(sides, "sides")
+    near = _side_cells(sides, cell, SAME)
+    other = near.select("gx", "gy", *(F.col(c).alias(f"o{c}") for c in sides.columns))
+    x, y = {c: F.col(c) for c in ("x1", "x2", "ox1", "ox2")}, {c: F.col(c) for c in ("y1", "y2", "oy1", "oy2")}
+    rx, ry, sx, sy = x["x2"] - x["x1"], y["y2"] - y["y1"], x["ox2"] - x["ox1"], y["oy2"] - y["oy1"]
+    dx, dy = x["ox1"] - x["x1"], y["oy1"] - y["y1"]
+    turn, off, length = rx * sy - ry * sx, dx * ry - dy * rx, rx * rx + ry * ry
+    size = F.sqrt(length * (sx * sx + sy * sy))
+    along = F.abs(turn) <= SAME * size
+    t, u = (dx * sy - dy * sx) / turn, off / turn
+    crossing = F.when(~along & (u >= -SAME) & (u <= 1 + SAME), F.array(t))
+    # parallel sides on one line: where the other begins and ends
+    running = F.when(along & (F.abs(off) <= SAME * length), F.array((dx * rx + dy * ry) / length, ((dx + sx) * rx + (dy + sy) * ry) / length))
+    met = near.join(other, ["gx", "gy"]).where("s <> os").select("s", "k", F.explode(F.coalesce(crossing, running)).alias("t")).where((F.col("t") > SAME) & (F.col("t") < 1 - SAME))
+    cuts = met.select("s", "k", F.round("t", 9).alias("t")).groupBy("s", "k").agg(F.sort_array(F.collect_set("t")).alias("t"))
+    line = sides.join(cuts, ["s", "k"], "left").withColumn("t", F.concat(F.array(F.lit(0.0)), F.coalesce("t", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+    ends = line.select("s", "k", "x1", "y1", "x2", "y2", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("j"))
+    spot = lambda c, k: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.element_at("t", k)
+    pieces = ends.select("s", F.struct("k", "j").alias("piece"), *(spot(c, F.col("j") + e).alias(f"{c}{e + 1}") for e in (0, 1) for c in "xy"))
+    pieces = cut(pieces.withColumns({"px": (F.col("x1") + F.col("x2")) / 2, "py": (F.col("y1") + F.col("y2")) / 2}), "pieces")
+    middle = pieces.select("s", "piece", "px", "py", F.floor(F.col("px") / cell).alias("gx"), F.floor(F.col("py") / cell).alias("gy"))
+    boxed = _box_cells(turned, cell).select(F.col("s").alias("os"), "ring", "gx", "gy")
+    gap = F.array_min(F.transform(F.sequence(F.lit(0), F.size("ring") - 1), lambda k: _gap2(F.col("px"), F.col("py"), *_ring_side(k))))
+    hidden = middle.join(boxed, ["gx", "gy"]).where("s <> os").where(_odd(F.col("px"), F.col("py"))).where(gap > 1e-12).select("s", "piece").distinct()
+    shown = pieces.join(hidden, ["s", "piece"], "left_anti")
+    key = lambda c: F.round(c, 6) + 0.0
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    flat = sides.select(*(F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
-    return flat.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    ends = F.when(forward, F.array(*map(key, ("x1", "y1", "x2", "y2")))).otherwise(F.array(*map(key, ("x2", "y2", "x1", "y1"))))
+    one = shown.groupBy(ends.alias("__ends")).agg(F.min(forward).alias("low"), F.max(forward).alias("high"), F.min(F.struct("x1", "y1", "x2", "y2")).alias("side"))
+    return one.where("low = high").select("side.*")
+
+
+def _gap2(px: Column, py: Column, p: Column, q: Column) -> Column:
+    """Squared distance of a point to the side from p to q."""
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    length = F.greatest(dx * dx + dy * dy, F.lit(1e-300))
+    t = F.least(F.greatest(((px - p["x"]) * dx + (py - p["y"]) * dy) / length, F.lit(0.0)), F.lit(1.0))
+    return (px - p["x"] - t * dx) ** 2 + (py - p["y"] - t * dy) ** 2
 
 
 def _side_distance2(px: Column, py: Column) -> Column:
@@ -38,43 +119,19 @@ def _side_distance2(px: Column, py: Column) -> Column:
     return (px - F.col("x1") - t * dx) ** 2 + (py - F.col("y1") - t * dy) ** 2
 
 
-def _crosses(px: Column, py: Column) -> Column:
-    """Does the ray to the right of the point cross the side?"""
-    spans = (F.col("y1") > py) != (F.col("y2") > py)
-    return F.when(spans, px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).otherwise(False)
-
-
 def inside_stands(points: DataFrame, stands: DataFrame, buffer: float = -2.0, cell: float = 50.0, id_col: str = "id", x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
     """Adds in_stands (0 or 1): is the point strictly inside the union of the stands, shrunk
-    (buffer < 0) or grown (buffer > 0) by the buffer.
+    (buffer < 0) or grown (buffer > 0) by the buffer. Stands may overlap, touch or hold one another.
 
-    Stands and points meet in grid cells: a polygon is entered in the cells of its bounding box, its
-    sides in the cells within reach of them, so both joins are equi-joins.
+    Stands and points meet in grid cells: a polygon is entered in the cells of its bounding box, the
+    sides of the union's outline in the cells within reach of them, so both joins are equi-joins.
     """
     reach = abs(buffer)
     pts = points.select(F.col(id_col).alias("__id"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     pts = pts.withColumns({"gx": F.floor(F.col("__x") / cell), "gy": F.floor(F.col("__y") / cell)})
-
-    def cells(low_x: Column, high_x: Column, low_y: Column, high_y: Column, frame: DataFrame) -> DataFrame:
-        out = frame.withColumn("gx", F.explode(F.sequence(F.floor((low_x - reach) / cell), F.floor((high_x + reach) / cell))))
-        return out.withColumn("gy", F.explode(F.sequence(F.floor((low_y - reach) / cell), F.floor((high_y + reach) / cell))))
-
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    polygons = stands.select(F.monotonically_increasing_id().alias("s"), F.col(ring).alias("ring"))
-    boxed = cells(F.array_min(F.transform("ring", lambda p: p["x"])), F.array_max(F.transform("ring", lambda p: p["x"])), F.array_min(F.transform("ring", lambda p: p["y"])), F.array_max(F.transform("ring", lambda p: p["y"])), polygons)
-    del xs, ys
-    n = F.size("ring")
-    side = lambda k: (F.element_at("ring", (k + 1).cast("int")), F.element_at("ring", (F.pmod(k + 1, n) + 1).cast("int")))
-
-    def crossing(k: Column) -> Column:
-        p, q = side(k)
-        spans = (p["y"] > F.col("__y")) != (q["y"] > F.col("__y"))
-        return F.when(spans & (F.col("__x") < (q["x"] - p["x"]) * (F.col("__y") - p["y"]) / (q["y"] - p["y"]) + p["x"]), 1).otherwise(0)
-
-    odd = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, k: acc + crossing(k)) % 2 == 1
-    within = pts.join(boxed, ["gx", "gy"]).where(odd).select("__id").distinct().withColumn("__in", F.lit(1))
-    sides = stand_segments(stands, ring)
-    near = cells(F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"), sides)
+    boxed = _box_cells(stands.select(F.col(ring).alias("ring")), cell)
+    within = pts.join(boxed, ["gx", "gy"]).where(_odd(F.col("__x"), F.col("__y"))).select("__id").distinct().withColumn("__in", F.lit(1))
+    near = _side_cells(union_outline(stands, ring, cell), cell, reach)
     touched = pts.join(near, ["gx", "gy"]).groupBy("__id").agg(F.min(_side_distance2(F.col("__x"), F.col("__y"))).alias("__d2"))
     out = points.join(within, F.col(id_col) == F.col("__id"), "left").drop("__id").join(touched, F.col(id_col) == F.col("__id"), "left").drop("__id")
     deep = F.coalesce(F.sqrt("__d2"), F.lit(float("inf")))

@@ -501,6 +501,25 @@ def stands_inside(spark, d):
     return spatial.inside_stands(views.points(spark, d), spatial.usable_stands(views.stands(spark, d), 10), -2.0, cell=16.0).select("id", "in_stands")
 
 
+#: The union by brute force: unit squares that a stand covers or not, and points against all of them.
+_OVERLAP = """
+sr AS (SELECT CAST(n_nationkey % 5 * 10 AS INT) AS x0, CAST(n_nationkey // 5 * 10 AS INT) AS y0, CAST(8 + n_nationkey % 3 * 3 AS INT) AS w, CAST(6 + n_nationkey % 2 * 7 AS INT) AS h FROM nation WHERE n_regionkey * 5 >= 5
+  UNION ALL SELECT CAST(n_nationkey % 5 * 10 + 2 AS INT), CAST(n_nationkey // 5 * 10 + 1 AS INT), 4, 3 FROM nation WHERE n_regionkey * 5 >= 5 AND n_nationkey % 3 = 0),
+sq AS (SELECT i, j, EXISTS (SELECT 1 FROM sr WHERE i >= x0 AND i < x0 + w AND j >= y0 AND j < y0 + h) AS full_ FROM generate_series(-4, 64) a(i), generate_series(-4, 64) b(j)),
+pq AS (SELECT id, x + 0.25e0 AS px, y + 0.25e0 AS py FROM pt WHERE y < 60),
+dq AS (SELECT id, min(g) FILTER (full_) AS inner_, min(g) FILTER (NOT full_) AS outer_ FROM (SELECT id, full_, greatest(i - px, px - i - 1, 0e0) * greatest(i - px, px - i - 1, 0e0) + greatest(j - py, py - j - 1, 0e0) * greatest(j - py, py - j - 1, 0e0) AS g FROM pq, sq) GROUP BY id)"""
+
+
+@query(f"WITH {PT}, {_OVERLAP} SELECT id, CAST(outer_ > 4 AS INT) AS shrunk, CAST(outer_ > 0 AS INT) AS plain, CAST(inner_ <= 4 AS INT) AS grown FROM dq")
+def stands_overlap(spark, d):
+    """Points inside the union of stands that overlap and hold one another, shrunk, as it is, grown."""
+    stands = spatial.usable_stands(views.overlapping_stands(spark, d), 5)
+    out = views.points(spark, d).where("y < 60").select("id", (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.25).alias("y"))
+    for name, buffer in (("shrunk", -2.0), ("plain", 0.0), ("grown", 2.0)):
+        out = spatial.inside_stands(out, stands, buffer, cell=16.0).withColumnRenamed("in_stands", name)
+    return out.select("id", "shrunk", "plain", "grown")
+
+
 @query(f"WITH {PT}, {HT}, t AS (SELECT pt.id, max(h) AS height_m FROM pt LEFT JOIN ht ON ht.r BETWEEN pt.r - 1 AND pt.r + 1 AND ht.c BETWEEN pt.c - 1 AND pt.c + 1 GROUP BY pt.id) SELECT id, height_m FROM t WHERE height_m IS NULL OR NOT height_m < 40")
 def height_gate(spark, d):
     """Largest height near a point; low points go, unknown ones stay."""

@@ -78,6 +78,19 @@ def stands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.alias("sid"), ring.alias("ring"), (F.col("n_regionkey") * 5).cast("double").alias("age"))
 
 
+def overlapping_stands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sid, ring, age): rectangles for each nation, 8 to 14 wide and 6 to 13 high, on the lattice of
+    ``stands``: they touch, overlap and, with a small one inside each third, hold one another."""
+    k = F.col("n_nationkey")
+    x, y = (k % 5 * 10).cast("double"), (F.floor(k / 5) * 10).cast("double")
+    large = F.struct(x.alias("x"), y.alias("y"), (8 + k % 3 * 3).cast("double").alias("w"), (6 + k % 2 * 7).cast("double").alias("h"))
+    small = F.struct((x + 2).alias("x"), (y + 1).alias("y"), F.lit(4.0).alias("w"), F.lit(3.0).alias("h"))
+    both = table(spark, sf_dir, "nation").select(k.alias("sid"), (F.col("n_regionkey") * 5).cast("double").alias("age"), F.explode(F.when(k % 3 == 0, F.array(large, small)).otherwise(F.array(large))).alias("b"))
+    x, y, w, h = (F.col(f"b.{c}") for c in "xywh")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return both.select("sid", F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h)).alias("ring"), "age")
+
+
 # --- the same views in DuckDB's SQL -----------------------------------------------------------------
 
 PX = """
