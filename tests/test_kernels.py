@@ -1,9 +1,12 @@
+import heapq
+import math
+
 import numpy as np
 import pytest
 
 from lumigrid.operators.grow import fill_holes, grow_array, parts_of, rings_of
 from lumigrid.operators.modes import GrowRecipe
-from lumigrid.operators.segment import segment_array
+from lumigrid.operators.segment import LEVELS, segment_array
 
 
 def recipe(**k):
@@ -127,12 +130,105 @@ def test_outlines_hold_exactly_their_cells():
         assert inside == cells
 
 
+def slow_segments(stack, valid, granularity, spacing):
+    """The rule of superpixels pixel by pixel, with a heap."""
+    _, h, w = stack.shape
+    stack, unit = stack.astype(np.float32), np.float32(granularity / LEVELS)
+    owner, cost, done, seeds_of, side = {}, {}, set(), [], spacing
+    free = {(int(r), int(c)) for r, c in np.argwhere(valid)}
+    while free:
+        squares = {}
+        for r, c in sorted(free):
+            away = (2 * (r % side) - side + 1) ** 2 + (2 * (c % side) - side + 1) ** 2
+            squares.setdefault((r // side, c // side), []).append((away, r, c))
+        seeds = sorted(min(v)[1:] for v in squares.values())
+        seeds_of += seeds
+        heap = []
+        for s in seeds:
+            owner[s], cost[s] = s, 0
+            heapq.heappush(heap, (0, s, s))
+        while heap:
+            k, s, p = heapq.heappop(heap)
+            if p in done or (cost[p], owner[p]) != (k, s):
+                continue
+            done.add(p)
+            free.discard(p)
+            for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)):
+                if q in free:
+                    d = np.sqrt(((stack[:, q[0], q[1]] - stack[:, s[0], s[1]]) ** 2).sum()) / unit
+                    new = k + max(1, math.ceil(min(d, LEVELS)))
+                    if new < LEVELS and (new, s) < (cost.get(q, LEVELS), owner.get(q, (h, w))):
+                        cost[q], owner[q] = new, s
+                        heapq.heappush(heap, (new, s, q))
+        side = max(1, side // 2)
+    rank = {s: k for k, s in enumerate(seeds_of)}
+    out = np.full((h, w), -1)
+    for p in done:
+        out[p] = rank[owner[p]]
+    return out
+
+
+@pytest.mark.parametrize(("granularity", "share"), [(15.0, 1.0), (60.0, 0.9), (400.0, 0.7)])
+def test_superpixels_equal_a_slow_version(granularity, share):
+    rng = np.random.default_rng(int(granularity))
+    stack = np.cumsum(rng.normal(0, 3, (3, 60, 60)), axis=1) + rng.normal(0, 2, (3, 60, 60))
+    valid = rng.random((60, 60)) < share
+    got = segment_array(stack, valid, granularity)
+    assert (got == slow_segments(stack, valid, granularity, 16)).all() and ((got >= 0) == valid).all()
+
+
 def test_superpixels():
     rng = np.random.default_rng(1)
     a = rng.normal(50, 2, (1, 40, 40))
     a[0, 10:20, 10:20] = 200
     valid = np.ones((40, 40), bool)
     valid[:5, :5] = False
-    few, many = segment_array(a, valid, 60.0), segment_array(a, valid, 20.0)
+    few, many = segment_array(a, valid, 60.0), segment_array(a, valid, 6.0)
     assert ((few >= 0) == valid).all() and few.max() < many.max()
-    assert not set(np.unique(few[11:19, 11:19])) & set(np.unique(few[25:, 25:]))
+    assert not set(np.unique(few[10:20, 10:20])) & set(np.unique(few[21:, 21:]))
+    assert segment_array(a, np.zeros((40, 40), bool), 60.0).max() == -1
+
+
+def test_a_default_tile_of_superpixels_fits():
+    """2400 pixels square: arrays stay under 500 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    coarse = np.kron(rng.normal(100, 30, (4, 100, 100)), np.ones((24, 24))).astype(np.float32)
+    tracemalloc.start()
+    label = segment_array(coarse, np.ones((2400, 2400), bool), 60.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert label.min() == 0 and 10_000 < label.max() < 2_000_000 and peak < 500 << 20
+
+
+def slow_partition(data, seeds, radius, cost):
+    """Partition rule from its definition: the cheapest open pixel is settled (ties: seed, place) and
+    offers its own seed's cost to its neighbours, without limits; tolerance and radius cut afterwards."""
+    _, h, w = data.shape
+    d = [np.sqrt(((data - data[:, r, c][:, None, None]) ** 2).sum(axis=0)) for r, c in seeds]
+    best, done = {}, {}
+    for s, (r, c) in enumerate(seeds):
+        best.setdefault((r, c), (0.0, s))
+    while best:
+        p = min(best, key=lambda p: (*best[p], p))
+        k, s = best.pop(p)
+        done[p] = (k, s)
+        for y in range(max(p[0] - 1, 0), min(p[0] + 2, h)):
+            for x in range(max(p[1] - 1, 0), min(p[1] + 2, w)):
+                new = max(k, d[s][y, x])
+                if (y, x) not in done and new < best.get((y, x), (np.inf, 0))[0]:
+                    best[y, x] = (new, s)
+    out = np.full((h, w), -1)
+    for (r, c), (k, s) in done.items():
+        if k <= cost and (r - seeds[s][0]) ** 2 + (c - seeds[s][1]) ** 2 <= radius**2:
+            out[r, c] = s
+    return out
+
+
+def test_partition_equals_a_slow_version():
+    rng = np.random.default_rng(14)
+    data = np.cumsum(rng.normal(0, 0.8, (2, 26, 29)), axis=2)
+    seeds = [(3, 4), (12, 15), (13, 18), (20, 27), (5, 25), (24, 2)]
+    got = grow(data, seeds, rule="partition", max_cost=5.0, max_radius=9.0)
+    assert (got == slow_partition(data, seeds, 9.0, 5.0)).all() and len(np.unique(got)) == 7
