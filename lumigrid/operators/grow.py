@@ -28,49 +28,57 @@ def grow_array(stack: np.ndarray, valid: np.ndarray, seeds: np.ndarray, recipe:
     if weights.shape != (bands,):
         raise ValueError(f"{bands} band weights are needed, got {len(weights)}")
     ok = valid & np.isfinite(stack).all(axis=0)
-    feat = (np.where(ok, stack, 0) * weights[:, None, None]).reshape(bands, -1).T.tolist()
-    free = ok.ravel().tolist()
-    limit = recipe.rule == "reach"
-    r2, radius = recipe.max_radius**2, recipe.max_radius
-    label, best = [-1] * (h * w), [math.inf] * (h * w)
-    heap: list[tuple[float, int, int]] = []
-    for s, (r, c) in enumerate(np.asarray(seeds, int).reshape(-1, 2)):
-        p = r * w + c
-        if 0 <= r < h and 0 <= c < w and free[p] and best[p] > 0:
-            best[p] = 0.0
-            heapq.heappush(heap, (0.0, s, p))
-    place = [(int(r), int(c), feat[int(r) * w + int(c)] if 0 <= r < h and 0 <= c < w else None) for r, c in np.asarray(seeds, int).reshape(-1, 2)]
-    done = [False] * (h * w)
-    while heap:
-        cost, s, p = heapq.heappop(heap)
-        if done[p] or cost > best[p]:
+    # one margin of closed pixels all round, so that a place and eight offsets are all that is needed
+    wide = w + 2
+    closed = np.ones((h + 2, wide), np.uint8)
+    closed[1:-1, 1:-1] = ~ok
+    values = np.zeros((bands, h + 2, wide))
+    values[:, 1:-1, 1:-1] = np.where(ok, stack, 0) * weights[:, None, None]
+    cost, owner = np.full((h + 2) * wide, np.inf), np.full((h + 2) * wide, -1, np.int64)
+    shut, price, taken = memoryview(closed.reshape(-1)), memoryview(cost), memoryview(owner)
+    planes = [memoryview(np.ascontiguousarray(v.reshape(-1))) for v in values]
+    around = [dr * wide + dc for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+
+    places = np.asarray(seeds, int).reshape(-1, 2)
+    inside = ((places >= 0) & (places < (h, w))).all(axis=1)
+    at = np.where(inside, (places[:, 0] + 1) * wide + places[:, 1] + 1, 0)
+    queue = []
+    for s in np.flatnonzero(inside).tolist():
+        p = int(at[s])
+        if not shut[p] and price[p] > 0.0:  # of seeds on one pixel the first has it
+            price[p], taken[p] = 0.0, s
+            queue.append((0.0, s, p))
+    heapq.heapify(queue)
+    own = [[v[int(p)] for v in planes] for p in at]
+    bounded = recipe.rule == "reach"
+    reach2, fall = recipe.max_radius**2, recipe.taper / recipe.max_radius if recipe.max_radius else 0.0
+    while queue:
+        paid, s, p = heapq.heappop(queue)
+        if shut[p] or taken[p] != s or paid > price[p]:
             continue
-        done[p] = True
-        label[p] = s
-        pr, pc = divmod(p, w)
-        sr, sc, own = place[s]
-        for qr in range(max(pr - 1, 0), min(pr + 2, h)):
-            for qc in range(max(pc - 1, 0), min(pc + 2, w)):
-                q = qr * w + qc
-                if done[q] or not free[q]:
+        shut[p] = 1
+        colour, (seed_row, seed_col) = own[s], divmod(int(at[s]), wide)
+        for step in around:
+            q = p + step
+            if shut[q]:
+                continue
+            most = recipe.max_cost
+            if bounded:
+                row, col = divmod(q, wide)
+                away2 = (row - seed_row) ** 2 + (col - seed_col) ** 2
+                if away2 > reach2:
                     continue
-                away = (qr - sr) ** 2 + (qc - sc) ** 2
-                if limit and away > r2:
-                    continue
-                d = math.sqrt(sum((x - y) ** 2 for x, y in zip(feat[q], own, strict=True)))
-                step = max(cost, d)
-                if limit and step > recipe.max_cost - recipe.taper * math.sqrt(away) / radius:
-                    continue
-                if step < best[q]:
-                    best[q] = step
-                    heapq.heappush(heap, (step, s, q))
-    out = np.array(label, np.int64).reshape(h, w)
-    if not limit:
+                most -= fall * math.sqrt(away2)
+            due = max(paid, math.dist([v[q] for v in planes], colour))
+            if due < price[q] and not (bounded and due > most):
+                price[q], taken[q] = due, s
+                heapq.heappush(queue, (due, s, q))
+    out, paid = (x.reshape(h + 2, wide)[1:-1, 1:-1].copy() for x in (owner, cost))
+    if not bounded:
         rr, cc = np.nonzero(out >= 0)
-        at = np.asarray(seeds, int).reshape(-1, 2)[out[rr, cc]]
-        far = (rr - at[:, 0]) ** 2 + (cc - at[:, 1]) ** 2 > r2
-        dear = np.array(best).reshape(h, w)[rr, cc] > recipe.max_cost
-        out[rr[far | dear], cc[far | dear]] = -1
+        far = ((np.column_stack([rr, cc]) - places[out[rr, cc]]) ** 2).sum(axis=1) > reach2
+        gone = far | (paid[rr, cc] > recipe.max_cost)
+        out[rr[gone], cc[gone]] = -1
     return fill_holes(out, ok) if recipe.fill_holes else out
 
 

@@ -70,9 +70,10 @@ def sample_tiles(tiles: DataFrame, count: int, total: int) -> DataFrame:
     return tiles.where((F.col("tile_id") % step == 0) & (F.floor(F.col("tile_id") / step) < count))
 
 
-def core_bands(height: int, width: int, tile: int, striped: bool, target_px: int = 40_000_000) -> tuple[int, int]:
+def core_bands(height: int, width: int, tile: int, striped: bool, target_px: int = 6_000_000) -> tuple[int, int]:
     """Size (rows, columns) of the non-overlapping cores that growing uses: squares, or row bands of
-    the full width for striped scenes."""
+    the full width for striped scenes. A core is one task, of about 40 bytes a pixel of two features;
+    ``target_px`` keeps a band near the size of a default square."""
     return (max(256, min(tile, target_px // width)), width) if striped else (tile, tile)
 
 
