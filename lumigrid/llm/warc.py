@@ -10,9 +10,10 @@ takes a place as the start of a record if the member decodes to a WARC header fr
 the records that start inside its range; the last one is read on past the end. A magic number in
 compressed data doesn't decode to a header, so any split gives every record once.
 
-Null htmls are empty payloads, of which the smallest id is the response as of any others. Null ids
-are written as empty and read back as null; they count as smaller than any id only where a payload
-has no other. Repeated rows: of rows equal in id and payload one is the response, others revisit it.
+Null htmls are empty payloads, of which the smallest id is the response as of any others. Ids may be
+of any type that casts to a string and back; in headers they are percent-encoded, so that none can
+break a line or a bracket, and null ids are told apart from empty ones. Null ids count as smaller
+than any id only where a payload has no other. Repeated rows: of rows equal in id and payload one is the response, others revisit it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -60,7 +62,10 @@ def assign_types(pages: DataFrame, id_col: str = "page_id", text: str = "html",
     later = later.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "first", "rows")
     met = base.join(later, F.col("id").eqNullSafe(F.col("__id")) & (F.sha1("html") == F.col("__digest")), "left")
     if later.where("rows > 1 and __id <=> first").limit(1).count():  # rows equal in id and payload
-        nth = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("id", "__digest").orderBy("url"))).otherwise(1)
+        # rows that repeat nothing, of null ids too, are groups of their own
+        alone = F.when(F.col("rows") > 1, 0).otherwise(F.monotonically_increasing_id())
+        met = met.withColumn("__alone", alone)
+        nth = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("id", "__digest", "__alone").orderBy("url"))).otherwise(1)
         met = met.withColumn("nth", F.when(F.col("__id").eqNullSafe(F.col("first")) & F.col("__digest").isNotNull(), nth).otherwise(2))
     else:
         met = met.withColumn("nth", F.lit(2))
@@ -69,12 +74,20 @@ def assign_types(pages: DataFrame, id_col: str = "page_id", text: str = "html",
     return met.select("id", "url", "html", revisit.alias("revisit"), refers.alias("refers_to"))
 
 
-def record(page_id, url: str | None, html: bytes, revisit: bool, refers_to) -> bytes:
+def urn(page_id: str | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def page(name: str) -> str | None:
+    """The id in what ``urn`` wrote; null for none."""
+    return unquote(name[10:-1]) if name.startswith("<urn:page:") else None
+
+
+def record(page_id: str | None, url: str | None, html: bytes, revisit: bool, refers_to: str | None) -> bytes:
     """One WARC record: a response carries its payload, a revisit its digest and length only."""
-    name = "" if page_id is None else str(page_id)
     lines = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').encode('unicode_escape').decode('ascii')}",
         f"WARC-Payload-Digest: sha1:{digest32(html)}",
@@ -82,7 +95,7 @@ def record(page_id, url: str | None, html: bytes, revisit: bool, refers_to) -> b
         "Content-Type: text/html; charset=utf-8",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = b"" if revisit else html
     lines.append(f"Content-Length: {len(body)}")
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
@@ -119,7 +132,8 @@ def write_archives(typed: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done]), pa.array([s for _, s in done], pa.int64())], names=["path", "size"])
 
-    return materialise(typed.select("id", "url", "html", "revisit", "refers_to").mapInArrow(run, "path string, size bigint"), "warc-files")
+    named = typed.select(F.col("id").cast("string").alias("id"), "url", "html", "revisit", F.col("refers_to").cast("string").alias("refers_to"))
+    return materialise(named.mapInArrow(run, "path string, size bigint"), "warc-files")
 
 
 # --- reading -----------------------------------------------------------------------------------------
@@ -204,12 +218,6 @@ def read_archives(files: DataFrame, id_type: str = "bigint", range_bytes: int =
     ranges = files.where("size > 0").select("path", "size", F.explode(F.expr(f"sequence(0L, size - 1, {range_bytes}L)")).alias("start"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def page(urn: str):
-        value = urn.strip("<>").removeprefix("urn:page:")
-        return None if value == "" else value if id_type == "string" else int(value)
-
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -233,10 +241,11 @@ def read_archives(files: DataFrame, id_type: str = "bigint", range_bytes: int =
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        types = [arrow, pa.string(), pa.int64(), pa.string(), pa.string(), arrow, pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    return ranges.repartition(parts, "path", "start").mapInArrow(run, SCHEMA.format(id=id_type))
+    out = ranges.repartition(parts, "path", "start").mapInArrow(run, SCHEMA.format(id="string"))
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_payload: int = MIN_PAYLOAD) -> DataFrame:

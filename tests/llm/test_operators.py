@@ -266,6 +266,34 @@ def test_warc_reads_urls_of_any_length(spark):
     assert sorted(rows_of(warc.round_trip(pages), "page_id", "payload_bytes")) == [(1, 3), (2, 3)]
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("smallint", [3, -7, None, 3, 9]), ("string", ["", "x\r\nWARC-Type: revisit", "<a>", None, "%41 é"]), ("decimal(20,2)", [1, 2, None, 3, 4]), ("date", None)])
+def test_archives_of_any_ids(spark, kind, ids, tmp_path):
+    """Ids of other types, empty, null and with line breaks and brackets come back as they were."""
+    from datetime import date
+    from decimal import Decimal
+
+    ids = [date(2024, 1, k) for k in range(1, 6)] if kind == "date" else [Decimal(i) if i is not None and kind.startswith("dec") else i for i in ids]
+    html = ["one", "two", "two", None, ""]
+    pages = spark.createDataFrame([(i, f"http://x/{k}", h, 1, "q") for k, (i, h) in enumerate(zip(ids, html, strict=True))], f"page_id {kind}, url string, html string, size int, first string")
+    got = warc.round_trip(pages, str(tmp_path))
+    assert got.schema["page_id"].dataType.simpleString() == kind == got.schema["refers_to"].dataType.simpleString()
+    rows = {r.url: r for r in got.collect()}
+    assert {u: r.page_id for u, r in rows.items()} == {f"http://x/{k}": i for k, i in enumerate(ids)}
+    for k, h in enumerate(html):
+        alike = [i for i, g in zip(ids, html, strict=True) if (g or "") == (h or "")]
+        low = min((i for i in alike if i is not None), default=None)
+        own = rows[f"http://x/{k}"]
+        assert (own.record_type, own.refers_to) == (("response", None) if ids[k] == low or len(alike) == 1 else ("revisit", low))
+
+
+def test_archives_of_repeated_and_no_pages(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (None, "u", "a"), (None, "u", "b"), (None, "u", "b")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got if r.page_id) == [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1)]
+    assert sorted(r.record_type for r in got if r.page_id is None) == ["response", "response", "revisit"]
+    assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 # --- 5 ------------------------------------------------------------------------------------------------
 
 
