@@ -15,6 +15,7 @@ from lumigrid.operators import forest, graph, normalise, objects, spatial, tiles
 from lumigrid.operators.components import cut
 from lumigrid.operators.modes import BOX_PX, GSD, MIN_PX, MIN_VALID_PX, SUPPRESS_M, BandMode, Manifest, auto_mode, feature_names, resolve_mode, resolve_threshold, scene_norm_policy
 from lumigrid.operators.segment import segment_tiles
+from lumigrid.plans.watch import watched
 from lumigrid.sources.raster import POINT_COLUMNS, Scene, resample, with_roles, write_points, write_raster
 
 Segmenter = Callable[[DataFrame], DataFrame]
@@ -194,14 +195,14 @@ def detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out: str
     normalisation); otherwise the model counts as the user's own. ``model`` may be a function that
     gets the name of the band mode, once that is known, and returns (model, object model or None,
     model key). ``model_name`` is how the layer calls a model without a key. Heights are one raster, or surface and terrain, each a table of (r, c, h) on the
-    scene's grid or a pair (scene, table). A progress callback that returns
-    False stops the run."""
-    cfg = DetectConfig(**options)
+    scene's grid or a pair (scene, table). A progress callback is told the stages
+    and how far their jobs are; if it returns False, running jobs are interrupted and the run ends in
+    ``watch.Stopped``."""
+    with watched(spark, progress) as tell:
+        return _detect(spark, scene, pixels, model, out, object_model, stands, heights, prob_raster, model_key, tell, model_name, DetectConfig(**options))
 
-    def tell(stage: str) -> None:
-        if progress is not None and progress(stage) is False:
-            raise RuntimeError(f"stopped at {stage}")
 
+def _detect(spark: SparkSession, scene: Scene, pixels: DataFrame, model, out, object_model, stands, heights, prob_raster, model_key, tell, model_name: str, cfg: DetectConfig) -> DataFrame | int:
     tell("open")
     scene, pixels = resample(scene, pixels, cfg.gsd)
     mode_name, roles, _ = auto_mode(pixels, scene.bands, scene.height, scene.width, cfg.mode, cfg.bands, nodata=scene.nodata)

@@ -1,6 +1,7 @@
 """The command line, streams, models and coordinate systems."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -12,8 +13,9 @@ from lumigrid.operators import forest, spatial, tiles, zonal
 from lumigrid.operators.modes import MODES, Manifest, auto_mode
 from lumigrid.plans.detect import DetectConfig, detect
 from lumigrid.plans.grow import grow_crowns
+from lumigrid.plans.watch import Stopped, watched
 from lumigrid.sources.raster import ModelStore, Scene, scene_from_array, training_table, with_roles, write_crowns, write_scene
-from lumigrid.streaming.tiles import detect_stream, read_tiles
+from lumigrid.streaming.tiles import detect_stream, read_tiles, tile_pixels, whole_tiles
 
 LEAF = {"tree": 0, "feature": None, "threshold": None, "left": None, "right": None}
 ROOT = {"tree": 0, "node": 0, "feature": "sr_NDVI", "threshold": 0.2, "left": 1, "right": 2, "p": None}
@@ -170,3 +172,63 @@ def test_object_stage_needs_finite_features_and_a_score(spark):
     by_area = [ROOT | {"feature": "pow", "threshold": 1e6}, LEAF | {"node": 1, "p": 0.4}, LEAF | {"node": 2, "p": 0.9}]
     assert detect(spark, scene, px, STUMP, object_model=by_area, object_threshold=0.5, **opts).count() == 0
     assert {p.p_object for p in detect(spark, scene, px, STUMP, object_model=by_area, object_threshold=0.4, **opts).collect()} == {0.4}
+
+
+def test_tiles_in_pieces(spark, tmp_path):
+    """A tile over three files of two runs, one that repeats a piece, one that never gets whole, and a
+    piece that comes late."""
+    scene, cfg = Scene(20, 50, ("b",)), DetectConfig(tile=20, overlap=0)
+    assert [tile_pixels(k, scene, cfg) for k in range(3)] == [400, 400, 200]
+    schema = "tile_id int, tr int, tc int, b double"
+    cells = lambda t, rows, value=1.0: [(t, r, c, value) for r in rows for c in range(20 if t < 2 else 10)]
+    files = iter(range(100))
+
+    def add(rows):
+        n = next(files)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n:03d}"))
+
+    def run(patience=3_600_000):
+        # a timeout asks for batches without data for ever, and a run over what is there would not end
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        whole_tiles(stream, scene, cfg, patience).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+        got = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+        return {r.tile_id: (r.n, r.s) for r in got.groupBy("tile_id").agg(F.count("*").alias("n"), F.sum("b").alias("s")).collect()}
+
+    add(cells(0, range(7)) + cells(1, range(20)))
+    add(cells(0, range(5, 14)))
+    assert run() == {1: (400, 400.0)}
+    add(cells(0, range(14, 20)) + cells(2, range(3), 2.0))
+    assert run() == {0: (400, 400.0), 1: (400, 400.0)}
+    add(cells(0, range(2), 9.0) + cells(1, range(1), 9.0))
+    add(cells(2, range(2, 5), 2.0))
+    assert run(patience=1) == {0: (400, 400.0), 1: (400, 400.0)}
+    time.sleep(1)
+    add(cells(1, range(1), 9.0))
+    add(cells(1, range(1), 9.0))
+    assert run(patience=1) == {0: (400, 400.0), 1: (400, 400.0), 2: (50, 100.0)}
+    add(cells(2, range(5, 20), 9.0))
+    assert run() == {0: (400, 400.0), 1: (400, 400.0), 2: (50, 100.0)}
+
+
+def test_a_running_job_is_stopped(spark):
+    """The callback sees tasks of the running stage; its False ends them within seconds."""
+    seen = []
+
+    def progress(text):
+        seen.append(text)
+        return "of" not in text
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(9)
+            yield b
+
+    began = time.time()
+    with pytest.raises(Stopped), watched(spark, progress, every=0.2) as tell:
+        tell("tiles")
+        spark.range(0, 8, 1, 4).mapInArrow(slow, "id long").count()
+    assert time.time() - began < 8 and seen[0] == "tiles" and seen[-1] == "tiles: 0 of 4 tasks"
+    with watched(spark, lambda text: True) as tell:
+        tell("again")
+        assert spark.range(10).count() == 10
