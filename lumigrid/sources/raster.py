@@ -63,11 +63,17 @@ def read_scene(spark: SparkSession, path: str) -> tuple[Scene, DataFrame]:
 
 
 def geotiff_scene(spark: SparkSession, path: str) -> tuple[Scene, DataFrame]:
-    """A GeoTIFF through rasterio, where that is installed; blocks are read by the tasks."""
+    """A GeoTIFF as a pixel table, through the ``geotiff`` data source; through rasterio, where that
+    is installed, if the file is of a kind that the source doesn't cover. Tasks read the blocks."""
+    from lumigrid.sources.geotiff import read_geotiff
+
     try:
-        import rasterio
-    except ImportError as why:
-        raise RuntimeError("reading GeoTIFF takes rasterio; convert the scene to a pixel table") from why
+        return read_geotiff(spark, path)
+    except ValueError as unread:
+        try:
+            import rasterio
+        except ImportError as why:
+            raise RuntimeError(f"{unread}; reading it takes rasterio") from why
     with rasterio.open(path) as src:
         scene = Scene(src.height, src.width, tuple(f"b{k + 1}" for k in range(src.count)), src.transform.a, src.transform.c, src.transform.e, src.transform.f, 0.0 if src.nodata is None else src.nodata, str(src.crs), src.block_shapes[0][1] == src.width)
         windows = [(w.row_off, w.col_off, w.height, w.width) for _, w in src.block_windows(1)]
