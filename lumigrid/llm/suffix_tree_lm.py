@@ -4,8 +4,7 @@ A text is its lower-cased words and one end. The tree's states are contexts of u
 preceding words (an end stands before the first word). A context is a candidate if it occurs
 ``MIN_COUNT`` times in training, whatever the input's size, and its suffix is a state; it is
 retained if its next-word counts diverge from its suffix's distribution by ``MIN_GAIN`` nats or more
-in total (count times Kullback-Leibler divergence). A context seen ``HOT`` times or more is retained
-untested: at that count the test asks for less than a thousandth of a nat a word. A state's
+in total (count times Kullback-Leibler divergence). A state's
 distribution is its counts, smoothed by ``LOWER`` parts of its suffix's; the root's is the add-one
 distribution over the training words and one unknown word, so every distribution adds up to one and
 a model without states equals the base. Each word is scored by its longest suffix that is a state.
@@ -13,8 +12,10 @@ a model without states equals the base. Each word is scored by its longest suffi
 Counts cover all training documents. Texts are read once: batches of them are kept as numbers in
 their own sorted vocabularies. Then, for words and for each depth of contexts, a batch lists its
 distinct keys in partitions by hash; a partition adds up what all batches ask for and answers each,
-a row for each batch and partition, so nothing, however frequent, is gathered row by row. A hot
-context's next words are dealt over several partitions. Words are told apart by 64-bit hashes, next
+a row for each batch and partition, so nothing, however frequent, is gathered row by row. The next
+words of a context seen ``HOT`` times or more are dealt over several partitions, each of which gives
+its share of the gain; the shares are added by context, and where one fails the test, its grams are
+marked in the answers before any batch reads them. Words are told apart by 64-bit hashes, next
 words of one context by 32 bits, contexts of a partition by 40 bits.
 
 Null and empty texts are the end alone. A null id counts as the empty string in the split. Repeated
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import materialise, tasks
+from lumigrid.llm.store import materialise, spread_join, tasks
 from lumigrid.llm.text import expand, mix64, sliced, squeeze, text_buffer, words, xxh64
 
 DEPTH, MIN_COUNT, MIN_GAIN, LOWER, HOT = 2, 2, 4.0, 0.6, 1 << 15
@@ -84,7 +85,7 @@ class Texts:
         return np.repeat(self.train, np.diff(self.first))
 
 
-def grams(texts: Texts, previous: Grams | None, counts: np.ndarray, value: np.ndarray | None) -> Grams:
+def grams(texts: Texts, previous: Grams | None, counts: np.ndarray, value: np.ndarray | None, hot: int = HOT) -> Grams:
     """Grams one word deeper than ``previous``, whose answers are ``value``; the first depth follows
     from the training counts of the vocabulary and of the end."""
     code, hashes = texts.code, np.append(texts.vocabulary, END_HASH)
@@ -108,7 +109,7 @@ def grams(texts: Texts, previous: Grams | None, counts: np.ndarray, value: np.nd
         at[spot] = inverse
         name, n = name_of[context], n_of[context].astype(np.int64)
         key = mix64(hashes[word] + np.uint64(1)) >> np.uint64(32)
-        salts = (1 + n // HOT).astype(np.uint64)
+        salts = (1 + n // hot).astype(np.uint64)
         home = mix64(name + (key % salts) * _MULT) >> (np.uint64(64) - _HOME)
         order = np.argsort((home << np.uint64(24)) | (key >> np.uint64(8)), kind="stable")
     return Grams(at, name, word, n, order, home[order], key[order].astype(np.uint32), (salts > 1)[order])
@@ -238,12 +239,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([part], pa.int32()), pa.array([squeeze(total[inverse[cut[i] : cut[i + 1]]].astype(np.uint32))], pa.binary()), pa.array([n if i == 0 else 0]), pa.array([v if i == 0 else 0])], names=["batch", "part", "words", "n", "v"])
 
 
-def _deepen(texts: Texts, told: dict[int, np.ndarray], n: int, v: int, ends: int, depth: int) -> tuple[np.ndarray, list[tuple[Grams, np.ndarray]], Grams | None]:
+def _deepen(texts: Texts, told: dict[int, np.ndarray], n: int, v: int, ends: int, depth: int, hot: int) -> tuple[np.ndarray, list[tuple[Grams, np.ndarray]], Grams | None]:
     """Root probabilities, the answered depths, and the grams of ``depth`` to ask for."""
     counts = np.append(told.get(1, np.zeros(0, np.int64)), ends)
     base, done, g = (counts + 1.0) / (n + v + 1.0), [], None
     for d in range(1, depth + 1):
-        g = grams(texts, g, counts, done[-1][1] if done else None)
+        g = grams(texts, g, counts, done[-1][1] if done else None, hot)
         if d + 1 in told or (d < depth and not len(g.order)):
             value = np.empty(len(g.order), np.int64)
             value[g.order] = told.get(d + 1, value)
@@ -251,13 +252,13 @@ def _deepen(texts: Texts, told: dict[int, np.ndarray], n: int, v: int, ends: int
     return base, done, g
 
 
-def _ask_grams(parts: int, n: int, v: int, ends: int, depth: int):
+def _ask_grams(parts: int, n: int, v: int, ends: int, depth: int, hot: int):
     """Each batch's grams of one depth with training counts and lower probabilities, a row for each
     partition of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, told, _ in _read(batches):
-            base, done, g = _deepen(texts, told, n, v, ends, depth)
+            base, done, g = _deepen(texts, told, n, v, ends, depth, hot)
             if not len(g.order):
                 continue
             on = np.flatnonzero(g.at >= 0)
@@ -267,31 +268,44 @@ def _ask_grams(parts: int, n: int, v: int, ends: int, depth: int):
             bits = np.clip(np.rint(-np.log2(lower[g.order]) * _STEP), 0, 255).astype(np.uint8)
             cut = cells(g.home, parts)
             found = np.flatnonzero(cut[1:] > cut[:-1])
-            out: list[list[bytes]] = [[], [], [], [], []]
+            out: list[list[bytes]] = [[], [], [], [], [], []]
+            title = g.name[g.order]
             for p in found:
                 own = slice(cut[p], cut[p + 1])
                 name = g.home[own]
                 begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
                 size = np.diff(np.append(begin, len(name)))
-                for blob, x in zip(out, (squeeze(name[begin], rising=True), squeeze((2 * size + g.hot[own][begin]).astype(np.uint32)), squeeze(g.key[own]), squeeze(counts[own]), squeeze(bits[own])), strict=True):
+                for blob, x in zip(out, (squeeze(name[begin], rising=True), squeeze((2 * size + g.hot[own][begin]).astype(np.uint32)), squeeze(g.key[own]), squeeze(counts[own]), squeeze(bits[own]), squeeze(title[own][begin][g.hot[own][begin]])), strict=True):
                     blob.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(found), pa.int64()), pa.array(found.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=["batch", "part", "names", "sizes", "keys", "counts", "lower"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(found), pa.int64()), pa.array(found.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=["batch", "part", "names", "sizes", "keys", "counts", "lower", "hots"])
 
     return run
 
 
+#: Answers to a batch (batch, part, words), a hot context's share of its gain (name, n, gain), and
+#: where a batch's answers hold a hot context (batch, part, name, start, stop).
+_COUNTED = "batch bigint, part int, words binary, name bigint, n bigint, gain double, start bigint, stop bigint"
+
+
 def _count_grams(min_gain: float):
     """For each batch, twice the training count of each gram it asked for, plus one where the
-    context is a state."""
+    context is a state. Hot contexts count as states here; what they gain goes out in shares."""
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+
+    def rows_of(many: int, /, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            names = [expand(r[1], "u8", rising=True) for r in rows]
+            homes = [expand(r[1], "u8", rising=True) for r in rows]
             sizes = [expand(r[2], "u4") for r in rows]
-            context, owner = np.unique(np.concatenate(names), return_inverse=True)
+            titles = [expand(r[6], "u8") for r in rows]
+            context, owner = np.unique(np.concatenate(homes), return_inverse=True)
             size = np.concatenate(sizes)
-            hot = np.zeros(len(context), bool)
-            hot[owner[(size & 1) == 1]] = True
+            dealt = owner[(size & 1) == 1]
+            hot, title = np.zeros(len(context), bool), np.zeros(len(context), np.uint64)
+            hot[dealt], title[dealt] = True, np.concatenate(titles)
             key = (np.repeat(owner, size >> 1).astype(np.uint64) << np.uint64(32)) | np.concatenate([expand(r[3], "u4") for r in rows])
             gram, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             total = np.bincount(inverse, weights=np.concatenate([expand(r[4], "u4") for r in rows])).astype(np.int64)
@@ -299,21 +313,55 @@ def _count_grams(min_gain: float):
             of = (gram >> np.uint64(32)).astype(np.int64)
             n = np.bincount(of, weights=total, minlength=len(context))
             seen = total > 0
-            gain = np.bincount(of[seen], weights=total[seen] * (np.log(total[seen] / n[of[seen]]) - lower[seen] * np.log(2)), minlength=len(context))
+            share = np.bincount(of[seen], weights=total[seen] * (np.log(total[seen]) - lower[seen] * np.log(2)), minlength=len(context))
+            gain = share - n * np.log(np.maximum(n, 1))
             value = (2 * total + (hot | (gain >= min_gain))[of]).astype(np.uint32)
+            if hot.any():
+                yield rows_of(int(hot.sum()), name=title[hot].view(np.int64), n=n[hot].astype(np.int64), gain=share[hot])
             cut = np.cumsum([0, *((s >> 1).sum() for s in sizes)]).astype(np.int64)
             for i, (batch, *_) in enumerate(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([part], pa.int32()), pa.array([squeeze(value[inverse[cut[i] : cut[i + 1]]])], pa.binary())], names=["batch", "part", "words"])
+                yield rows_of(1, batch=[batch], part=[part], words=[squeeze(value[inverse[cut[i] : cut[i + 1]]])])
+                if len(titles[i]):
+                    stop = np.cumsum(sizes[i] >> 1).astype(np.int64)
+                    at = np.flatnonzero(sizes[i] & 1)
+                    yield rows_of(len(at), batch=[batch] * len(at), part=[part] * len(at), name=titles[i].view(np.int64), start=stop[at] - (sizes[i][at] >> 1), stop=stop[at])
 
     return run
 
 
-def _score(n: int, v: int, ends: int, depth: int):
+def _without_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (batch, part, words, runs) whose runs hold grams of contexts that are no states."""
+    for b in batches:
+        blobs = []
+        for blob, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if runs:
+                value = expand(blob, "u4").copy()
+                for r in runs:
+                    value[r["start"] : r["stop"]] &= np.uint32(0xFFFFFFFE)
+                blob = squeeze(value)
+            blobs.append(blob)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["batch", "part", "words"])
+
+
+def _tested(found: DataFrame, min_gain: float, name: str) -> DataFrame:
+    """Answers (batch, part, words) from rows of ``_COUNTED``, hot contexts tested by the sum of their
+    shares."""
+    told = found.where("words is not null").select("batch", "part", "words")
+    sums = found.where("n is not null").groupBy("name").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
+    failed = sums.where(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))) < min_gain).select("name")
+    if not failed.limit(1).count():
+        return told
+    runs = spread_join(found.where("start is not null").select("batch", "part", "name", "start", "stop"), failed, "name", "left_semi")
+    runs = runs.groupBy("batch", "part").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    return materialise(told.join(runs, ["batch", "part"], "left").select("batch", "part", "words", "runs").mapInArrow(_without_states, "batch bigint, part int, words binary"), name)
+
+
+def _score(n: int, v: int, ends: int, depth: int, hot: int):
     """Both scores of each document of the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, told, docs in _read(batches):
-            base, done, _ = _deepen(texts, told, n, v, ends, depth)
+            base, done, _ = _deepen(texts, told, n, v, ends, depth, hot)
             own = np.log10(mixed(texts, base, done))
             known = np.append(told.get(1, np.zeros(0, np.int64)), ends) > 0
             each = [np.add.reduceat(x, texts.first[:-1]) for x in (known[texts.code].astype(np.int64), np.log10(base)[texts.code], own)]
@@ -323,7 +371,7 @@ def _score(n: int, v: int, ends: int, depth: int):
     return run
 
 
-def lm_scores(docs: DataFrame, depth: int = DEPTH, min_gain: float = MIN_GAIN) -> DataFrame:
+def lm_scores(docs: DataFrame, depth: int = DEPTH, min_gain: float = MIN_GAIN, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -352,11 +400,11 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, min_gain: float = MIN_GAIN) -
     n, v = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
     for d in range(1, depth + 1):
         rows = meet(answers).repartition(parts, "batch").sortWithinPartitions("batch", "k", "part")
-        asked = rows.mapInArrow(_ask_grams(parts, n, v, ends, d), "batch bigint, part int, names binary, sizes binary, keys binary, counts binary, lower binary")
-        answers.append(gather(asked, _count_grams(min_gain), "batch bigint, part int, words binary", f"lm-grams{d}"))
+        asked = rows.mapInArrow(_ask_grams(parts, n, v, ends, d, hot), "batch bigint, part int, names binary, sizes binary, keys binary, counts binary, lower binary, hots binary")
+        answers.append(_tested(gather(asked, _count_grams(min_gain), _COUNTED, f"lm-grams{d}"), min_gain, f"lm-states{d}"))
     rows = meet(answers).unionByName(held.where("k = 9").select("batch", "k", "part", "doc_id", "train"), allowMissingColumns=True)
     rows = rows.select(*_PASSED, "doc_id", "train").repartition(parts, "batch").sortWithinPartitions("batch", "k", "part")
-    scored = rows.mapInArrow(_score(n, v, ends, depth), f"doc_id {kind.simpleString()}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = rows.mapInArrow(_score(n, v, ends, depth, hot), f"doc_id {kind.simpleString()}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

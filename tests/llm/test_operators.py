@@ -212,6 +212,15 @@ def test_lm_scores_equal_a_slow_tree(spark, docs):
         assert sum(p(context, x) for x in symbols) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("min_gain", [4.0, 60.0])
+def test_lm_tests_hot_contexts_by_the_sum_of_their_shares(spark, docs, min_gain):
+    """Contexts seen six times or more are dealt over partitions, and many fail the test."""
+    split = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    want, states, *_ = slow_tree(docs, split, min_gain=min_gain)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), min_gain=min_gain, hot=6).collect()}
+    assert len(states) > 10 and np.allclose([got[i] for i, _ in docs], [want[i] for i, _ in docs], rtol=1e-9)
+
+
 def test_lm_is_better_than_its_base_on_texts_held_out(spark):
     got = suffix_tree_lm.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (got[0] - got[1]) / got[2] > 0.4
