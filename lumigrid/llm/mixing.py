@@ -166,31 +166,33 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, sh
     spark, columns = docs.sparkSession, docs.columns
     steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     # a document's own columns travel in one, so that none can clash with those of the mix
-    keyed = docs.select("doc_id", "source", F.col("text").alias("whole"), _chunk_key(docs).alias("ck"), F.struct(*columns).alias("row"))
+    keyed = docs.select("doc_id", "source", _chunk_key(docs).alias("ck"), F.struct(*columns).alias("held"))
     placed = _run(spark, steps, ("chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, nth, doc_id, size, off, block").where("size > 0")
     slots = materialise(_run(spark, steps, ("numbers", "slots"), "slots", frames, "src AS s2, block AS b2, pass, shard"), "mix-slots")
     taken = placed.join(slots.hint("merge"), (F.col("src") == F.col("s2")) & (F.col("block") == F.col("b2")))
     spans = taken.select("src", "doc_id", "chunk", "nth", "size", "pass", "shard", F.greatest(F.lit(0), F.col("block") * block - F.col("off")).alias("a"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("off")).alias("b"))
     grouped = spans.groupBy("src", "chunk", "nth", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("got"), F.min("shard").alias("first"))
     grouped = grouped.withColumnsRenamed({"doc_id": "id", "src": "of", "size": "long", "chunk": "part", "nth": "k"})
-    words = f"regexp_extract_all(whole, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"
-    size = F.coalesce(F.expr(f"regexp_count(whole, '{WORD.replace(chr(92), chr(92) * 2)}')").cast("long"), F.lit(0).cast("long"))
+    pattern = WORD.replace(chr(92), chr(92) * 2)
+    size = F.coalesce(F.expr(f"regexp_count(held.text, '{pattern}')").cast("long"), F.lit(0).cast("long"))
     sources = frames["plan"].select(F.col("source").alias("name"), "src")
     chunks = frames["sized"].count() // CHUNK_DOCS + 1
     base = keyed.withColumn("size", size).withColumn("chunk", F.expr(f"coalesce(pmod(ck, {PRIME}), 0) * 48271 % {PRIME} % {chunks}L")).join(sources, F.col("source").eqNullSafe(F.col("name")), "inner")
     same = frames["sized"].groupBy("doc_id", "source", "size", "chunk").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if same.count():  # repeated rows: number them, so that each meets its own part
-        base = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, src, size, chunk order by xxhash64(whole), whole)").cast("long"))
+        base = base.withColumn("nth", F.expr("row_number() over (partition by doc_id, src, size, chunk order by xxhash64(held.text), held.text)").cast("long"))
     else:
         base = base.withColumn("nth", F.lit(1).cast("long"))
     alike = [F.col(a) == F.col(b) for a, b in (("src", "of"), ("size", "long"), ("chunk", "part"), ("nth", "k"))]
     one = base.join(grouped, [F.col("doc_id").eqNullSafe(F.col("id")), *alike])
-    text = F.when(F.col("got") == F.col("size"), F.col("whole")).otherwise(F.expr(f"array_join(flatten(transform(spans, s -> slice({words}, cast(s.a + 1 as int), cast(s.b - s.a as int)))), ' ')"))
-    first, = fresh(docs, "first")
-    out = one.select(text.alias("text"), "row", F.col("first").alias(first))
+    # texts move in the draw's order as they are, and are cut after that
+    (first,) = fresh(docs, "first")
+    met = one.select("held", "spans", (F.col("got") == F.col("size")).alias("all"), F.col("first").alias(first)).repartitionByRange(tasks(spark), first).sortWithinPartitions(first)
+    words = f"regexp_extract_all(held.text, '{pattern}', 0)"
+    text = F.when(F.col("all"), F.col("held.text")).otherwise(F.expr(f"array_join(flatten(transform(spans, s -> slice({words}, cast(s.a + 1 as int), cast(s.b - s.a as int)))), ' ')"))
+    out = met.select(text.alias("text"), "held")
     new = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    out = out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns), first)
-    return out.repartitionByRange(tasks(spark), first).sortWithinPartitions(first).drop(first)
+    return out.select(*(new.get(c, F.col("held").getField(c)).alias(c) for c in columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
