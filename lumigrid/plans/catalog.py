@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumigrid.functions import color, crs, pixel
-from lumigrid.operators import forest, graph, grow, modes, normalise, objects, segment, spatial, tiles, zonal
+from lumigrid.operators import forest, graph, grow, modes, normalise, objects, outlines, segment, spatial, tiles, zonal
 from lumigrid.operators.components import cut
 from lumigrid.plans import detect, views
 from lumigrid.plans.views import HT, PT, PX, SEG, ST
@@ -653,6 +653,23 @@ def polygonize(spark, d):
     return grow.polygonize(grow_reach(spark, d), 0.25, 500000.0, -0.25, 600000.0)
 
 
+@query(
+    f"""WITH {PX}, lab AS (SELECT CAST(floor(nir / 64) AS BIGINT) AS gid, r, c FROM px WHERE valid),
+quad AS (SELECT gid, r + k // 2 AS y, c + k % 2 AS x, count(*) AS n, sum(k) AS s FROM lab, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL),
+bit AS (SELECT gid, count(*) FILTER (WHERE n = 1) AS q1, count(*) FILTER (WHERE n = 3) AS q3, count(*) FILTER (WHERE n = 2 AND s = 3) AS qd FROM quad GROUP BY gid),
+side AS (SELECT gid, r + dr AS r2, c + dc AS c2 FROM lab, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS t(dr, dc)),
+open AS (SELECT gid, count(*) AS sides FROM (SELECT * FROM side ANTI JOIN lab ON lab.gid = side.gid AND lab.r = side.r2 AND lab.c = side.c2) GROUP BY gid),
+many AS (SELECT gid, count(*) AS n_px FROM lab GROUP BY gid)
+SELECT gid, n_px, sides, q1 + q3 + 2 * qd AS corners, CAST((q1 - q3 + 2 * qd) // 4 AS BIGINT) AS outer_less_holes FROM many JOIN open USING (gid) JOIN bit USING (gid)"""
+)
+def region_outlines(spark, d):
+    """Closed rings around classes of pixels that run through all tiles: what they enclose, their sides
+    and corners, and outer rings less holes."""
+    labels = views.pixels(spark, d).where("valid").select(F.floor(F.col("nir") / 64).cast("long").alias("gid"), "r", "c")
+    ring = outlines.ring_statistics(outlines.outline_pieces(labels, TILE))
+    return ring.groupBy("gid").agg(F.sum("area").alias("n_px"), F.sum("sides").alias("sides"), F.sum("corners").alias("corners"), F.sum(F.signum("area")).cast("long").alias("outer_less_holes"))
+
+
 @query()
 def adaptels(spark, d):
     """Superpixels of tiles."""

@@ -11,7 +11,7 @@ from lumigrid.plans.grow import grow_crowns
 from lumigrid.sources.raster import ModelStore, Scene, read_scene, scene_from_array, split_layer, write_scene
 
 SF = "/root/testdata/sf0.001"
-FAST = ["valid_mask", "tile_grid", "tile_core_cover", "core_bands_halo", "rgb_to_lab", "to_uint8_scale", "radiometry_fit", "zonal_stats", "box_mean", "edges_distinct", "components", "stands_inside", "height_gate", "nodata_distance", "resample_scene", "running_ids", "suppress_points", "core_ownership", "seed_windows", "auto_mode", "lab_raster", "growing_spaces_rgb", "crs_round_trip", "detect_tiled", "scene_zscore"]
+FAST = ["valid_mask", "tile_grid", "tile_core_cover", "core_bands_halo", "rgb_to_lab", "to_uint8_scale", "radiometry_fit", "zonal_stats", "box_mean", "edges_distinct", "components", "stands_inside", "height_gate", "nodata_distance", "resample_scene", "running_ids", "suppress_points", "core_ownership", "seed_windows", "auto_mode", "lab_raster", "growing_spaces_rgb", "crs_round_trip", "detect_tiled", "scene_zscore", "region_outlines"]
 
 
 @pytest.mark.parametrize("name", FAST)
