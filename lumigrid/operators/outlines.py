@@ -73,7 +73,7 @@ def tile_paths(gid: np.ndarray, r: np.ndarray, c: np.ndarray, top: int, left: in
     _, _, last, rest = _jumps(follows)
     order = np.lexsort((-rest, last))
     begin = np.flatnonzero(np.append(True, last[order][1:] != last[order][:-1])) if len(order) else np.zeros(0, np.int64)
-    close = np.append(begin[1:], len(order))
+    close = np.append(begin[1:], len(order))[: len(begin)]  # tiles may have pixels and no sides
 
     def name(pixels: np.ndarray, sides: np.ndarray) -> np.ndarray:
         return ((row[pixels] - 1 + top) << 32) | ((col[pixels] - 1 + left) << 2) | sides

@@ -72,3 +72,12 @@ def test_overlaps_repeats_nulls_and_no_rows(spark):
     got = {r.adaptel_id: (r.n_parts, shapes(r.wkt)) for r in outlines.outline_polygons(labels, tile=3).collect()}
     assert got == {k: (1, {frozenset({f"{o} {o}, {o + 5} {o}, {o + 5} {o + 5}, {o} {o + 5}, {o} {o}"})}) for k, o in ((1, 0), (2, 2))}
     assert outlines.outline_polygons(labels.where("gid > 7"), tile=3).count() == 0
+
+
+def test_windows_without_sides(spark):
+    # the last row is a tile's last, so that the next window has a margin alone; the middle tile is full inside
+    labels = spark.createDataFrame([(1, r, c) for r in range(9) for c in range(9)], "gid long, r int, c int")
+    assert len(outlines.tile_paths(*np.full((3, 9), 8), 9, 9, 3)["gid"]) == 0
+    stats = outlines.ring_statistics(outlines.outline_pieces(labels, 3)).collect()
+    assert [(s.area, s.sides, s.corners) for s in stats] == [(81, 36, 4)]
+    assert [r.wkt for r in outlines.outline_polygons(labels, tile=3).collect()] == ["MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0)))"]
