@@ -132,12 +132,12 @@ kp AS (SELECT unnest(list_transform((SELECT kept FROM sup ORDER BY k DESC LIMIT
 
 
 #: Transverse Mercator of zone 32 by the conformal latitude in exponential form; the constants are
-#: those of WGS84 (eccentricity, series to the fourth order, scaled rectifying radius).
+#: those of WGS84 (eccentricity, series to the fourth order in every term, scaled rectifying radius).
 _UTM = """
-geo AS (SELECT id, x * 0.1e0 + 6.53e0 AS lon, y * 0.05e0 + 41.07e0 AS lat FROM pt),
+geo AS (SELECT id, x * 0.1e0 + 6.53e0 AS lon, y % 850 * 0.05e0 + 41.07e0 AS lat FROM pt),
 cf AS (SELECT id, lon, lat, radians(lon - 9e0) AS l, atanh(sin(radians(lat))) - 0.0818191908426215e0 * atanh(0.0818191908426215e0 * sin(radians(lat))) AS q FROM geo),
 uv AS (SELECT id, lon, lat, atan2((exp(q) - exp(-q)) / 2, cos(l)) AS u, atanh(sin(l) / ((exp(q) + exp(-q)) / 2)) AS v FROM cf),
-kr AS (SELECT j, k FROM (VALUES (1, 8.377318206304e-4), (2, 7.608527714249e-7), (3, 1.197638001606e-9), (4, 2.429150e-12)) t(j, k)),
+kr AS (SELECT j, k FROM (VALUES (1, 8.377318206303529e-4), (2, 7.608527714248998e-7), (3, 1.1976380015605232e-9), (4, 2.4433761945220637e-12)) t(j, k)),
 utm AS (SELECT id, any_value(lon) AS lon, any_value(lat) AS lat, 6364902.166165087e0 AS rad, any_value(v) + sum(k * cos(2 * j * u) * (exp(2 * j * v) - exp(-2 * j * v)) / 2) AS e, any_value(u) + sum(k * sin(2 * j * u) * (exp(2 * j * v) + exp(-2 * j * v)) / 2) AS n FROM uv, kr GROUP BY id)"""
 
 
@@ -583,8 +583,9 @@ def affine_round_trip(spark, d):
 
 @query(f"WITH {PT}, {_UTM} SELECT id, round(500000e0 + rad * e, 3) AS easting, round(rad * n, 3) AS northing, round(lon, 9) AS lon, round(lat, 9) AS lat FROM utm")
 def crs_round_trip(spark, d):
-    """Geographic points in a transverse Mercator zone and back."""
-    lon, lat = F.col("x") * 0.1 + 6.53, F.col("y") * 0.05 + 41.07
+    """Geographic points in a transverse Mercator zone and back; latitudes begin again at 41.07 degrees
+    after every 850 rows of points, as the zone ends at 84."""
+    lon, lat = F.col("x") * 0.1 + 6.53, F.col("y") % 850 * 0.05 + 41.07
     out = views.points(spark, d).select("id", *(v.alias(n) for n, v in zip(("e", "n"), crs.transform(lon, lat, "EPSG:4326", "EPSG:32632"), strict=True)))
     back = crs.transform(F.col("e"), F.col("n"), "EPSG:32632", "EPSG:4326")
     return out.select("id", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), *(F.round(v, 9).alias(n) for n, v in zip(("lon", "lat"), back, strict=True)))

@@ -28,6 +28,18 @@ def test_query_agrees_with_sql(spark, name):
     assert mine == theirs
 
 
+def test_points_of_large_tables_turn_back(spark, tmp_path):
+    """Keys whose northing lies near half a millimetre, and keys beyond those whose row would pass the pole."""
+    rows = [(k, 0.0) for k in (0, 18132, 19029, 29919, 40248, 42499, 42500, 48950, 89999, 899999)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    cols = ["id", "easting", "northing", "lon", "lat"]
+    got = {tuple(r) for r in catalog.crs_round_trip(spark, str(tmp_path)).select(*cols).collect()}
+    assert got == set(con.sql(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()['crs_round_trip']})").fetchall())
+    assert len(got) == len(rows) and all(41 < r[4] < 84 for r in got)
+
+
 def test_cores_cover_once(spark):
     for h, w, t, o in ((500, 370, 240, 20), (50, 30, 240, 20)):
         grid = tiles.tile_grid(spark, h, w, t, o).collect()
