@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,25 +107,32 @@ def radius_pairs(points: DataFrame, radius: float, id_col: str = "id", x: str =
     return seek.join(near, [*keys, "cx", "cy"]).where((F.col("i") != F.col("j")) & close).select(*keys, "i", "j")
 
 
-#: Suppression settles blocks of this many radii in one task.
-BLOCK_RADII = 512
+#: Suppression settles blocks of this many radii in one task, halved until none has more pairs.
+BLOCK_RADII, BLOCK_PAIRS = 512, 4_000_000
 
 
-def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
-    """What a block can decide of its open points, best first. Rows (i, j): j is a better point near
-    i, inside: j lies in the block too; rows without i only tell that j is here."""
-    told = frame.dropna(subset=["i"]).sort_values(["is", "i"], ascending=[False, True])
-    worse = told["i"].to_numpy(np.int64)
-    known: dict[int, bool | None] = dict.fromkeys(frame.loc[frame["inside"], "j"].tolist(), True)
-    ends = np.append(np.flatnonzero(worse[1:] != worse[:-1]) + 1, len(worse))
-    better, inside = told["j"].to_numpy(np.int64), told["inside"].to_numpy(bool)
-    for a in worse.tolist():
-        known[a] = None
-    for a, b in zip(np.append(0, ends[:-1]), ends, strict=True) if len(worse) else ():
-        seen = [known[int(j)] if here else None for j, here in zip(better[a:b], inside[a:b], strict=True)]
-        known[int(worse[a])] = False if True in seen else None if None in seen else True
-    done = [(p, keep) for p, keep in known.items() if keep is not None]
-    return pd.DataFrame({"p": np.array([p for p, _ in done], np.int64), "keep": np.array([k for _, k in done], bool)})
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What blocks can decide of their open points. Rows (bx, by, i, j, inside) by block and in it
+    best i first: j is a better point near i, inside: j lies in the block too; rows without i, the
+    last of a block, only tell that j is here. A task holds the points of one block, never its pairs."""
+    at, known = None, {}
+
+    def decided() -> pa.RecordBatch:
+        done = [(p, keep) for p, keep in known.items() if keep is not None]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int64()), pa.array([k for _, k in done], pa.bool_())], names=["p", "keep"])
+
+    for batch in batches:
+        for bx, by, i, j, inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bx, by) != at:
+                if known:
+                    yield decided()
+                at, known = (bx, by), {}
+            better = known.setdefault(j, True) if inside else None  # without a better one of its own j stays
+            if i is not None:
+                fate = known.get(i, True)
+                known[i] = False if better or fate is False else None if better is None else fate
+    if known:
+        yield decided()
 
 
 def suppress(points: DataFrame, radius: float, id_col: str = "id", x: str = "x", y: str = "y", score: str = "score", keys: Sequence[str] = (), block: float = BLOCK_RADII) -> DataFrame:
@@ -133,7 +141,8 @@ def suppress(points: DataFrame, radius: float, id_col: str = "id", x: str = "x",
 
     Points with near ones meet in blocks of ``block`` radii, and a task goes through a block's open
     points best first: a point goes if a better neighbour is kept, stays if all of them have gone,
-    and is left open where one is open or lies in another block and is open. Blocks are shifted by
+    and is left open where one is open or lies in another block and is open. Where points are dense,
+    blocks are halved until none has more than ``BLOCK_PAIRS`` pairs. Blocks are shifted by
     half from round to round. The best open point of all is always decided, so it ends; rounds grow
     with the number of blocks that a chain of ever worse points runs through, not with its length.
     """
@@ -145,12 +154,19 @@ def suppress(points: DataFrame, radius: float, id_col: str = "id", x: str = "x",
     near = radius_pairs(points.withColumn(id_col, F.col(id_col).cast("long")), radius, id_col, x, y, keys).select("i", "j")
     pairs = cut(near.join(ends[0], "i").join(ends[1], "j").where(better).select("i", "j", F.col("si").alias("is"), *(F.col(f"{c}{e}").alias(f"{e}{c}") for e in "ij" for c in "xy")), "pairs")
     side, gone, turn = radius * block, None, 0
+
+    def spot(e: str, shift: float) -> list[F.Column]:
+        return [F.floor((F.col(f"{e}{c}") + shift) / side).cast("long").alias(f"b{c}") for c in "xy"]
+
+    while side > 2 * radius and (pairs.groupBy(*spot("i", 0.0)).count().agg(F.max("count")).first()[0] or 0) > BLOCK_PAIRS:
+        side /= 2
     while pairs.limit(1).count():
         shift = side / 2 * (turn % 2)
-        spot = lambda e: F.struct(*(F.floor((F.col(f"{e}{c}") + shift) / side).cast("long").alias(c) for c in "xy"))
-        told = pairs.select(spot("i").alias("b"), "i", "is", "j", (spot("i") == spot("j")).alias("inside"))
-        here = pairs.where(spot("i") != spot("j")).select(spot("j").alias("b"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("is"), "j", F.lit(True).alias("inside")).distinct()
-        state = cut(told.unionByName(here).groupBy("b").applyInPandas(_greedy, "p bigint, keep boolean"), "state")
+        inside = F.struct(*spot("i", shift)) == F.struct(*spot("j", shift))
+        told = pairs.select(*spot("i", shift), "i", "is", "j", inside.alias("inside"))
+        here = pairs.where(~inside).select(*spot("j", shift), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("is"), "j", F.lit(True).alias("inside")).distinct()
+        rows = told.unionByName(here).repartition("bx", "by").sortWithinPartitions("bx", "by", F.desc_nulls_last("is"), "i")
+        state = cut(rows.select("bx", "by", "i", "j", "inside").mapInArrow(_greedy, "p bigint, keep boolean"), "state")
         # a point is decided in its own block alone
         open_ = pairs.join(state.select(F.col("p").alias("i")), "i", "left_anti").join(state.select(F.col("p").alias("j"), F.col("keep").alias("jk")), "j", "left")
         open_ = cut(open_.where("jk is null or jk"), "open")

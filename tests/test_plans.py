@@ -1,3 +1,5 @@
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -81,6 +83,23 @@ def test_suppression_equals_a_slow_version(spark, block):
     assert graph.suppress(pts, 0.0).where("not keep").count() == 0 and graph.suppress(pts.limit(0), 2.0).count() == 0
 
 
+def test_suppression_of_dense_points_in_bounded_blocks(spark, monkeypatch):
+    """A task keeps a block's points and not its pairs; dense blocks are halved with the same result."""
+    pairs = 400_000
+    better = np.random.default_rng(5).integers(0, 1000, pairs)
+    block = graph.pa.RecordBatch.from_pydict({"bx": np.zeros(pairs, np.int64), "by": np.zeros(pairs, np.int64), "i": np.repeat(np.arange(1000, 2000), 400), "j": better, "inside": np.ones(pairs, bool)})
+    tracemalloc.start()
+    (out,) = graph._greedy(block.slice(k, 2000) for k in range(0, pairs, 2000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 2000 and sum(out["keep"].to_pylist()) == 1000 and peak < 4_000_000
+    rng = np.random.default_rng(23)
+    rows = [(k, float(x), float(y), float(s)) for k, (x, y, s) in enumerate(zip(rng.random(500) * 40, rng.random(500) * 40, rng.integers(0, 9, 500), strict=True))]
+    monkeypatch.setattr(graph, "BLOCK_PAIRS", 200)
+    pts = spark.createDataFrame(rows, "id int, x double, y double, score double")
+    assert sorted(r.id for r in graph.suppress(pts, 2.0).where("keep").collect()) == slow_suppression(rows, 2.0)
+
+
 def test_suppression_of_a_long_falling_line(spark):
     rows = [(k, 3.0 * k, 0.0, -float(k)) for k in range(5000)]
     pts = spark.createDataFrame(rows, "id int, x double, y double, score double")
