@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,10 +207,10 @@ def parts_of(cells: set[tuple[int, int]]) -> list[set[tuple[int, int]]]:
 
 def polygonize(labels: DataFrame, a: float = 1.0, c: float = 0.0, e: float = 1.0, f: float = 0.0) -> DataFrame:
     """(adaptel_id, n_parts, wkt): a MULTIPOLYGON of each region's outline in map coordinates.
-    n_parts counts 8-connected parts. A region is bounded by its growing radius."""
+    n_parts counts 8-connected parts. A region is bounded by its growing radius; regions follow each
+    other in a task, which holds the pixels of one."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = set(zip(frame["r"].tolist(), frame["c"].tolist(), strict=True))
+    def outline(cells: set[tuple[int, int]]) -> tuple[int, str]:
         parts = parts_of(cells)
         shapes = []
         for part in parts:
@@ -220,9 +221,30 @@ def polygonize(labels: DataFrame, a: float = 1.0, c: float = 0.0, e: float = 1.0
             for k in outer:  # a hole belongs to the smallest outer ring around it
                 mine = [i for i in inner if _holds(rings[k], rings[i][0]) and all(j == k or area[j] >= area[k] or not _holds(rings[j], rings[i][0]) for j in outer)]
                 shapes.append("(" + ", ".join([text[k], *(text[i] for i in mine)]) + ")")
-        return pd.DataFrame({"adaptel_id": [int(frame["gid"].iloc[0])], "n_parts": [len(parts)], "wkt": ["MULTIPOLYGON (" + ", ".join(shapes) + ")"]})
+        return len(parts), "MULTIPOLYGON (" + ", ".join(shapes) + ")"
 
-    return labels.groupBy("gid").applyInPandas(run, "adaptel_id bigint, n_parts int, wkt string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, cells, done = None, set(), []
+
+        def outlines() -> pa.RecordBatch:
+            kinds = {"adaptel_id": pa.int64(), "n_parts": pa.int32(), "wkt": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array([row[k] for row in done], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+        for batch in batches:
+            for g, row, col in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if g != gid:
+                    if cells:
+                        done.append((gid, *outline(cells)))
+                    gid, cells = g, set()
+                cells.add((row, col))
+            yield outlines()
+            done.clear()
+        if cells:
+            done.append((gid, *outline(cells)))
+            yield outlines()
+
+    named = labels.select(F.col("gid").cast("long").alias("gid"), "r", "c")
+    return named.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "adaptel_id bigint, n_parts int, wkt string")
 
 
 def _holds(ring: list[tuple[int, int]], point: tuple[int, int]) -> bool:

@@ -81,3 +81,24 @@ def test_windows_without_sides(spark):
     stats = outlines.ring_statistics(outlines.outline_pieces(labels, 3)).collect()
     assert [(s.area, s.sides, s.corners) for s in stats] == [(81, 36, 4)]
     assert [r.wkt for r in outlines.outline_polygons(labels, tile=3).collect()] == ["MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0)))"]
+
+
+def test_many_small_regions_share_tasks(spark):
+    """A call for each region takes longer than its outline; regions that run over batches stay whole."""
+    label = np.random.default_rng(43).integers(-1, 150, (40, 40))
+    label[5:12, 5:12] = 200
+    label[7:10, 7:10] = 201  # in a hole of the other
+    labels = spark.createDataFrame(rows_of(label) + rows_of(label)[:50], "gid long, r int, c int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        polygons = grow.polygonize(labels, 0.5, 100.0, -0.5, 900.0)
+        assert "FlatMapGroups" not in polygons._jdf.queryExecution().toString()
+        got = polygons.collect()
+        want = {r.adaptel_id: r for r in outlines.outline_polygons(labels, 0.5, 100.0, -0.5, 900.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(want) and {r.adaptel_id for r in got} == want.keys()
+    for r in got:
+        assert r.n_parts == want[r.adaptel_id].n_parts and shapes(r.wkt) == shapes(want[r.adaptel_id].wkt)
+    assert grow.polygonize(labels.where("gid > 900")).count() == 0
