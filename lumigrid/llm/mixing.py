@@ -29,7 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import fresh, materialise, tasks
+from lumigrid.llm.store import fresh, materialise, materialise_seen, tasks
 
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, RANGE_SLOTS, SHARD_GROUP = 64, 1024, 512, 8192, 1024
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
@@ -124,17 +124,17 @@ def _chunk_key(docs: DataFrame) -> Column:
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
 
 
-def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard: int, draw: int = DRAW) -> tuple[dict[str, str], dict[str, DataFrame]]:
-    """The steps and the frames they read, from documents (doc_id, text, source)."""
+def _frames(docs: DataFrame, block: int, weights, share: float, cap: int, shard: int, draw: int = DRAW) -> tuple[dict[str, str], dict[str, DataFrame], int]:
+    """The steps and the frames they read, from documents (doc_id, text, source), and how many these are."""
     spark = docs.sparkSession
     steps, frames = _steps(True, block, weights, share, cap, shard, draw), {"documents": docs.withColumn("ck", _chunk_key(docs))}
-    frames["sized"] = materialise(_run(spark, steps, ("sized",), "sized", frames), "mix-sizes")
+    frames["sized"], seen = materialise_seen(_run(spark, steps, ("sized",), "sized", frames), "mix-sizes", rows=F.count(F.lit(1)))
     frames["plan"] = materialise(_run(spark, steps, _PLAN, "plan", frames), "mix-plan")
     # a few short rows that become many: a fixed number of partitions, which isn't coalesced
     frames["ranges"] = _run(spark, steps, ("ranges",), "ranges", frames).repartition(tasks(spark), "src", "part")
     frames["draws"] = materialise(_run(spark, steps, ("units", "draws"), "draws", frames), "mix-draws")
     frames["dealt"] = _run(spark, steps, ("groups", "bases_of", "dealt"), "dealt", frames).repartition(tasks(spark), "src", "shard")
-    return steps, frames
+    return steps, frames, seen["rows"]
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS, draw: int = DRAW) -> DataFrame:
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
     the mix reads, repeats counted, and the first output shard that reads any (null: none). One per
     row of ``docs`` (doc_id, text, source). ``draw`` names the draw: another one deals the slots to
     other shards, within the same targets."""
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
+    steps, frames, _ = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     # written first: filters of the join below would be pushed through every round of the permutation
     frames["reads"] = materialise(_run(docs.sparkSession, steps, ("numbers", "slots", "reads"), "reads", frames), "mix-reads")
     return _run(docs.sparkSession, steps, ("chunks", "bases", "placed", "spread", "pieces", "mixed"), "mixed", frames)
@@ -151,7 +151,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
 def slot_table(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shard: int = SHARD_SLOTS, draw: int = DRAW) -> DataFrame:
     """The mix itself: rows (shard, slot, src, pass, block) for every output slot, in a pseudorandom
     order inside each shard."""
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
+    steps, frames, _ = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     slots = materialise(_run(docs.sparkSession, steps, ("numbers", "slots"), "slots", frames), "mix-slots")
     return slots.selectExpr("shard", "row_number() OVER (PARTITION BY shard ORDER BY xxhash64(src, pass, block), src, pass, block) - 1 AS slot", "src", "pass", "block")
 
@@ -164,7 +164,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, sh
     the order of the draw. Rows that repeat an id and a size in a chunk are told apart by their
     texts' order."""
     spark, columns = docs.sparkSession, docs.columns
-    steps, frames = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
+    steps, frames, rows = _frames(docs.select("doc_id", "text", "source"), block, weights, share, cap, shard, draw)
     # a document's own columns travel in one, so that none can clash with those of the mix
     keyed = docs.select("doc_id", "source", _chunk_key(docs).alias("ck"), F.struct(*columns).alias("held"))
     placed = _run(spark, steps, ("chunks", "bases", "placed", "spread", "pieces"), "pieces", frames, "src, chunk, nth, doc_id, size, off, block").where("size > 0")
@@ -176,7 +176,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, sh
     pattern = WORD.replace(chr(92), chr(92) * 2)
     size = F.coalesce(F.expr(f"regexp_count(held.text, '{pattern}')").cast("long"), F.lit(0).cast("long"))
     sources = frames["plan"].select(F.col("source").alias("name"), "src")
-    chunks = frames["sized"].count() // CHUNK_DOCS + 1
+    chunks = rows // CHUNK_DOCS + 1
     base = keyed.withColumn("size", size).withColumn("chunk", F.expr(f"coalesce(pmod(ck, {PRIME}), 0) * 48271 % {PRIME} % {chunks}L")).join(sources, F.col("source").eqNullSafe(F.col("name")), "inner")
     same = frames["sized"].groupBy("doc_id", "source", "size", "chunk").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if same.count():  # repeated rows: number them, so that each meets its own part

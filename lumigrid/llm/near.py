@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm.gray import GrayIndex, spanning
-from lumigrid.llm.store import fresh, materialise, spread_join
+from lumigrid.llm.store import fresh, materialise, materialise_seen, spread_join
 from lumigrid.llm.text import mix64, sliced, text_buffer, xxh64
 from lumigrid.operators.components import connected_components
 
@@ -207,14 +207,15 @@ def near_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, le
     keyed = materialise(plain.mapInArrow(keys_of, "mark bigint, keys array<bigint>"), "near-keys")
     # copies of one text, however many, come down to a row before anything is gathered by key
     members = keyed.groupBy("mark").agg(F.first("keys").alias("keys")).select("mark", F.explode("keys").alias("key"))
-    many = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    met = materialise(spread_join(members, many.select("key"), "key", "left_semi", counts=many), "near-members")
+    many, seen = materialise_seen(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets", total=F.sum("n"))
+    total = seen["total"] or 0
+    met = materialise(spread_join(members, many.select("key"), "key", "left_semi", counts=many, total=total), "near-members")
     wanted = met.select("mark").distinct()
     # copies are dropped on the map side, and what is left moves once; a merge join at any size
     sets = materialise(plain.dropDuplicates(["mark"]).join(wanted.hint("merge"), "mark", "left_semi").mapInArrow(sets_of, "mark bigint, fp bigint, shingles binary"), "near-sets")
     sized = met.join(sets.select("mark", F.octet_length("shingles").cast("long").alias("bytes")), "mark").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(bucket_rows)), F.ceil(F.col("bytes") / F.lit(bucket_bytes)), F.lit(1)).cast("int")
-    dealt = spread_join(met, sized.select("key", blocks.alias("blocks")), "key", "inner", counts=many).withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    dealt = spread_join(met, sized.select("key", blocks.alias("blocks")), "key", "inner", counts=many, total=total).withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     dealt = dealt.select("mark", "key", "blocks", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("mark", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when((F.col("blocks") > 1) & (F.col("own") != F.col("other")), F.col("own")).alias("own"))
     walked = dealt.join(sets, "mark").select("key", "mark", "own", "fp", "shingles").repartition("key").sortWithinPartitions("key", "mark")
@@ -227,12 +228,12 @@ def one_of_each(docs: DataFrame, roots: DataFrame, text: str, id_col: str) -> Da
     id stays, a null id only where there is no other, and of repeated rows one."""
     names = fresh(docs, "mark", "root", "id", "count")
     mark, root, own, count = names
-    named = materialise(docs.select(F.col(id_col).alias(own), F.xxhash64(F.coalesce(text, F.lit(""))).alias(mark)), "near-names")
-    named = spread_join(named, roots.select(F.col("mark").alias(mark), F.col("root").alias(root)), mark).withColumn(root, F.coalesce(root, mark))
+    named, seen = materialise_seen(docs.select(F.col(id_col).alias(own), F.xxhash64(F.coalesce(text, F.lit(""))).alias(mark)), "near-names", total=F.count(F.lit(1)))
+    named = spread_join(named, roots.select(F.col("mark").alias(mark), F.col("root").alias(root)), mark, total=seen["total"]).withColumn(root, F.coalesce(root, mark))
     rows = named.groupBy(root, own, mark).agg(F.count("*").alias(count))
     best = rows.groupBy(root).agg(F.min(F.struct(F.col(own).isNull().alias("none"), F.col(own), F.col(mark), F.col(count))).alias("f"))
-    chosen = materialise(best.select(F.col("f")[own].alias(own), F.col("f")[mark].alias(mark), F.col("f")[count].alias(count)), "near-kept")
+    chosen, seen = materialise_seen(best.select(F.col("f")[own].alias(own), F.col("f")[mark].alias(mark), F.col("f")[count].alias(count)), "near-kept", most=F.max(count))
     out = docs.join(chosen.select(own, mark), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(mark)), "left_semi")
-    if chosen.where(F.col(count) > 1).limit(1).count():
+    if (seen["most"] or 0) > 1:
         out = out.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit("")))).dropDuplicates([id_col, mark]).drop(mark)
     return out

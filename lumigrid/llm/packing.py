@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import materialise
+from lumigrid.llm.store import materialise, materialise_seen
 from lumigrid.llm.text import binary, sliced, text_buffer, words, xxh64
 
 WINDOW, QUANTUM, DEPTH, END_ID = 2048, 16, 3, 1
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", id_col: s
     """Rows (id, start, length, doc_tokens, sequence_id, offset, ids), one per piece; ids is
     little-endian 32-bit integers. Sequences are full windows, or powers of two at the very end."""
     spark = docs.sparkSession
-    tokens = materialise(token_table(docs, path or default_tokenizer(), text, id_col, window, quantum), "pack-tokens")
+    tokens, seen = materialise_seen(token_table(docs, path or default_tokenizer(), text, id_col, window, quantum), "pack-tokens", tails=F.sum(F.col("n") % quantum))
     by_bin = materialise(tokens.groupBy("part", "bin").agg(F.count("*").alias("c")), "pack-bins")
     histogram = np.zeros(window // quantum, np.int64)
     for row in by_bin.groupBy("bin").agg(F.sum("c").alias("c")).collect():  # at most window / quantum rows
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", id_col: s
     left = (histogram - taken) * np.arange(len(histogram)) * quantum
     left_base = np.cumsum(left) - left
     sums = materialise(tokens.groupBy("part").agg(F.sum(F.expr(f"n div {window}")).alias("fulls"), F.sum(F.expr(f"n % {quantum}")).alias("tails")), "pack-parts")
-    total = int(left.sum()) + int(sums.agg(F.coalesce(F.sum("tails"), F.lit(0))).first()[0])
+    total = int(left.sum()) + int(seen["tails"] or 0)
     cuts = last_cuts(total, window)
     whole = total - total % window
 

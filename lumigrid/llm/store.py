@@ -7,12 +7,12 @@ any executor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.operators.components import checkpoint_dir, cut, release, settle
+from lumigrid.operators.components import checkpoint_dir, cut, cut_seen, release, settle
 
-__all__ = ["fresh", "materialise", "release", "settle", "shared_dir", "spread_join", "tasks"]
+__all__ = ["fresh", "materialise", "materialise_seen", "release", "settle", "shared_dir", "spread_join", "tasks"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,26 +23,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)
 
 
+def materialise_seen(df: DataFrame, name: str, **seen: Column) -> tuple[DataFrame, dict]:
+    return cut_seen(df, name, **seen)
+
+
 def tasks(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", keys: DataFrame | None = None, counts: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", keys: DataFrame | None = None, counts: DataFrame | None = None, hint: str | None = None, total: int | None = None) -> DataFrame:
     """``big`` joined with ``small`` (a row per key), hot keys spread over tasks.
 
     A key with more rows than a quarter of a task's share is dealt out by a salt, and its row of
     ``small`` repeated once a salt. There are fewer than four such keys a task, which bounds what is
     broadcast. ``keys`` are the keys of ``big``, a row each, where they can be had for less than by
-    reading it once more; ``counts`` a table of (key, n), where the rows of each key are known; ``hint``
-    the kind of join, where the planner shall not choose by size. Keys must not be null.
+    reading it once more; ``counts`` a table of (key, n), where the rows of each key are known; ``total``
+    the rows of ``big``, where they are; ``hint`` the kind of join, where the planner shall not choose by
+    size. Keys must not be null.
     """
     parts = tasks(big.sparkSession)
     at, n, salts, salt, row = fresh(big.select("*", *(F.lit(0).alias(c) for c in small.columns if c not in big.columns)), "at", "n", "salts", "salt", "key")
     if counts is None:
         counts = (big if keys is None else keys).groupBy(key).agg(F.count("*").alias("n"))
-        total = (big if keys is None else keys).count()
-    else:
+        total = (big if keys is None else keys).count() if total is None else total
+    elif total is None:
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = max(1, total // (4 * parts))
     hot = counts.select(F.col(key).alias(row), F.col("n").alias(n)).where(F.col(n) > share).select(row, F.ceil(F.col(n) / share).cast("int").alias(salts))

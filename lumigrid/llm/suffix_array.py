@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.store import fresh, materialise, spread_join, tasks
+from lumigrid.llm.store import fresh, materialise, materialise_seen, spread_join, tasks
 from lumigrid.llm.text import binary, mix64, sliced, text_buffer
 
 LENGTH, SEED = 100, 32
@@ -455,14 +455,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size - np.array([len(k) for k in kept], np.int64)), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["key", *[x.split()[0] for x in CUT.split(", ")]])
 
 
-def keyed(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame, int]:
+def keyed(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame, int, int]:
     """Documents as (key, text), a table (key, id, digest, n_bytes, rows, copy) with a row for each
-    distinct id and text, and the bytes in all. Keys are the ids where those are whole numbers, unique
+    distinct id and text, the bytes in all, and the most rows that one id and text of a hundred bytes
+    or more has. Keys are the ids where those are whole numbers, unique
     and not null; else they number ids and digests in order, null ids first."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     meta = base.select("id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")).groupBy("id", "digest", "n_bytes").agg(F.count("*").alias("rows"))
-    meta = materialise(meta, "suffix-texts")
-    bare, size, rows, most = meta.agg(F.count_if(F.col("id").isNull()), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    meta, seen = materialise_seen(meta, "suffix-texts", bare=F.count_if(F.col("id").isNull()), size=F.sum("n_bytes"), rows=F.count(F.lit(1)), most=F.max("rows"), long=F.max(F.when(F.col("n_bytes") >= LENGTH, F.col("rows"))))
+    bare, size, rows, most, long = (seen[k] or 0 for k in ("bare", "size", "rows", "most", "long"))
     whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     if whole and not bare and most <= 1 and meta.select("id").distinct().count() == rows:
         meta = meta.withColumn("key", F.col("id").cast("long"))
@@ -473,13 +474,13 @@ def keyed(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame
         names = meta.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "key")
         texts = base.dropDuplicates(["id", "text"]).join(names, F.col("id").eqNullSafe(F.col("__id")) & (F.sha2("text", 256) == F.col("__digest"))).select("key", "text")
     first = meta.groupBy("digest").agg(F.min("key").alias("first"))
-    return texts, spread_join(meta, first, "digest", "inner").withColumn("copy", F.col("key") > F.col("first")).drop("first"), size
+    return texts, spread_join(meta, first, "digest", "inner", total=rows).withColumn("copy", F.col("key") > F.col("first")).drop("first"), size, long
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (id, digest, n_bytes, n_removed, n_spans, kept), one per input row. digest is the SHA-256
     of the text; kept is null where nothing or everything was removed."""
-    texts, meta, size = keyed(docs, text, id_col)
+    texts, meta, size, _ = keyed(docs, text, id_col)
     meta = materialise(meta, "suffix-meta")
     spans = repeated_spans(texts, meta.where("not copy").select("key"), size)
     by_doc = spans.groupBy(F.col("ord").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
@@ -498,7 +499,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """``docs`` with repeated passages cut out of the texts. Bytes of a character that is cut
     through are dropped; documents of which no word is left go, and of repeated rows of a hundred
     bytes or more all but one. n_chars, where there is one, is counted anew."""
-    texts, meta, size = keyed(docs, text, id_col)
+    texts, meta, size, most = keyed(docs, text, id_col)
     meta = materialise(meta, "suffix-meta")
     spans = repeated_spans(texts, meta.where("not copy").select("key"), size)
     by_doc = spans.groupBy(F.col("ord").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
@@ -507,7 +508,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     hits = meta.withColumn("gone", gone).join(by_doc, "key", "left").where("gone or starts is not null")
     hits = hits.select(F.col("id").alias(own), F.col("digest").alias(digest), F.col("gone").alias(away), F.col("starts").alias(begin), F.col("stops").alias(end))
     marked = docs.withColumn(digest, F.sha2(F.coalesce(text, F.lit("")), 256))
-    if meta.where((F.col("rows") > 1) & (F.col("n_bytes") >= LENGTH)).limit(1).count():
+    if most > 1:
         long = F.coalesce(F.octet_length(text), F.lit(0)) >= LENGTH
         marked = marked.where(long).dropDuplicates([id_col, digest]).union(marked.where(~long))
     # documents move once, to meet what is cut from them

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -53,6 +53,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_seen(df: DataFrame, name: str, **seen: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and what aggregates of the rows came to while they were written. A query of its own for
+    each would plan, broadcast and run once more, all of which costs the driver memory."""
+    watch = Observation()
+    out = cut(df.observe(watch, *(c.alias(k) for k, c in seen.items())), name)
+    return out, watch.get
+
+
 def release(df: DataFrame) -> None:
     """Delete the tables of ``cut`` that a frame is read from. Nothing that is still to run may
     depend on them: write what was made of them first."""
@@ -107,20 +115,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Self-loops and rows with a null end are ignored; edges may repeat and take either direction.
     """
-    at = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    def settled(df: DataFrame) -> tuple[DataFrame, dict]:
+        return cut_seen(df, "edges", n=F.count(F.lit(1)), mark=F.bit_xor(F.xxhash64("a", "b")))
 
-    seen = state(at)
-    for _ in range(max_rounds if seen[0] else 0):
-        at = cut(_star(_star(at, True), False), "edges")
-        now = state(at)
+    at, seen = settled(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    for _ in range(max_rounds if seen["n"] else 0):
+        at, now = settled(_star(_star(at, True), False))
         if now == seen:
             break
         seen = now
     else:
-        if seen[0]:
+        if seen["n"]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = at.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
     return at.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(roots)
