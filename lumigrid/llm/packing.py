@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.llm.store import materialise, materialise_seen
-from lumigrid.llm.text import binary, sliced, text_buffer, words, xxh64
+from lumigrid.llm.text import binary, sliced, text_buffer, words
 
 WINDOW, QUANTUM, DEPTH, END_ID = 2048, 16, 3, 1
-TOKENIZE_BYTES, CACHE_WORDS = 4 << 20, 200_000
+TOKENIZE_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -47,9 +47,10 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids as ``tokenizers`` gives them for a BPE file with word ends (add_special_tokens=False).
 
-    Such a tokenizer never joins text across white space, so each distinct word of a batch is
-    encoded once, and up to CACHE_WORDS words are remembered from one batch to the next. Words go through the byte-pair core of ``tiktoken`` with the file's own
-    vocabulary (a word end is the byte 0xFF, which no UTF-8 text holds); texts with a special
+    Such a tokenizer never joins text across white space, so each distinct word of a batch is encoded
+    once, and all of them in one call: as a text of pieces that each close with a line feed, which no
+    word holds and which stands for the word end in the file's own vocabulary. A space as a piece of
+    its own parts words. Pieces go through the byte-pair core of ``tiktoken``; texts with a special
     token's string go through ``tokenizers`` itself.
     """
 
@@ -68,49 +69,42 @@ class WordTokenizer:
         for token, i in spec["model"]["vocab"].items():
             if token not in names:
                 end = token.endswith("</w>")
-                ranks[bytes(byte[c] for c in (token[:-4] if end else token)) + b"\xff" * end] = i
-        self.core = core.CoreBPE(ranks, {}, r".")
+                ranks[bytes(byte[c] for c in (token[:-4] if end else token)) + b"\n" * end] = i
+        self.core = core.CoreBPE(ranks, {}, r"[^\n]+\n")
+        self.gap = ranks[b" \n"]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split).findall
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def word(self, w: bytes) -> tuple[int, ...]:
-        found = self.known.get(w)
-        if found is not None:
-            return found
-        text = w.decode()
+        self.pieces = regex.compile(f"{split}| ").findall
+
+    def encoded(self, text: str) -> np.ndarray:
+        """Ids of words that each close with a space, and ``gap`` after those of each word."""
         if not text.isascii():
             import unicodedata
 
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        out: list[int] = []
-        for piece in self.pieces(text):
-            out += self.core.encode_single_piece(piece.encode() + b"\xff")
-        if len(w) <= 64:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[w] = tuple(out)
-        return tuple(out)
+            # only a sigma's lower case depends on what stands around it
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return np.array(self.core.encode_ordinary("\n".join([*self.pieces(text), ""])), np.uint32)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch and the range of each text, each text closed by END_ID."""
         buf, offsets = text_buffer(texts)
         w = words(buf, offsets)
         rows = len(offsets) - 1
-        h = xxh64(w.buf, w.start, w.length)
-        _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        plain = w.buf.tobytes()
-        found = [self.word(plain[a : a + n]) for a, n in zip(w.start[at].tolist(), w.length[at].tolist(), strict=True)]
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint32)
-        begin = np.cumsum(size) - size
-        per = size[inverse]
-        per_row = np.bincount(w.rows(), weights=per, minlength=rows).astype(np.int64) if len(per) else np.zeros(rows, np.int64)
-        first = np.concatenate([[0], np.cumsum(per_row + 1)])
-        out = np.full(first[-1], END_ID, np.uint32)
-        if len(per):
-            source = np.repeat(begin[inverse] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-            out[np.arange(per.sum()) + np.repeat(np.arange(rows), per_row)] = flat[source]
+        spaced = np.append(w.start, len(w.buf)).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(spaced), pa.py_buffer(w.buf)]).dictionary_encode()
+        ids = self.encoded(text_buffer(coded.dictionary)[0].tobytes().decode())
+        gaps = np.flatnonzero(ids == self.gap)
+        begin = np.concatenate([[0], gaps + 1])  # the last is that of END_ID
+        size = np.append(gaps - begin[:-1], 1)
+        ids = np.append(ids, np.uint32(END_ID))
+        ends = w.first[1:] + np.arange(rows)
+        code = np.full(len(w.start) + rows, len(gaps))
+        inside = np.ones(len(code), bool)
+        inside[ends] = False
+        code[inside] = coded.indices.to_numpy()
+        per = size[code]
+        stop = np.cumsum(per)
+        out = ids[np.repeat(begin[code] - (stop - per), per) + np.arange(per.sum())]
+        first = np.concatenate([[0], stop[ends]])
         raw = buf.tobytes()
         if any(s in raw for s in self.special):
             return self._special(raw, offsets, out, first)

@@ -412,6 +412,33 @@ def test_word_tokenizer_is_exact():
         assert flat[first[k] : first[k + 1]].tolist() == [*tk.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
 
 
+def test_words_of_a_batch_are_encoded_in_one_call():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, core):
+            self.core, self.calls = core, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.core, name)
+
+    path = packing.default_tokenizer()
+    tk, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(7)
+    many = " ".join("".join(rng.choice(list("aeiknrst\u00e9\u00f6,.'$1"), rng.integers(1, 12))) for _ in range(3000))
+    texts = [many, None, " \t\n", "\u2003", "a\u2003b \u2003\u00a0 \x85 c", "\u0391\u03a3 \u03a3 \u03a3\u0391\u03a3. \u0130I", "e\u0301 \u0301e", "''s !'s 's's 'sabc we'll", many[:999], ""]
+    tk.core = Counted(tk.core)
+    ids, first = tk.batch(pa.array(texts))
+    assert tk.core.calls == 1
+    for k, t in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
+    for none in ([None, ""], [" "]):
+        ids, first = tk.batch(pa.array(none, pa.string()))
+        assert ids.tolist() == [1] * len(none) and first.tolist() == list(range(len(none) + 1))
+
+
 def test_least_squares_and_plan():
     rng = np.random.default_rng(1)
     a, want = rng.random((30, 12)), np.maximum(rng.normal(0, 1, 12), 0)
