@@ -19,6 +19,7 @@ Null and empty texts are the end id alone. Repeated rows are packed as often as
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,7 +52,8 @@ class WordTokenizer:
     once, and all of them in one call: as a text of pieces that each close with a line feed, which no
     word holds and which stands for the word end in the file's own vocabulary. A space as a piece of
     its own parts words. Pieces go through the byte-pair core of ``tiktoken``; texts with a special
-    token's string go through ``tokenizers`` itself.
+    token's string go through ``tokenizers`` itself, and so do words with a character that its tables,
+    of another version of Unicode, know otherwise.
     """
 
     def __init__(self, path: str):
@@ -74,15 +76,31 @@ class WordTokenizer:
         self.gap = ranks[b" \n"]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(f"{split}| ").findall
+        self.shown = {b: c for c, b in byte.items()}
+        self.same = {" "}
+        self.differ: set[str] = set()
 
-    def encoded(self, text: str) -> np.ndarray:
-        """Ids of words that each close with a space, and ``gap`` after those of each word."""
+    def split(self, text: str) -> list[str]:
+        """Pieces of words that each close with a space, and that space."""
         if not text.isascii():
-            import unicodedata
-
             # only a sigma's lower case depends on what stands around it
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        return np.array(self.core.encode_ordinary("\n".join([*self.pieces(text), ""])), np.uint32)
+        return self.pieces(text)
+
+    def parts(self, word: str) -> list[str]:
+        """Pieces by ``tokenizers``, a character for each byte."""
+        return [piece for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(word))]
+
+    def odd(self, text: str) -> set[str]:
+        """Characters of a text that ``tokenizers`` knows otherwise; each is tried once."""
+        if text.isascii():
+            return set()
+        found = set(text) - self.same
+        for c in found - self.differ:
+            word = f"a{c}b1{c}1{c}'s"
+            same = unicodedata.category(c) != "Cn" and ["".join(self.shown[b] for b in x.encode()) for x in self.split(word)] == self.parts(word)
+            (self.same if same else self.differ).add(c)
+        return found & self.differ
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch and the range of each text, each text closed by END_ID."""
@@ -91,11 +109,18 @@ class WordTokenizer:
         rows = len(offsets) - 1
         spaced = np.append(w.start, len(w.buf)).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(spaced), pa.py_buffer(w.buf)]).dictionary_encode()
-        ids = self.encoded(text_buffer(coded.dictionary)[0].tobytes().decode())
+        text = text_buffer(coded.dictionary)[0].tobytes().decode()
+        ids = np.array(self.core.encode_ordinary("\n".join([*self.split(text), ""])), np.uint32)
         gaps = np.flatnonzero(ids == self.gap)
         begin = np.concatenate([[0], gaps + 1])  # the last is that of END_ID
         size = np.append(gaps - begin[:-1], 1)
         ids = np.append(ids, np.uint32(END_ID))
+        if odd := self.odd(text):
+            # a special token's string in such a word is none: parts are taken before
+            other = [(k, [t.id for x in self.parts(word) for t in self.whole.model.tokenize(x)]) for k, word in enumerate(text.split(" ")) if not odd.isdisjoint(word)]
+            at, sizes = [k for k, _ in other], np.array([len(x) for _, x in other])
+            begin[at], size[at] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.append(ids, np.array([i for _, x in other for i in x], np.uint32))
         ends = w.first[1:] + np.arange(rows)
         code = np.full(len(w.start) + rows, len(gaps))
         inside = np.ones(len(code), bool)

@@ -439,6 +439,21 @@ def test_words_of_a_batch_are_encoded_in_one_call():
         assert ids.tolist() == [1] * len(none) and first.tolist() == list(range(len(none) + 1))
 
 
+def test_characters_of_other_unicode_versions():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tk, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    new = [*range(0x1C89, 0x1C8B), *range(0xA7CB, 0xA7DD), *range(0x105C0, 0x105F4), *range(0x16EA0, 0x16EC0), *range(0x2EBF0, 0x2EC10), *range(0x323B0, 0x323C0), 0x897, 0x378]
+    texts = [f"ab{chr(c)}X d\u00e9j\u00e0 {chr(c)}1'S plain{chr(c)}\u0307 <|ENDOFTEXT|>{chr(c)}" for c in new]
+    texts += [f"x <|endoftext|> {texts[0]}", "d\u00e9j\u00e0 vu", None]
+    for some in (texts, texts[::-1]):
+        ids, first = tk.batch(pa.array(some))
+        for k, t in enumerate(some):
+            assert ids[first[k] : first[k + 1]].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
+
+
 def test_least_squares_and_plan():
     rng = np.random.default_rng(1)
     a, want = rng.random((30, 12)), np.maximum(rng.normal(0, 1, 12), 0)
